@@ -79,15 +79,17 @@ def exact_quantiles(
 
     A mergeable sketch brackets every requested rank. Rows outside the brackets are
     only counted; the distinct values inside, a few hundred-thousandths of the rows,
-    are ordered to read off the exact order statistics. ``small_groups`` says that
-    ``by`` takes a handful of fixed values, which makes the bracket table broadcastable.
+    are ordered to read off the exact order statistics. Groups of up to ten times
+    ``accuracy`` rows are ordered whole. ``small_groups`` says that ``by`` takes a handful
+    of fixed values, which makes the bracket table broadcastable.
     """
     by = list(by)
     values = df.select(*by, col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     eps = 2.0 / accuracy
     ordered = sorted(set(qs))
     probes = [p for q in ordered for p in (max(q - eps, 0.0), min(q + eps, 1.0))]
-    sketch = F.percentile_approx("_v", probes, accuracy)
+    whole = F.array(*[f("_v") for _ in ordered for f in (F.min, F.max)])
+    sketch = F.when(F.count("*") <= 10 * accuracy, whole).otherwise(F.percentile_approx("_v", probes, accuracy))
     if by:
         brackets = values.groupBy(*by).agg(sketch.alias("_b"))
         held = values.join(F.broadcast(brackets) if small_groups else brackets, by)

@@ -27,10 +27,12 @@ def top_categories(df: DataFrame, category: str, n: int, preferred: list[str] =
     """
     counts = df.groupBy(category).agg(F.count("*").alias("n"))
     named = counts.where(F.col(category) != missing).agg(F.count("*")).scalar()
-    rank = F.lit(len(preferred))
-    for i in range(len(preferred) - 1, -1, -1):
-        rank = F.when(F.col(category) == preferred[i], i).otherwise(rank)
-    return counts.where((F.col(category) != missing) | (named == 0)).orderBy(rank, F.desc("n"), category).limit(n)
+    place = F.array_position(F.array(*[F.lit(p) for p in preferred]), F.col(category)) if preferred else F.lit(0)
+    return (
+        counts.withColumn("_p", F.when(place > 0, place).otherwise(len(preferred) + 1))
+        .where((F.col(category) != missing) | (named == 0))
+        .orderBy("_p", F.desc("n"), category).limit(n).drop("_p")
+    )
 
 
 def quantile_table(df: DataFrame, value: str, qs: list[float], by: str | None = None) -> DataFrame:
@@ -396,8 +398,8 @@ def kendall_tau(df: DataFrame, x: str, y: str, blocks: int = 64) -> DataFrame:
     def earlier_larger(rows: DataFrame, keys: list[str], order: str, rank: str, bits) -> DataFrame:
         """Weighted pairs, within keys, with a strictly earlier order and a larger rank."""
         b = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(bits) - 1)))
-        b = b.withColumn("_p", F.shiftright(F.col(rank), F.col("_b") + 1)).withColumn(
-            "_bit", F.shiftright(F.col(rank), F.col("_b")).bitwiseAND(F.lit(1)))
+        b = b.withColumn("_p", F.expr(f"shiftright({rank}, _b + 1)")).withColumn(
+            "_bit", F.expr(f"shiftright({rank}, _b) & 1"))
         folded = b.groupBy(*keys, "_b", "_p", order, "_bit").agg(F.sum("c").alias("c"))
         w = Window.partitionBy(*keys, "_b", "_p").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
         seen = F.sum(F.when(F.col("_bit") == 1, F.col("c")).otherwise(0)).over(w)
@@ -409,9 +411,8 @@ def kendall_tau(df: DataFrame, x: str, y: str, blocks: int = 64) -> DataFrame:
     same_x = earlier_larger(pts, ["x_block"], "x_rank", "y_rank", rank_bits)
     same_y = earlier_larger(pts, ["y_block"], "y_rank", "x_block", block_bits)
     counts = pts.groupBy("x_block", "y_block").agg(F.sum("c").alias("c"))
-    span = F.sequence(F.lit(0), F.lit(2 * blocks + 1))
-    frame = df.sparkSession.range(1).select(F.explode(span).alias("x_block")).select(
-        F.col("x_block").cast("long"), F.explode(span).cast("long").alias("y_block"))
+    span = F.sequence(F.lit(0).cast("long"), F.lit(2 * blocks + 1).cast("long"))
+    frame = df.sparkSession.range(2 * blocks + 2).select(F.col("id").alias("x_block"), F.explode(span).alias("y_block"))
     dense = frame.join(counts, ["x_block", "y_block"], "left").fillna(0, ["c"])
     below = Window.partitionBy("x_block").orderBy("y_block").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("y_block").orderBy(F.desc("x_block")).rowsBetween(Window.unboundedPreceding, -1)

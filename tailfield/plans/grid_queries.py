@@ -116,10 +116,10 @@ def focal_sql(size: int) -> str:
             ' ON c."row" = sr AND c.col = sc GROUP BY w."row", w.col HAVING count(*) >= 3)')
 
 
-@query("g10_focal_window", f"""WITH {focal_sql(5)} SELECT "row", col, round(local_mean, 4) AS local_mean,
- round(sqrt(greatest(m2 - local_mean * local_mean, 0)), 4) AS local_std, n FROM foc""")
+@query("g10_focal_window", f"""WITH {focal_sql(5)} SELECT "row", col, round(local_mean, 9) AS local_mean,
+ round(sqrt(greatest(m2 - local_mean * local_mean, 0)), 6) AS local_std, n FROM foc""")
 def g10(spark, sf):
-    return rounded(g.focal_stats(du_cells(spark, sf), "v", 5, n_rows(spark, sf), WIDTH), 4)
+    return rounded(g.focal_stats(du_cells(spark, sf), "v", 5, n_rows(spark, sf), WIDTH), 9, local_std=6)
 
 
 @query("g11_surface_gradient", f"""WITH {focal_sql(5)}, n AS (SELECT f."row", f.col, f.local_mean AS own, coalesce(u.local_mean, 0) AS u,

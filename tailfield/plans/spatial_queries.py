@@ -96,7 +96,7 @@ LEN_SQL = "sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))"
  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_m FROM line_edges WHERE line_id = 0),
  pt AS (SELECT DISTINCT easting AS px, northing AS py FROM pixels),
  b AS (SELECT px, py, arg_min(start_m + {SEG_T} * edge_m, ROW({SEG_D2}, seq)) / 1000 AS along_km FROM pt, e GROUP BY px, py)
- SELECT pixel_id, round(along_km, 4) AS along_km FROM pixels JOIN b ON easting = px AND northing = py""")
+ SELECT pixel_id, round(b.along_km, 4) AS along_km FROM pixels JOIN b ON easting = px AND northing = py""")
 def j07(spark, sf):
     edges = sp.edges_of(line_vertices(spark, sf)).where("line_id = 0")
     pts = pixels(spark, sf).select("pixel_id", "easting", "northing")
