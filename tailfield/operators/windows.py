@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tailfield.operators.ordering import exact_quantiles
+from tailfield.operators.relational import candidate_filter
+from tailfield.session import small_table
+
 
 def hotspot() -> Column:
     """1 at or beyond the permafrost thresholds of either target."""
@@ -16,3 +22,247 @@ def window_score() -> Column:
     du = F.greatest(-F.coalesce("d_u", F.lit(0.0)), F.lit(0.0))
     grad = F.greatest(F.coalesce("grad_mag_km", F.lit(0.0)), F.lit(0.0))
     return hotspot() * 2.5 + du / 20.0 + grad / 30.0
+
+
+def _between(c: Column, lo: float, hi: float) -> Column:
+    return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+
+
+def _near(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(999.0))
+
+
+def proximity_bonus(kind: str) -> Column:
+    if kind == "transition":
+        return _between(F.lit(5.0) - _near("zou_boundary_distance_km"), 0.0, 5.0) / 5.0
+    if kind == "near_tl":
+        return _between(F.lit(2.0) - _near("tl_distance_km"), 0.0, 2.0) / 2.0
+    if kind == "near_rts":
+        return _between(F.lit(2.0) - _near("rts_distance_km"), 0.0, 2.0) / 2.0
+    return _between(_near("zou_boundary_distance_km"), 5.0, 20.0) / 20.0 + _between(_near("tlrts_distance_km"), 2.0, 10.0) / 20.0
+
+
+def score_candidates(df: DataFrame, kind: str, cell_m: float = 12_000.0) -> DataFrame:
+    """Candidate cells with median centre, counts and scores; the caller orders them.
+
+    Medians are exact and never gather a cell in one task: they go through the same
+    counted brackets as every other quantile.
+    """
+    sub = df.where(candidate_filter(kind)).withColumn("hotspot", hotspot()).withColumn(
+        "score", window_score() + proximity_bonus(kind)).withColumn(
+        "cell_x", F.floor(F.col("easting") / cell_m)).withColumn("cell_y", F.floor(F.col("northing") / cell_m))
+    by = ["cell_x", "cell_y"]
+    out = sub.groupBy(*by).agg(F.count("*").alias("n_points"), F.sum("hotspot").alias("n_hotspots"), F.avg("score").alias("mean_score"),
+                               F.max("score").alias("max_score"))
+    for c in ("easting", "northing"):
+        m = exact_quantiles(sub, c, [0.5], by).select(*by, F.get("quantiles", F.lit(0)).alias(f"center_{c}"))
+        out = out.join(m, by)
+    return out
+
+
+CANDIDATE_ORDER = ("n_hotspots", "mean_score", "n_points", "max_score")
+
+
+def greedy_windows(candidates: DataFrame, order: list[Column], n: int, spacing: float, *, x: str, y: str, payload: list[str]) -> DataFrame:
+    """Best-first choice of ``n`` rows pairwise at least ``spacing`` apart.
+
+    Each round takes the best remaining row, a top-1 over the distributed table, and drops
+    the rows around it; ``n`` is a handful of windows for a figure.
+    """
+    spark = candidates.sparkSession
+    rest, rows = candidates, []
+    for i in range(n):
+        best = rest.orderBy(*order).select(x, y, *payload).first()
+        if best is None:
+            break
+        rows.append((i + 1, *[best[c] for c in (x, y, *payload)]))
+        rest = rest.where(F.pow(F.col(x) - best[x], 2) + F.pow(F.col(y) - best[y], 2) >= spacing * spacing)
+    types = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
+    ddl = ", ".join(["pick int", *[f"{c} {types[c]}" for c in (x, y, *payload)]])
+    return small_table(spark, ddl, rows) if rows else candidates.select(F.lit(0).alias("pick"), x, y, *payload).limit(0)
+
+
+def windows_per_kind(df: DataFrame, kinds: list[str], *, window_km: float = 24.0, spacing_km: float = 35.0, cell_m: float = 12_000.0,
+                     tiles: DataFrame | None = None, min_cover: float = 0.75) -> DataFrame:
+    """One window per kind: the best candidate far enough from earlier picks, well covered ones first.
+
+    Without a spaced candidate the best one is taken. The loop runs over a few kinds.
+    """
+    from tailfield.operators.spatial import best_cover
+
+    rows = []
+    for kind in kinds:
+        cand = score_candidates(df, kind, cell_m).withColumn("key", F.concat_ws("_", "cell_x", "cell_y"))
+        half = window_km * 500.0
+        cand = cand.withColumns({"xmin": F.col("center_easting") - half, "xmax": F.col("center_easting") + half,
+                                 "ymin": F.col("center_northing") - half, "ymax": F.col("center_northing") + half})
+        cand = best_cover(cand, tiles, key="key", cell=window_km * 1000.0) if tiles is not None else cand.withColumn(
+            "tile", F.lit("")).withColumn("cover", F.lit(0.0))
+        free = F.lit(True)
+        for r in rows:
+            free = free & (F.pow(F.col("center_easting") - r[1], 2) + F.pow(F.col("center_northing") - r[2], 2) >= (spacing_km * 1000.0) ** 2)
+        good = F.col("cover") >= min_cover
+        class_ = F.when(free & good, 0).when(free, 1).when(good, 2).otherwise(3)
+        order = [class_, *[F.desc(c) for c in CANDIDATE_ORDER], "key"]
+        best = cand.orderBy(*order).first()
+        if best is not None:
+            rows.append((kind, best["center_easting"], best["center_northing"], best["n_points"], best["n_hotspots"], best["mean_score"],
+                         best["tile"], best["cover"]))
+    return small_table(df.sparkSession, "window_key string, center_easting_m double, center_northing_m double, n_points bigint,"
+                       " n_hotspots bigint, mean_score double, tile string, cover double", rows)
+
+
+def box_statistics(df: DataFrame, half: float, score: str, hot: str) -> DataFrame:
+    """For every distinct position the counts and scores of the rows in the square around it.
+
+    Rows are summed per position first. A position then looks at the tiles around it,
+    one tile being half a window wide.
+    """
+    x, y = "easting", "northing"
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(
+        F.count("*").alias("n"), F.sum(hot).alias("h"), F.sum(score).alias("s"), F.count(score).alias("sn"), F.max(score).alias("m"))
+
+    def t(c: Column) -> Column:
+        return F.floor(c / half)
+
+    around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
+    spread = cells.select(F.col(x).alias("_x"), F.col(y).alias("_y"), "n", "h", "s", "sn", "m", around.alias("_i")).select(
+        "*", around.alias("_j")).withColumn("_tx", t(F.col("_x")) + F.col("_i")).withColumn("_ty", t(F.col("_y")) + F.col("_j")).drop("_i", "_j")
+    own = cells.select(x, y).withColumn("_tx", t(F.col(x))).withColumn("_ty", t(F.col(y)))
+    hit = own.join(spread, ["_tx", "_ty"]).where((F.abs(F.col("_x") - F.col(x)) <= half) & (F.abs(F.col("_y") - F.col(y)) <= half))
+    return hit.groupBy(x, y).agg(
+        F.sum("n").alias("n_points"), F.sum("h").alias("n_hotspots"), (F.sum("s") / F.sum("sn")).alias("mean_score"), F.max("m").alias("max_score"))
+
+
+def zoom_windows(df: DataFrame, *, n: int, half: float, spacing: float, min_points: int, min_hotspots: int, score: str, hot: str,
+                 second: str, id_col: str, forbidden: list[tuple[float, float, float, float]] = (), relaxed: bool = True) -> DataFrame:
+    """Windows around the best-scored rows that hold enough rows and hotspots and avoid given boxes.
+
+    Boxes that fail never block others, so failing rows are removed first. When too few
+    windows result, both counts are halved once if ``relaxed``.
+    """
+    stats = box_statistics(df, half, score, hot)
+    ranked = df.select("easting", "northing", F.col(score).alias("_score"), F.col(second).alias("_second"), F.col(id_col).alias("_id"))
+    best = ranked.groupBy("easting", "northing").agg(
+        F.max(F.struct("_score", F.coalesce("_second", F.lit(float("-inf"))).alias("_second"))).alias("b"))
+    rows = stats.join(best, ["easting", "northing"]).select("*", F.col("b._score").alias("_score"), F.col("b._second").alias("_second")).drop("b")
+    for x0, x1, y0, y1 in forbidden:
+        rows = rows.where((F.col("easting") + half < x0) | (F.col("easting") - half > x1) | (F.col("northing") + half < y0) | (F.col("northing") - half > y1))
+    order = [F.desc("_score"), F.desc("_second"), F.col("easting"), F.col("northing")]
+    payload = ["n_points", "n_hotspots", "mean_score", "max_score"]
+
+    def choose(points: int, hots: int) -> DataFrame:
+        ok = rows.where((F.col("n_points") >= points) & (F.col("n_hotspots") >= hots))
+        return greedy_windows(ok, order, n, spacing, x="easting", y="northing", payload=payload)
+
+    out = choose(min_points, min_hotspots)
+    if relaxed and out.count() < n:
+        out = choose(min_points // 2, min_hotspots // 2)
+    return out.withColumns({
+        "xmin": F.col("easting") - half, "xmax": F.col("easting") + half, "ymin": F.col("northing") - half, "ymax": F.col("northing") + half,
+        "hotspot_fraction": F.col("n_hotspots") / F.col("n_points")})
+
+
+def fixed_windows(spark: SparkSession, df: DataFrame, specs: list[tuple], tiles: DataFrame) -> DataFrame:
+    """Scores and cover of given windows (key, label, kind, x, y, size_km, tile): empty windows give 0, 0, NULL."""
+    from tailfield.operators.spatial import count_in_boxes
+
+    table = small_table(spark, "window_key string, window_label string, kind string, center_easting_m double, center_northing_m double,"
+                        " window_size_km double, tile string", specs)
+    half = F.col("window_size_km") * 500.0
+    boxes = table.withColumns({"xmin": F.col("center_easting_m") - half, "xmax": F.col("center_easting_m") + half,
+                               "ymin": F.col("center_northing_m") - half, "ymax": F.col("center_northing_m") + half})
+    kinds = sorted({s[2] for s in specs})
+    tagged = df.withColumn("_kinds", F.filter(F.array(*[F.when(candidate_filter(k), F.lit(k)) for k in kinds]), lambda k: k.isNotNull()))
+    rows = tagged.withColumn("_kind", F.explode("_kinds")).withColumn("_hot", hotspot()).withColumn("_score", window_score())
+    out = None
+    for kind in kinds:
+        part = count_in_boxes(rows.where(F.col("_kind") == kind), boxes.where(F.col("kind") == kind), [
+            F.count("*").alias("n_points"), F.sum("_hot").alias("n_hotspots"), F.avg("_score").alias("mean_score")],
+            key="window_key", tile=max(s[5] for s in specs) * 1000.0)
+        out = part if out is None else out.unionByName(part)
+    t = tiles.select("tile", *[F.col(c).alias(f"t_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
+    joined = out.join(t, "tile", "left")
+    w = F.greatest(F.least("xmax", "t_xmax") - F.greatest("xmin", "t_xmin"), F.lit(0.0))
+    h = F.greatest(F.least("ymax", "t_ymax") - F.greatest("ymin", "t_ymin"), F.lit(0.0))
+    area = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
+    cover = F.when(F.col("t_xmin").isNull(), 0.0).otherwise(w * h / area)
+    return joined.select(
+        "window_key", "window_label", "center_easting_m", "center_northing_m", "window_size_km",
+        F.coalesce("n_points", F.lit(0)).alias("n_points"), F.coalesce("n_hotspots", F.lit(0)).alias("n_hotspots"), "mean_score", "tile",
+        cover.alias("cover"))
+
+
+def _starts(lo: float, hi: float, step: float) -> list[float]:
+    """lo, lo + step, ... below hi."""
+    return [lo + i * step for i in range(max(0, math.ceil((hi - lo) / step)))]
+
+
+def _positions_holding(value: Column, starts: list[float], width: float, step: float) -> Column:
+    """Indexes of the evenly spaced starts whose closed interval holds the value."""
+    first = F.greatest(F.ceil((value - starts[0] - width) / step) - 1, F.lit(0))
+    last = F.least(F.floor((value - starts[0]) / step) + 1, F.lit(len(starts) - 1))
+    table = F.array(*[F.lit(s) for s in starts])
+    span = F.when(last >= first, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.filter(span, lambda i: (F.get(table, i) <= value) & (F.get(table, i) + width >= value))
+
+
+def sliding_counts(points: DataFrame, xs: list[float], ys: list[float], width: float, height: float, step_x: float, step_y: float,
+                   aggregates: list[Column], x: str = "x", y: str = "y") -> DataFrame:
+    """Aggregates per sliding window that holds any point; a point goes to the few windows around it."""
+    placed = points.withColumn("ix", F.explode(_positions_holding(F.col(x), xs, width, step_x))).withColumn(
+        "iy", F.explode(_positions_holding(F.col(y), ys, height, step_y)))
+    return placed.groupBy("ix", "iy").agg(*aggregates)
+
+
+def search_focus(points: DataFrame, edges: DataFrame, extent: tuple[float, float, float, float], crop: float, bonus: float) -> DataFrame:
+    """The window of a share of the extent with the most points, plus a bonus where a line crosses it.
+
+    The candidate grid comes from the extent and is small; ties go to the first in x, then y.
+    """
+    from tailfield.operators.spatial import split_edges
+
+    xmin, xmax, ymin, ymax = extent
+    w, h = (xmax - xmin) * crop, (ymax - ymin) * crop
+    sx, sy = max(1500.0, 0.18 * w), max(1500.0, 0.18 * h)
+    xs = [min(xmax, v + w) - w for v in _starts(xmin, max(xmin, xmax - w) + sx * 0.5, sx)]
+    ys = [min(ymax, v + h) - h for v in _starts(ymin, max(ymin, ymax - h) + sy * 0.5, sy)]
+    x_at, y_at = F.array(*[F.lit(v) for v in xs]), F.array(*[F.lit(v) for v in ys])
+
+    def holders(value: Column, starts: Column, size: float) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(starts) - 1), lambda i: (F.get(starts, i) <= value) & (F.get(starts, i) + size >= value))
+
+    counts = points.withColumn("ix", F.explode(holders(F.col("x"), x_at, w))).withColumn("iy", F.explode(holders(F.col("y"), y_at, h))).groupBy(
+        "ix", "iy").agg(F.count("*").alias("n"))
+    # a line meets a box when one of its pieces, clipped to the box, keeps some length
+    reach = split_edges(edges, min(w, h)).select("x1", "y1", "x2", "y2", "mx", "my").withColumn(
+        "ix", F.explode(F.filter(F.sequence(F.lit(0), F.size(x_at) - 1), lambda i: (F.get(x_at, i) <= F.greatest("x1", "x2")) & (F.get(x_at, i) + w >= F.least("x1", "x2"))))).withColumn(
+        "iy", F.explode(F.filter(F.sequence(F.lit(0), F.size(y_at) - 1), lambda i: (F.get(y_at, i) <= F.greatest("y1", "y2")) & (F.get(y_at, i) + h >= F.least("y1", "y2"))))).drop("mx", "my").distinct()
+    bx, by = F.get(x_at, F.col("ix")), F.get(y_at, F.col("iy"))
+    t0, t1 = F.lit(0.0), F.lit(1.0)
+    for p, d, lo, hi in ((F.col("x1"), F.col("x2") - F.col("x1"), bx, bx + w), (F.col("y1"), F.col("y2") - F.col("y1"), by, by + h)):
+        a, b = (lo - p) / F.nullif(d, F.lit(0.0)), (hi - p) / F.nullif(d, F.lit(0.0))
+        t0 = F.greatest(t0, F.coalesce(F.least(a, b), F.lit(0.0)))
+        t1 = F.least(t1, F.coalesce(F.greatest(a, b), F.lit(1.0)))
+    crossed = reach.where(t0 <= t1).select("ix", "iy").distinct().withColumn("_hit", F.lit(float(bonus)))
+    frame = points.sparkSession.range(len(xs)).select(F.col("id").cast("int").alias("ix"), F.explode(F.sequence(F.lit(0), F.lit(len(ys) - 1))).alias("iy"))
+    scored = frame.join(counts, ["ix", "iy"], "left").join(crossed, ["ix", "iy"], "left").withColumn(
+        "score", F.coalesce("n", F.lit(0)) + F.coalesce("_hit", F.lit(0.0)))
+    best = scored.agg(F.max_by(F.struct("ix", "iy"), F.struct("score", -F.col("ix"), -F.col("iy"))).alias("b"), F.max("score").alias("score"))
+    px, py = F.get(x_at, F.col("b.ix")), F.get(y_at, F.col("b.iy"))
+    return best.select(px.alias("xmin"), (px + w).alias("xmax"), py.alias("ymin"), (py + h).alias("ymax"), "score")
+
+
+def window_with_both(lakes: DataFrame, slumps: DataFrame, bounds: tuple[float, float, float, float], *, width: float = 30_000.0,
+                     height: float = 45_000.0, step: float = 5_000.0, weight: int = 12, xpad: float = 2_500.0, ypad: float = 3_000.0) -> DataFrame:
+    """The window holding both kinds with the largest lakes + weight * slumps, padded; first in x, then y on ties."""
+    xmin, xmax, ymin, ymax = bounds
+    xs, ys = _starts(xmin, xmax + step, step), _starts(ymin, ymax + step, step)
+    both = lakes.select("x", "y", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(slumps.select("x", "y", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    counts = sliding_counts(both, xs, ys, width, height, step, step, [F.sum("a").alias("lakes"), F.sum("b").alias("slumps")])
+    scored = counts.where("lakes > 0 AND slumps > 0").withColumn("score", F.col("lakes") + F.col("slumps") * weight)
+    best = scored.agg(F.max_by(F.struct("ix", "iy", "lakes", "slumps", "score"), F.struct("score", -F.col("ix"), -F.col("iy"))).alias("b")).select("b.*")
+    x0, y0 = F.lit(xmin) + F.col("ix") * step, F.lit(ymin) + F.col("iy") * step
+    return best.where("ix IS NOT NULL").select(
+        (x0 - xpad).alias("xmin"), (x0 + width + xpad).alias("xmax"), (y0 - ypad).alias("ymin"), (y0 + height + ypad).alias("ymax"),
+        "lakes", "slumps", "score")

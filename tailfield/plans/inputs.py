@@ -36,7 +36,7 @@ PIXEL_COLUMNS = {
             " + CAST(l_partkey % 7 AS DOUBLE) / 10 END",
     "slope": "l_tax * CAST(100 AS DOUBLE) + CAST(l_suppkey % 10 AS DOUBLE) / 4",
     "dem": "CAST(4000 AS DOUBLE) + l_extendedprice / 50",
-    "soc": "l_quantity * CAST(2 AS DOUBLE) + l_extendedprice / 20000",
+    "soc": "l_quantity + CAST((l_partkey * 13 + l_suppkey) % 60 AS DOUBLE)",
     "ndvi": "CAST(l_partkey % 97 AS DOUBLE) / 100",
     "vwc35": "CASE WHEN l_linenumber >= 5 THEN NULL ELSE CAST(l_suppkey % 50 AS DOUBLE) / 100 END",
     "zou_boundary_distance_km": "CASE WHEN l_linenumber = 3 AND l_quantity > 45 THEN NULL"

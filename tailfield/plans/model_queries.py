@@ -1,0 +1,258 @@
+"""Queries over model pipelines, their scores and their interpretation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tailfield.functions.geo import block_id
+from tailfield.functions.labels import extreme_label
+from tailfield.operators import evaluate as ev
+from tailfield.operators import models as mo
+from tailfield.operators.sampling import blocked_holdout, random_split
+from tailfield.plans.inputs import basin_pixels, pixels
+from tailfield.plans.registry import query, rounded
+from tailfield.session import materialise, scratch_dir
+from tailfield.sources import artefacts
+
+FEATURES = ["magt", "slope", "dem", "soc", "ndvi", "vwc35"]
+BLOCK = 2500.0
+SMALL = {"trees": 8, "depth": 4}
+
+
+def frame(spark, sf, domain: str | None = None):
+    df = pixels(spark, sf).where("domain IN ('pf', 'npf')" if domain is None else f"domain = '{domain}'")
+    return df.select("pixel_id", "domain", "easting", "northing", "d_u", "grad_mag_km", *FEATURES, "pf_expert", "npf_expert", "zou_boundary_distance_km",
+                     block_id("easting", "northing", BLOCK).alias("block_id"), extreme_label("d_u").alias("label")).where("label IS NOT NULL")
+
+
+def fixed_score(df):
+    """A fixed rational score of two features, in the place of a fitted model."""
+    z = F.coalesce("soc", F.lit(0.0)) / 50.0 + F.coalesce("slope", F.lit(0.0)) / 10.0
+    return df.withColumn("prediction", z / (z + 1.5))
+
+
+SCORE = "(coalesce({0}soc, 0) / 50 + coalesce({1}slope, 0) / 10) / (coalesce({0}soc, 0) / 50 + coalesce({1}slope, 0) / 10 + 1.5)"
+
+
+def held_out(spark, sf, domain="pf"):
+    return materialise(blocked_holdout(frame(spark, sf, domain), test=0.25))
+
+
+def metric_rows(df):
+    return rounded(df, 4)
+
+
+@query("s10_model_store")
+def s10(spark, sf):
+    root, inputs = scratch_dir(spark) + "/models", [f"{sf}/lineitem.parquet"]
+    df = frame(spark, sf, "pf")
+
+    def fit():
+        m = mo.fit_model(df, FEATURES, "linear")
+        return m.pipeline, {"medians": m.medians, "features": FEATURES}
+
+    need = ["medians", "features"]
+    artefacts.stored_model(spark, root, inputs, {"kind": "linear"}, need, fit)
+    pipeline, facts, reused = artefacts.stored_model(spark, root, inputs, {"kind": "linear"}, need, fit)
+    model = mo.FittedModel(facts["features"], facts["medians"], pipeline)
+    return metric_rows(ev.binary_metrics(model.predict(df), score="prediction").withColumn("reused", F.lit(reused)))
+
+
+@query("m01_median_imputation", """SELECT pixel_id, round(coalesce(magt, (SELECT quantile_cont(magt, 0.5) FROM pixels)), 6) AS magt,
+ round(coalesce(vwc35, (SELECT quantile_cont(vwc35, 0.5) FROM pixels)), 6) AS vwc35 FROM pixels""")
+def m01(spark, sf):
+    df = pixels(spark, sf).select("pixel_id", "magt", "vwc35")
+    return rounded(mo.impute(df, mo.fit_medians(df, ["magt", "vwc35"])))
+
+
+@query("m02_scaled_components")
+def m02(spark, sf):
+    split = held_out(spark, sf)
+    model = mo.fit_model(split.where("split = 'train'"), FEATURES, "linear", pca=True)
+    k = model.pipeline.stages[-2].getK()
+    return metric_rows(ev.binary_metrics(model.predict(split.where("split = 'test'")), score="prediction").withColumn("components", F.lit(k)))
+
+
+def _one_model(spark, sf, kind, **kw):
+    split = held_out(spark, sf)
+    model = mo.fit_model(split.where("split = 'train'"), FEATURES, kind, **kw)
+    return metric_rows(ev.binary_metrics(model.predict(split.where("split = 'test'")), score="prediction"))
+
+
+@query("m03_bagged_trees")
+def m03(spark, sf):
+    return _one_model(spark, sf, "forest", **SMALL)
+
+
+@query("m04_boosted_trees")
+def m04(spark, sf):
+    return _one_model(spark, sf, "boosted", trees=5, depth=3)
+
+
+@query("m05_balanced_logistic")
+def m05(spark, sf):
+    return _one_model(spark, sf, "linear")
+
+
+@query("m06_stacking")
+def m06(spark, sf):
+    split = held_out(spark, sf)
+    model = mo.fit_stack(split.where("split = 'train'"), FEATURES, ["forest", "linear"], folds=2, **SMALL)
+    return metric_rows(ev.binary_metrics(model.predict(split.where("split = 'test'")), score="prediction"))
+
+
+@query("m07_regressor_per_group")
+def m07(spark, sf):
+    from tailfield.operators.fits import fit_quality
+    from tailfield.operators.stats import top_categories
+    from tailfield.sources.tables import stack
+    df = basin_pixels(spark, sf).where("domain = 'pf'").withColumn("basin", F.coalesce("Main-Basin", F.lit("missing")))
+    groups = ["all"] + [r["basin"] for r in top_categories(df, "basin", 2).collect()]
+    parts = []
+    for name in groups:
+        rows = random_split(df if name == "all" else df.where(F.col("basin") == name), "pixel_id", 0.25)
+        predict, importance = mo.fit_regressor(rows.where("split = 'train'"), FEATURES, "d_u", trees=6, depth=5)
+        quality = fit_quality(predict(rows.where("split = 'test'")), "d_u", "prediction", -25.0, 10.0)
+        for f, v in importance.items():
+            parts.append(quality.select(F.lit(name).alias("basin"), "n", "r2", "mae", F.lit(f).alias("feature"), F.lit(v).alias("importance")))
+    return metric_rows(stack(parts))
+
+
+@query("m08_domain_suite")
+def m08(spark, sf):
+    out = mo.fit_domain(frame(spark, sf), "d_u", "pf", FEATURES, ["linear", "forest"], **SMALL)
+    return metric_rows(out["metrics"].withColumn("best", F.lit(out["best"])).withColumn("n_features", F.lit(len(out["features"]))))
+
+
+@query("m09_wall_to_wall_scores")
+def m09(spark, sf):
+    from tailfield.operators.grid import with_cell
+    df = frame(spark, sf)
+    models = {d: mo.fit_model(df.where(F.col("domain") == d), FEATURES, "linear") for d in ("pf", "npf")}
+    own = mo.score_cells(with_cell(df), models, "own", ["row", "col"])
+    both = mo.score_cells(with_cell(df), models, "all", ["row", "col"])
+    a = own.groupBy("row", "col").agg(F.count("*").alias("n"), F.avg("prob").alias("prob"))
+    b = both.groupBy("row", "col").agg(F.avg("prob_pf").alias("prob_pf"), F.avg("prob_npf").alias("prob_npf"))
+    return metric_rows(a.join(b, ["row", "col"]))
+
+
+def metrics_sql(source: str, keys: list[str]) -> str:
+    """Metric CTEs over ``source(keys..., label, score)``: the result is ``met``."""
+    k = ", ".join(keys)
+    part = f"PARTITION BY {k}"
+    return f"""fo AS (SELECT {k}, score, count(*) AS n, sum(label) AS p FROM {source} GROUP BY ALL),
+ cu AS (SELECT *, sum(n - p) OVER ({part} ORDER BY score) - (n - p) AS nb, sum(n) OVER ({part} ORDER BY score DESC) AS an, sum(p) OVER ({part} ORDER BY score DESC) AS ap FROM fo),
+ q9 AS (SELECT {k}, quantile_cont(score, 0.9) AS cut FROM {source} GROUP BY ALL), td AS (SELECT {k}, avg(label) FILTER (score >= cut) AS tdr FROM {source} JOIN q9 USING ({k}) GROUP BY {k}),
+ met AS (SELECT {k}, CAST(sum(n) AS BIGINT) AS n, sum(p) / sum(n)::DOUBLE AS positive_fraction, sum(n * score) / sum(n) AS mean_prediction, sum(n * score) / sum(p) AS prediction_to_observed_ratio,
+ sum(p * (ap / an::DOUBLE)) / sum(p) AS average_precision, sum(p * (nb + (n - p) / 2.0::DOUBLE)) / (sum(p)::DOUBLE * sum(n - p)) AS roc_auc,
+ sum(p * pow(1 - score, 2) + (n - p) * score * score) / sum(n) AS brier FROM cu GROUP BY {k})"""
+
+
+METRIC_COLS = ", ".join(f"round({c}, 6) AS {c}" for c in ("positive_fraction", "mean_prediction", "prediction_to_observed_ratio", "average_precision", "roc_auc", "brier"))
+
+
+@query("m10_binary_metrics", f"""WITH src AS (SELECT m.method, d.eval_domain, label, CASE m.method WHEN 'pf_expert' THEN pf_expert ELSE npf_expert END AS score FROM labelled,
+ (VALUES ('pf_expert'), ('npf_expert')) m(method), (VALUES ('all'), ('pf'), ('npf')) d(eval_domain) WHERE label IS NOT NULL AND (eval_domain = 'all' OR eval_domain = domain)),
+ {metrics_sql('src', ['method', 'eval_domain'])}
+ SELECT method, eval_domain, n, {METRIC_COLS}, round(tdr, 6) AS top_decile_rate, round(tdr / positive_fraction, 6) AS top_decile_lift FROM met JOIN td USING (method, eval_domain)""")
+def m10(spark, sf):
+    long = ev.long_scores(frame(spark, sf), ["pf_expert", "npf_expert"], ["domain", "label"])
+    return rounded(ev.binary_metrics(long, by=["method"], domain="domain"))
+
+
+@query("m11_roc_points", """WITH f AS (SELECT domain, pf_expert AS s, count(*) AS n, sum(label) AS p FROM labelled WHERE label IS NOT NULL GROUP BY ALL),
+ c AS (SELECT domain, s, sum(p) OVER w AS tp, sum(n - p) OVER w AS fp, sum(p) OVER (PARTITION BY domain) AS tot_p, sum(n - p) OVER (PARTITION BY domain) AS tot_n FROM f WINDOW w AS (PARTITION BY domain ORDER BY s DESC))
+ SELECT domain, round(s, 6) AS threshold, round(fp / tot_n::DOUBLE, 6) AS fpr, round(tp / tot_p::DOUBLE, 6) AS tpr FROM c
+ UNION ALL SELECT DISTINCT domain, NULL::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM f""")
+def m11(spark, sf):
+    return rounded(ev.roc_points(frame(spark, sf), score="pf_expert", by=["domain"]))
+
+
+_GROUPS = {"soil": ["soc"], "terrain": ["slope"], "both": ["soc", "slope"]}
+
+
+@query("m12_permutation_importance", f"""WITH base AS (SELECT pixel_id, label, soc, slope FROM labelled WHERE label IS NOT NULL ORDER BY md5(pixel_id || '0'), pixel_id LIMIT 15000),
+ sp AS (SELECT base.*, g, r FROM base, (VALUES ('soil'), ('terrain'), ('both')) v(g), (SELECT unnest(range(0, 5)) AS r)),
+ ow AS (SELECT *, row_number() OVER (PARTITION BY g, r ORDER BY pixel_id) AS k FROM sp), dn AS (SELECT g, r, soc AS ds, slope AS dl, row_number() OVER (PARTITION BY g, r ORDER BY md5(pixel_id || '|' || g || '|' || r), pixel_id) AS k FROM sp),
+ sw AS (SELECT g, r, label, CASE WHEN g IN ('soil', 'both') THEN ds ELSE soc END AS soc, CASE WHEN g IN ('terrain', 'both') THEN dl ELSE slope END AS slope FROM ow JOIN dn USING (g, r, k)
+ UNION ALL SELECT 'base', 0, label, soc, slope FROM base),
+ src AS (SELECT g, r, label, {SCORE.format('', '')} AS score FROM sw), {metrics_sql('src', ['g', 'r'])}, b AS (SELECT average_precision AS ap FROM met WHERE g = 'base')
+ SELECT g AS "group", round(avg(ap - average_precision), 6) AS importance, round(stddev_samp(ap - average_precision), 6) AS importance_std, round(any_value(ap), 6) AS baseline_average_precision, count(*) AS n_repeats
+ FROM met, b WHERE g <> 'base' GROUP BY g""")
+def m12(spark, sf):
+    return rounded(ev.permutation_importance(frame(spark, sf), _GROUPS, fixed_score, repeats=5))
+
+
+ALE_SQL = f"""x AS (SELECT domain, soc, slope FROM labelled WHERE label IS NOT NULL AND soc IS NOT NULL), e AS (SELECT list_distinct(quantile_cont(soc, [{', '.join(repr(i / 16) for i in range(17))}])) AS q0 FROM x),
+ s AS (SELECT list_sort(q0) AS q FROM e), b AS (SELECT slope, least(greatest(len(list_filter(q, lambda v: v <= soc)) - 1, 0), len(q) - 2) AS bin, q FROM x, s),
+ d AS (SELECT bin, {SCORE.format('hi', '')} - {SCORE.format('lo', '')} AS df FROM (SELECT bin, slope, q[bin + 1] AS losoc, q[bin + 2] AS hisoc FROM b)),
+ t AS (SELECT bin, avg(df) AS m, coalesce(stddev_samp(df), 0) AS sd, count(*) AS n FROM d GROUP BY bin),
+ c AS (SELECT bin, n, coalesce(sum(m) OVER w, 0) + 0.5 * m AS a, sqrt(coalesce(sum(sd * sd / n) OVER w, 0) + 0.25 * sd * sd / n) AS se FROM t WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ ale AS (SELECT bin::INTEGER AS bin, (q[bin + 1] + q[bin + 2]) / 2 AS x, a - (SELECT sum(a * n) / sum(n) FROM c) AS y, se, n FROM c, s)"""
+
+
+@query("m13_accumulated_effects", f"WITH {ALE_SQL} SELECT bin, round(x, 6) AS x, round(y, 6) AS y, round(y - 1.96 * se, 6) AS ylo, round(y + 1.96 * se, 6) AS yhi, n FROM ale")
+def m13(spark, sf):
+    return rounded(ev.ale_curve(frame(spark, sf), "soc", fixed_score))
+
+
+@query("m14_effect_summary", f"""WITH {ALE_SQL} SELECT 'soc' AS feature, count(*) AS n_ale_bins, round(min(x), 6) AS feature_min, round(max(x), 6) AS feature_max, round(arg_min(y, x), 6) AS ale_start, round(arg_max(y, x), 6) AS ale_end,
+ round(min(y), 6) AS ale_min, round(max(y), 6) AS ale_max, round(max(y) - min(y), 6) AS ale_range FROM ale""")
+def m14(spark, sf):
+    curve = ev.ale_curve(frame(spark, sf), "soc", fixed_score).withColumn("feature", F.lit("soc"))
+    return rounded(ev.curve_summary(curve, ["feature"]))
+
+
+@query("m15_partial_dependence", f"""WITH q AS (SELECT quantile_cont(soc, 0.05) AS a, quantile_cont(soc, 0.95) AS b FROM labelled WHERE label IS NOT NULL), r AS (SELECT slope FROM labelled WHERE label IS NOT NULL ORDER BY md5(pixel_id || '0'), pixel_id LIMIT 4000),
+ g AS (SELECT i, a + i * ((b - a) / 39) AS gsoc, slope FROM q, r, (SELECT unnest(range(0, 40)) AS i)), s AS (SELECT i, gsoc, {SCORE.format('g', '')} AS p FROM g)
+ SELECT i::INTEGER AS point, round(max(gsoc), 6) AS x, round(avg(p), 6) AS y, round(avg(p) - 0.1 * stddev_pop(p), 6) AS ylo, round(avg(p) + 0.1 * stddev_pop(p), 6) AS yhi FROM s GROUP BY i""")
+def m15(spark, sf):
+    return rounded(ev.partial_dependence(frame(spark, sf), "soc", fixed_score))
+
+
+@query("m16_rank_fusion", """WITH cal AS (SELECT pf_expert, npf_expert FROM labelled WHERE label IS NOT NULL AND domain = 'npf'), n AS (SELECT count(*)::DOUBLE AS n FROM cal),
+ ev AS (SELECT pixel_id, pf_expert, npf_expert FROM labelled WHERE label IS NOT NULL AND domain = 'pf'),
+ ra AS (SELECT v, sum(sum(w)) OVER (ORDER BY v) AS c FROM (SELECT pf_expert AS v, 1 AS w FROM cal UNION ALL SELECT pf_expert, 0 FROM ev) GROUP BY v),
+ rb AS (SELECT v, sum(sum(w)) OVER (ORDER BY v) AS c FROM (SELECT npf_expert AS v, 1 AS w FROM cal UNION ALL SELECT npf_expert, 0 FROM ev) GROUP BY v)
+ SELECT pixel_id, greatest(pf_expert, npf_expert) AS dual_max, round(greatest(least(greatest(ra.c / n, 1e-5), 1 - 1e-5), least(greatest(rb.c / n, 1e-5), 1 - 1e-5)), 6) AS dual_rank_raw
+ FROM ev JOIN ra ON pf_expert = ra.v JOIN rb ON npf_expert = rb.v, n""")
+def m16(spark, sf):
+    df = frame(spark, sf).select("pixel_id", "domain", "label", "pf_expert", "npf_expert")
+    out = mo.fuse_scores(df.where("domain = 'pf'"), df.where("domain = 'npf'"), fit=False)
+    return rounded(out.select("pixel_id", "dual_max", "dual_rank_raw"))
+
+
+@query("m16_fitted_fusion")
+def m16_fitted(spark, sf):
+    df = random_split(frame(spark, sf).select("pixel_id", "domain", "label", "pf_expert", "npf_expert"), "pixel_id", 0.5)
+    out = mo.fuse_scores(df.where("split = 'test'"), df.where("split = 'train'"))
+    long = ev.long_scores(out, ["dual_expert", "dual_rank", "dual_max", "dual_rank_raw"], ["domain", "label"])
+    return metric_rows(ev.binary_metrics(long, by=["method"], domain="domain"))
+
+
+@query("m17_calibration_bins", """WITH s AS (SELECT domain, method, label, score, row_number() OVER (PARTITION BY domain, method ORDER BY score, pixel_id) AS r, count(*) OVER (PARTITION BY domain, method) AS n FROM (
+ SELECT pixel_id, domain, label, 'pf_expert' AS method, pf_expert AS score FROM labelled WHERE label IS NOT NULL UNION ALL SELECT pixel_id, domain, label, 'npf_expert', npf_expert FROM labelled WHERE label IS NOT NULL)),
+ b AS (SELECT *, CAST(greatest(ceil((r - 1) * least(8, greatest(2, n // 100)) / (n - 1)::DOUBLE) - 1, 0) AS BIGINT) AS bin FROM s)
+ SELECT domain, method, bin, count(*) AS n, round(avg(score), 6) AS mean_prediction, round(avg(label), 6) AS observed_rate, CAST(sum(label) AS BIGINT) AS positive_n, round(min(score), 6) AS prediction_min, round(max(score), 6) AS prediction_max FROM b GROUP BY ALL""")
+def m17(spark, sf):
+    long = ev.long_scores(frame(spark, sf), ["pf_expert", "npf_expert"], ["pixel_id", "domain", "label"])
+    return rounded(ev.calibration_bins(long, "pixel_id", ["domain", "method"]))
+
+
+@query("m18_threshold_sweep")
+def m18(spark, sf):
+    return metric_rows(mo.threshold_sweep(frame(spark, sf, "pf"), "grad_mag_km", [0.90, 0.95], FEATURES, "linear"))
+
+
+@query("m19_ablation")
+def m19(spark, sf):
+    split = held_out(spark, sf)
+    variants = {"all": FEATURES, "without_soil": [f for f in FEATURES if f not in ("soc", "vwc35")]}
+    return metric_rows(mo.ablation(split, variants, lambda rows, feats: mo.fit_model(rows, feats, "linear")))
+
+
+@query("m20_buffer_sweep")
+def m20(spark, sf):
+    return metric_rows(mo.buffer_sweep(frame(spark, sf, "npf"), [0.0, 5.0, 19.94], FEATURES, "linear", "soc"))
+
+
