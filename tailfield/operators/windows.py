@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tailfield.operators.ordering import exact_quantiles
 from tailfield.operators.relational import candidate_filter
-from tailfield.session import small_table
+from tailfield.session import materialise, small_table
 
 
 def hotspot() -> Column:
@@ -135,19 +135,20 @@ def box_statistics(df: DataFrame, half: float, score: str, hot: str) -> DataFram
 
 
 def zoom_windows(df: DataFrame, *, n: int, half: float, spacing: float, min_points: int, min_hotspots: int, score: str, hot: str,
-                 second: str, id_col: str, forbidden: list[tuple[float, float, float, float]] = (), relaxed: bool = True) -> DataFrame:
+                 second: str, forbidden: list[tuple[float, float, float, float]] = (), relaxed: bool = True) -> DataFrame:
     """Windows around the best-scored rows that hold enough rows and hotspots and avoid given boxes.
 
     Boxes that fail never block others, so failing rows are removed first. When too few
     windows result, both counts are halved once if ``relaxed``.
     """
     stats = box_statistics(df, half, score, hot)
-    ranked = df.select("easting", "northing", F.col(score).alias("_score"), F.col(second).alias("_second"), F.col(id_col).alias("_id"))
+    ranked = df.select("easting", "northing", F.col(score).alias("_score"), F.col(second).alias("_second"))
     best = ranked.groupBy("easting", "northing").agg(
         F.max(F.struct("_score", F.coalesce("_second", F.lit(float("-inf"))).alias("_second"))).alias("b"))
     rows = stats.join(best, ["easting", "northing"]).select("*", F.col("b._score").alias("_score"), F.col("b._second").alias("_second")).drop("b")
     for x0, x1, y0, y1 in forbidden:
         rows = rows.where((F.col("easting") + half < x0) | (F.col("easting") - half > x1) | (F.col("northing") + half < y0) | (F.col("northing") - half > y1))
+    rows = materialise(rows)
     order = [F.desc("_score"), F.desc("_second"), F.col("easting"), F.col("northing")]
     payload = ["n_points", "n_hotspots", "mean_score", "max_score"]
 
