@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tailfield.session import materialise
+
 
 def _weighted(profile: DataFrame, x: str, y: str, weight: str | None) -> DataFrame:
     """Rows with finite x, y and their power sums; ``_w`` is 1 without weights."""
@@ -54,7 +56,8 @@ def hinge_candidates(profile: DataFrame, kmin: float, kmax: float, by: list[str]
 
 
 def hinge_fit(profile: DataFrame, kmin: float, kmax: float, by: list[str], **kw) -> DataFrame:
-    """Best knot per group; fewer than six points give NULLs."""
+    """Best knot per group; fewer than six points give NULLs. The profile, a few bins per group, is kept."""
+    profile = materialise(profile)
     fits = hinge_candidates(profile, kmin, kmax, by, **kw)
     row = F.struct("knot", "slope_before", "slope_after", "bic")
     best = fits.groupBy(*by).agg(F.min_by(row, F.struct(F.round("bic", 9).alias("b"), "knot")).alias("f"))
@@ -67,6 +70,7 @@ def hinge_fit(profile: DataFrame, kmin: float, kmax: float, by: list[str], **kw)
 def compare_linear_hinge(profile: DataFrame, kmin: float, kmax: float, by: list[str], count: str = "n", weight: str | None = None,
                          **kw) -> DataFrame:
     """Straight line against hinge per group: both BICs, the gain, slopes and rounded break positions."""
+    profile = materialise(profile)
     fits = hinge_candidates(profile, kmin, kmax, by, weight=weight, **kw)
     cols = [c for c in fits.columns if c not in by]
     best = fits.groupBy(*by).agg(F.min_by(F.struct(*cols), F.struct(F.round("bic", 9).alias("b"), "knot")).alias("f")).select(*by, "f.*")

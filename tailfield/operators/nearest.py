@@ -15,6 +15,7 @@ that can appear in any answer.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,15 +26,6 @@ from tailfield.session import materialise
 STEP = 2
 
 
-def _tile_columns(coords: list[Column], origin: list[float], size: float) -> dict[str, Column]:
-    return {f"_t{i}": F.floor((c - F.lit(o)) / F.lit(size)) for i, (c, o) in enumerate(zip(coords, origin, strict=True))}
-
-
-def _bounds(df: DataFrame, coords: list[Column]) -> list[tuple[float, float]]:
-    row = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(coords) for n, f in (("a", F.min), ("b", F.max))]).first()
-    return [(row[f"a{i}"], row[f"b{i}"]) for i in range(len(coords))]
-
-
 def candidate_tiles(queries: DataFrame, refs: DataFrame, dims: int, levels: int, size: float, k: int = 1,
                     slack: float = 0.0) -> DataFrame:
     """Leaf tile pairs ``_q*``/``_r*`` that may hold one of the k nearest references.
@@ -63,8 +55,8 @@ def candidate_tiles(queries: DataFrame, refs: DataFrame, dims: int, levels: int,
                           *[F.col(f"_r{i}").alias(f"_rp{i}") for i in axes])
         joined = up.join(q, [f"_qp{i}" for i in axes]).join(r, [f"_rp{i}" for i in axes])
         gaps = [F.abs(F.col(f"_q{i}") - F.col(f"_r{i}")) for i in axes]
-        near = reduce(lambda a, b: a + b, [F.pow(F.greatest(g - 1, F.lit(0)), 2) for g in gaps])
-        far = reduce(lambda a, b: a + b, [F.pow(g + 1, 2) for g in gaps])
+        near = reduce(lambda a, b: a + b, [F.greatest(g - 1, F.lit(0)) * F.greatest(g - 1, F.lit(0)) for g in gaps])
+        far = reduce(lambda a, b: a + b, [(g + 1) * (g + 1) for g in gaps])
         sized = joined.withColumn("_near", F.sqrt(near)).withColumn("_far", F.sqrt(far))
         w = Window.partitionBy(*[f"_q{i}" for i in axes])
         if k == 1:
@@ -80,41 +72,71 @@ def candidate_tiles(queries: DataFrame, refs: DataFrame, dims: int, levels: int,
     return pairs
 
 
+def _euclid2(a: list[Column], b: list[Column]) -> Column:
+    return reduce(lambda u, v: u + v, [(x - y) * (x - y) for x, y in zip(a, b, strict=True)])
+
+
 def nearest(
     queries: DataFrame, refs: DataFrame, *, key: list[str], query_coords: list[Column], ref_coords: list[Column],
-    payload: list[str], distance2: Column, tile: float, k: int = 1, slack: float = 0.0, tie: str,
-    rank_tie: list[str] = (),
+    payload: list[str], distance2: Column, tile: float, tie: str, k: int = 1, slack: float = 0.0,
+    from_point: Callable[[list[Column]], Column] | None = None, rank_tie: list[str] = (), only_distance: bool = False,
 ) -> DataFrame:
     """The k nearest references of every distinct query position.
 
     ``key`` are the columns that identify a position, ``payload`` the reference columns
     that ``distance2`` (squared distance or any increasing function of it) and the caller
-    need, ``tie`` the reference column that orders equal distances. Output: ``key``,
-    ``payload``, ``d2`` and, for k > 1, ``rank``.
+    need, ``tie`` the reference column that orders equal distances. ``from_point`` gives the
+    squared straight distance from coordinates to a reference (to ``ref_coords`` by default).
+    Output: ``key``, ``payload``, ``d2`` and, for k > 1, ``rank``; or ``key`` and ``d2``.
     """
     dims = range(len(query_coords))
-    q = queries.select(*key).dropna().distinct()
-    boxes = [_bounds(q, query_coords), _bounds(refs, ref_coords)]
-    if any(b[0][0] is None for b in boxes):
-        empty = q.limit(0).join(refs.select(*payload).limit(0), F.lit(True), "left").withColumn("d2", distance2)
-        return empty.withColumn("rank", F.lit(1)) if k > 1 else empty
-    low = [min(boxes[0][i][0], boxes[1][i][0]) for i in dims]
-    extent = max(max(boxes[0][i][1], boxes[1][i][1]) - low[i] for i in dims)
-    levels = max(1, math.ceil(math.log2(extent / tile + 2) / STEP))
-
-    qt = q.withColumns(_tile_columns(query_coords, low, tile))
-    rt = refs.withColumns(_tile_columns(ref_coords, low, tile))
-    if k > 1:
-        same = Window.partitionBy(*rank_tie).orderBy(tie)
-        rt = rt.withColumn("_rn", F.row_number().over(same)).where(F.col("_rn") <= k).drop("_rn")
     tiles = [f"_t{i}" for i in dims]
-    leaf_q = materialise(qt.select(*tiles).distinct())
-    leaf_r = materialise(rt.groupBy(*tiles).agg(F.count("*").alias("_n")))
-    pairs = candidate_tiles(leaf_q, leaf_r, len(tiles), levels, tile, k, slack)
 
-    held = rt.select(*[F.col(f"_t{i}").alias(f"_r{i}") for i in dims], *payload)
-    placed = qt.select(*[F.col(f"_t{i}").alias(f"_q{i}") for i in dims], *key)
-    matched = pairs.join(held, [f"_r{i}" for i in dims]).join(placed, [f"_q{i}" for i in dims]).withColumn("d2", distance2)
+    def placed_on_tiles(df: DataFrame, coords: list[Column]) -> DataFrame:
+        return df.withColumns({t: F.floor(c / F.lit(tile)) for t, c in zip(tiles, coords, strict=True)})
+
+    if k > 1:
+        same = Window.partitionBy(*rank_tie).orderBy(tie)
+        refs = refs.withColumn("_rn", F.row_number().over(same)).where(F.col("_rn") <= k).drop("_rn")
+    q = queries.select(*key).dropna().distinct()
+    leaf_q = materialise(placed_on_tiles(queries.select(*key).dropna(), query_coords).select(*tiles).distinct())
+    leaf_r = materialise(placed_on_tiles(refs, ref_coords).groupBy(*tiles).agg(F.count("*").alias("_n")))
+    # one row: the tile range decides the number of levels
+    spans = leaf_q.select(*tiles).unionByName(leaf_r.select(*tiles)).agg(
+        *[f(t).alias(f"{n}{t}") for t in tiles for n, f in (("a", F.min), ("b", F.max))]).first()
+    low = {t: spans[f"a{t}"] or 0 for t in tiles}
+    reach = max((spans[f"b{t}"] or 0) - low[t] + 1 for t in tiles)
+    levels = max(1, math.ceil(math.log2(reach + 1) / STEP))
+
+    def rebased(df: DataFrame) -> DataFrame:
+        return df.withColumns({t: F.col(t) - F.lit(low[t]) for t in tiles})
+
+    pairs = candidate_tiles(rebased(leaf_q), rebased(leaf_r), len(tiles), levels, tile, k, slack)
+    held = rebased(placed_on_tiles(refs, ref_coords)).withColumns(
+        {f"_c{i}": c for i, c in enumerate(ref_coords)} if from_point is None else {})
+    spots = [f"_c{i}" for i in dims] if from_point is None else []
+    held = held.select(*[F.col(f"_t{i}").alias(f"_r{i}") for i in dims], *spots, *payload)
+    owner = [f"_q{i}" for i in dims]
+    near = pairs.join(held, [f"_r{i}" for i in dims]).select(*owner, *spots, *payload)
+    if from_point is not None:
+        near = near.distinct()
+    # A reference is at most one half diagonal closer to, or further from, a point of the tile than from its centre.
+    centre = [(F.col(f"_q{i}") + F.lit(low[f"_t{i}"] + 0.5)) * F.lit(tile) for i in dims]
+    to_centre = from_point(centre) if from_point else _euclid2(centre, [F.col(c) for c in spots])
+    w = Window.partitionBy(*owner)
+    sized = near.withColumn("_d", F.sqrt(to_centre))
+    if k == 1:
+        bound = F.min("_d").over(w)
+    else:
+        sized = sized.withColumn("_o", F.row_number().over(w.orderBy("_d")))
+        bound = F.coalesce(F.min(F.when(F.col("_o") == k, F.col("_d"))).over(w), F.lit(float("inf")))
+    diagonal = tile * math.sqrt(len(tiles))
+    kept = sized.withColumn("_b", bound).where(F.col("_d") <= F.col("_b") + diagonal * (1 + 1e-9)).select(*owner, *payload)
+
+    placed = rebased(placed_on_tiles(q, query_coords)).select(*[F.col(f"_t{i}").alias(f"_q{i}") for i in dims], *key)
+    matched = placed.join(kept, owner).withColumn("d2", distance2)
+    if only_distance:
+        return matched.groupBy(*key).agg(F.min("d2").alias("d2"))
     if k == 1:
         best = F.min_by(F.struct("d2", *payload), F.struct("d2", tie)).alias("b")
         return matched.groupBy(*key).agg(best).select(*key, "b.*")

@@ -8,32 +8,39 @@ from pyspark.sql import functions as F
 from tailfield.constants import EARTH_RADIUS_KM
 from tailfield.functions.geo import haversine_km, segment_projection, unit_sphere_km
 from tailfield.operators.nearest import nearest
+from tailfield.session import materialise
 
 
-def nearest_point(points: DataFrame, refs: DataFrame, *, x="easting", y="northing", rx="x", ry="y", ref_id="point_id",
-                  tile: float = 4096.0, out: str = "boundary_km") -> DataFrame:
+def nearest_point(points: DataFrame, refs: DataFrame, *, x="easting", y="northing", rx="x", ry="y",
+                  tile: float = 2048.0, out: str = "boundary_km") -> DataFrame:
     """Planar distance in km to the closest reference; NULL without coordinates."""
-    r = refs.select(F.col(rx).alias("_rx"), F.col(ry).alias("_ry"), F.col(ref_id).alias("_rid")).dropna()
-    d2 = F.pow(F.col(x) - F.col("_rx"), 2) + F.pow(F.col(y) - F.col("_ry"), 2)
+    r = refs.select(F.col(rx).alias("_rx"), F.col(ry).alias("_ry")).dropna().distinct()
+    dx, dy = F.col(x) - F.col("_rx"), F.col(y) - F.col("_ry")
+    d2 = dx * dx + dy * dy
     found = nearest(points, r, key=[x, y], query_coords=[F.col(x), F.col(y)], ref_coords=[F.col("_rx"), F.col("_ry")],
-                    payload=["_rx", "_ry", "_rid"], distance2=d2, tile=tile, tie="_rid")
+                    payload=["_rx", "_ry"], distance2=d2, tile=tile, tie="_rx", only_distance=True)
     return points.join(found.select(x, y, (F.sqrt("d2") / 1000.0).alias(out)), [x, y], "left")
 
 
 def nearest_point_sphere(points: DataFrame, refs: DataFrame, *, lon="longitude", lat="latitude", rlon="lon", rlat="lat",
-                         ref_id="point_id", tile_km: float = 64.0, out: str = "boundary_km") -> DataFrame:
+                         tile_km: float = 64.0, out: str = "boundary_km") -> DataFrame:
     """Great-circle distance in km to the closest reference, searched along straight chords."""
-    r = refs.select(F.col(rlon).alias("_rx"), F.col(rlat).alias("_ry"), F.col(ref_id).alias("_rid")).dropna()
+    r = refs.select(F.col(rlon).alias("_rx"), F.col(rlat).alias("_ry")).dropna().distinct()
     qc, rc = unit_sphere_km(lon, lat), unit_sphere_km("_rx", "_ry")
     d = haversine_km(lon, lat, "_rx", "_ry", EARTH_RADIUS_KM)
-    found = nearest(points, r, key=[lon, lat], query_coords=list(qc), ref_coords=list(rc), payload=["_rx", "_ry", "_rid"],
-                    distance2=d, tile=tile_km, tie="_rid")
+    found = nearest(points, r, key=[lon, lat], query_coords=list(qc), ref_coords=list(rc), payload=["_rx", "_ry"],
+                    distance2=d, tile=tile_km, tie="_rx", only_distance=True)
     return points.join(found.select(lon, lat, F.col("d2").alias(out)), [lon, lat], "left")
 
 
+def edge_length() -> Column:
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def split_edges(edges: DataFrame, length: float) -> DataFrame:
     """Edges cut into pieces of at most ``length``, each with its midpoint (mx, my); the edge itself is kept."""
-    size = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    size = edge_length()
     n = F.greatest(F.ceil(size / length), F.lit(1))
     at = (F.col("_i") + 0.5) / F.col("_n")
     return (
@@ -45,14 +52,15 @@ def split_edges(edges: DataFrame, length: float) -> DataFrame:
     )
 
 
-def nearest_edge(points: DataFrame, edges: DataFrame, *, x="easting", y="northing", tile: float = 4096.0,
-                 extra: list[str] = (), tie: str = "seq") -> DataFrame:
+def nearest_edge(points: DataFrame, edges: DataFrame, *, x="easting", y="northing", tile: float = 2048.0,
+                 extra: list[str] = (), tie: str = "seq", only_distance: bool = False) -> DataFrame:
     """Closest edge of every distinct position: ``x``, ``y``, ``d2``, edge ends and ``extra`` columns."""
     pieces = split_edges(edges, tile)
     d2, _ = segment_projection(x, y, "x1", "y1", "x2", "y2")
     payload = list(dict.fromkeys(["x1", "y1", "x2", "y2", tie, *extra]))
     return nearest(points, pieces, key=[x, y], query_coords=[F.col(x), F.col(y)], ref_coords=[F.col("mx"), F.col("my")],
-                   payload=payload, distance2=d2, tile=tile, slack=tile / 2, tie=tie)
+                   payload=payload, distance2=d2, tile=tile, slack=tile / 2, tie=tie, only_distance=only_distance,
+                   from_point=lambda c: segment_projection(c[0], c[1], "x1", "y1", "x2", "y2")[0])
 
 
 def containing_features(points: DataFrame, edges: DataFrame, *, x="easting", y="northing", tile: float = 4096.0) -> DataFrame:
@@ -82,22 +90,27 @@ def containing_features(points: DataFrame, edges: DataFrame, *, x="easting", y="
     return hits.groupBy(x, y, "feature_id").agg(F.sum(crossing).alias("_c")).where("_c % 2 = 1").select(x, y, "feature_id")
 
 
-def distance_to_features(points: DataFrame, edges: DataFrame, *, x="easting", y="northing", tile: float = 4096.0,
-                         out: str = "distance_m", polygons: bool = True) -> DataFrame:
+def position_distances(positions: DataFrame, edges: DataFrame, out: str, *, x="easting", y="northing", tile: float = 4096.0,
+                       polygons: bool = True) -> DataFrame:
+    found = nearest_edge(positions, edges, x=x, y=y, tile=tile, only_distance=True).select(x, y, F.sqrt("d2").alias(out))
+    if not polygons:
+        return found
+    inside = containing_features(positions, edges, x=x, y=y, tile=tile).select(x, y).distinct().withColumn("_in", F.lit(True))
+    return found.join(inside, [x, y], "left").withColumn(out, F.when(F.col("_in"), 0.0).otherwise(F.col(out))).drop("_in")
+
+
+def distance_to_features(points: DataFrame, edges: DataFrame, *, x="easting", y="northing", out: str = "distance_m", **kw) -> DataFrame:
     """Distance in m to the nearest line or polygon, 0 inside polygons; NULL for an empty set."""
-    found = nearest_edge(points, edges, x=x, y=y, tile=tile).select(x, y, F.sqrt("d2").alias(out))
-    if polygons:
-        inside = containing_features(points, edges, x=x, y=y, tile=tile).select(x, y).distinct().withColumn("_in", F.lit(True))
-        found = found.join(inside, [x, y], "left").withColumn(
-            out, F.when(F.col("_in"), 0.0).otherwise(F.col(out))).drop("_in")
-    return points.join(found, [x, y], "left")
-
-
-def attach_feature_distances(points: DataFrame, lakes: DataFrame, slumps: DataFrame, **kw) -> DataFrame:
-    """Lake and slump distance and the smaller of the two, in m and km."""
-    out = distance_to_features(points, lakes, out="tl_distance_m", **kw)
-    out = distance_to_features(out, slumps, out="rts_distance_m", **kw)
-    out = out.withColumn("tlrts_distance_m", F.least("tl_distance_m", "rts_distance_m"))
+    positions = materialise(points.select(x, y).dropna().distinct())
+    return points.join(position_distances(positions, edges, out, x=x, y=y, **kw), [x, y], "left")
+
+
+def attach_feature_distances(points: DataFrame, lakes: DataFrame, slumps: DataFrame, *, x="easting", y="northing", **kw) -> DataFrame:
+    """Lake and slump distance and the smaller of the two, in m and km; positions are solved once for both."""
+    positions = materialise(points.select(x, y).dropna().distinct())
+    both = position_distances(positions, lakes, "tl_distance_m", x=x, y=y, **kw).join(
+        position_distances(positions, slumps, "rts_distance_m", x=x, y=y, **kw), [x, y], "full")
+    out = points.join(both, [x, y], "left").withColumn("tlrts_distance_m", F.least("tl_distance_m", "rts_distance_m"))
     return out.withColumns({f"{n}_distance_km": F.col(f"{n}_distance_m") / 1000.0 for n in ("tl", "rts", "tlrts")})
 
 
@@ -137,7 +150,7 @@ def nested_widths(sample: DataFrame, widths_km: list[float], distance: str = "di
 
 def edges_with_position(edges: DataFrame, line: str = "line_id") -> DataFrame:
     """Edges of ordered lines with their length and the length before them."""
-    size = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    size = edge_length()
     w = Window.partitionBy(line).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     return edges.withColumn("edge_m", size).withColumn("start_m", F.coalesce(F.sum("edge_m").over(w), F.lit(0.0)))
 
@@ -151,7 +164,7 @@ def edges_of(vertices: DataFrame, line: str = "line_id", order: str = "vertex")
 
 def longest_line(edges: DataFrame, line: str = "line_id") -> DataFrame:
     """Identifier and length in km of the longest line."""
-    size = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    size = edge_length()
     totals = edges.groupBy(line).agg((F.sum(size) / 1000.0).alias("length_km"))
     return totals.agg(F.max_by(line, F.struct("length_km", F.negative(line))).alias(line), F.max("length_km").alias("length_km"))
 
@@ -215,7 +228,8 @@ def k_neighbours(points: DataFrame, *, k: int = 21, x="easting", y="northing", i
     """The k nearest rows of every distinct position (itself included), ties by identifier."""
     refs = points.select(F.col(x).alias("_rx"), F.col(y).alias("_ry"), F.col(id_col).alias("_rid"), *values).dropna(
         subset=["_rx", "_ry"])
-    d2 = F.pow(F.col(x) - F.col("_rx"), 2) + F.pow(F.col(y) - F.col("_ry"), 2)
+    dx, dy = F.col(x) - F.col("_rx"), F.col(y) - F.col("_ry")
+    d2 = dx * dx + dy * dy
     return nearest(points, refs, key=[x, y], query_coords=[F.col(x), F.col(y)], ref_coords=[F.col("_rx"), F.col("_ry")],
                    payload=["_rx", "_ry", "_rid", *values], distance2=d2, tile=tile, k=k, tie="_rid", rank_tie=["_rx", "_ry"])
 

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tailfield.constants import GRID
+from tailfield.functions.geo import centre_of
+from tailfield.operators.grid import with_cell
 from tailfield.operators.ordering import exact_quantiles
 from tailfield.operators.relational import candidate_filter
 from tailfield.session import materialise, small_table
@@ -112,40 +115,38 @@ def windows_per_kind(df: DataFrame, kinds: list[str], *, window_km: float = 24.0
                        " n_hotspots bigint, mean_score double, tile string, cover double", rows)
 
 
-def box_statistics(df: DataFrame, half: float, score: str, hot: str) -> DataFrame:
-    """For every distinct position the counts and scores of the rows in the square around it.
+def box_statistics(cells: DataFrame, radius: int, score: str, hot: str) -> DataFrame:
+    """For every occupied (row, col) cell the counts and scores of the cells within ``radius`` rows and columns.
 
-    Rows are summed per position first. A position then looks at the tiles around it,
-    one tile being half a window wide.
+    Rows are summed per cell first. One pass sends a cell to the 2r+1 columns around it; the
+    other slides along each column. The copies grow with the radius, not its square.
     """
-    x, y = "easting", "northing"
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(
+    own = cells.groupBy("row", "col").agg(
         F.count("*").alias("n"), F.sum(hot).alias("h"), F.sum(score).alias("s"), F.count(score).alias("sn"), F.max(score).alias("m"))
-
-    def t(c: Column) -> Column:
-        return F.floor(c / half)
-
-    around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    spread = cells.select(F.col(x).alias("_x"), F.col(y).alias("_y"), "n", "h", "s", "sn", "m", around.alias("_i")).select(
-        "*", around.alias("_j")).withColumn("_tx", t(F.col("_x")) + F.col("_i")).withColumn("_ty", t(F.col("_y")) + F.col("_j")).drop("_i", "_j")
-    own = cells.select(x, y).withColumn("_tx", t(F.col(x))).withColumn("_ty", t(F.col(y)))
-    hit = own.join(spread, ["_tx", "_ty"]).where((F.abs(F.col("_x") - F.col(x)) <= half) & (F.abs(F.col("_y") - F.col(y)) <= half))
-    return hit.groupBy(x, y).agg(
-        F.sum("n").alias("n_points"), F.sum("h").alias("n_hotspots"), (F.sum("s") / F.sum("sn")).alias("mean_score"), F.max("m").alias("max_score"))
+    reach = F.explode(F.sequence(F.col("col") - radius, F.col("col") + radius)).alias("col")
+    wide = own.select("row", reach, "n", "h", "s", "sn", "m").groupBy("row", "col").agg(
+        *[F.sum(c).alias(c) for c in ("n", "h", "s", "sn")], F.max("m").alias("m"))
+    w = Window.partitionBy("col").orderBy("row").rangeBetween(-radius, radius)
+    slid = wide.select("row", "col", F.sum("n").over(w).alias("n_points"), F.sum("h").over(w).alias("n_hotspots"),
+                       (F.sum("s").over(w) / F.sum("sn").over(w)).alias("mean_score"), F.max("m").over(w).alias("max_score"))
+    return slid.join(own.select("row", "col"), ["row", "col"], "left_semi")
 
 
 def zoom_windows(df: DataFrame, *, n: int, half: float, spacing: float, min_points: int, min_hotspots: int, score: str, hot: str,
-                 second: str, forbidden: list[tuple[float, float, float, float]] = (), relaxed: bool = True) -> DataFrame:
+                 second: str, forbidden: list[tuple[float, float, float, float]] = (), relaxed: bool = True, grid: dict = GRID) -> DataFrame:
     """Windows around the best-scored rows that hold enough rows and hotspots and avoid given boxes.
 
     Boxes that fail never block others, so failing rows are removed first. When too few
     windows result, both counts are halved once if ``relaxed``.
     """
-    stats = box_statistics(df, half, score, hot)
-    ranked = df.select("easting", "northing", F.col(score).alias("_score"), F.col(second).alias("_second"))
-    best = ranked.groupBy("easting", "northing").agg(
-        F.max(F.struct("_score", F.coalesce("_second", F.lit(float("-inf"))).alias("_second"))).alias("b"))
-    rows = stats.join(best, ["easting", "northing"]).select("*", F.col("b._score").alias("_score"), F.col("b._second").alias("_second")).drop("b")
+    cells = with_cell(df, grid=grid)
+    stats = box_statistics(cells, int(half // grid["res"]), score, hot)
+    best = cells.groupBy("row", "col").agg(
+        F.max(F.struct(F.col(score).alias("s"), F.coalesce(second, F.lit(float("-inf"))).alias("t"))).alias("b"))
+    x, y = centre_of("row", "col", grid)
+    rows = stats.join(best, ["row", "col"]).select(
+        x.alias("easting"), y.alias("northing"), "n_points", "n_hotspots", "mean_score", "max_score", F.col("b.s").alias("_score"),
+        F.col("b.t").alias("_second"))
     for x0, x1, y0, y1 in forbidden:
         rows = rows.where((F.col("easting") + half < x0) | (F.col("easting") - half > x1) | (F.col("northing") + half < y0) | (F.col("northing") - half > y1))
     rows = materialise(rows)
