@@ -143,7 +143,8 @@ def segment_projection(px, py, x1, y1, x2, y2) -> tuple[Column, Column]:
     px, py, x1, y1, x2, y2 = (col(c) for c in (px, py, x1, y1, x2, y2))
     dx, dy = x2 - x1, y2 - y1
     length2 = dx * dx + dy * dy
-    raw = ((px - x1) * dx + (py - y1) * dy) / length2
-    t = F.when(length2 > 0, F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    raw = F.try_divide((px - x1) * dx + (py - y1) * dy, length2)
+    # greatest skips NULL, so an edge of no length is its first end
+    t = F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))
     ex, ey = px - (x1 + t * dx), py - (y1 + t * dy)
     return ex * ex + ey * ey, t

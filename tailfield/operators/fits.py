@@ -40,13 +40,15 @@ def hinge_candidates(profile: DataFrame, kmin: float, kmax: float, by: list[str]
     mx, my, mh = t["_x"] / w, t["_y"] / w, h / w
     sxx, syy, shh = t["_xx"] - w * mx * mx, t["_yy"] - w * my * my, hh - w * mh * mh
     sxy, sxh, shy = t["_xy"] - w * mx * my, xh - w * mx * mh, yh - w * mh * my
-    det = sxx * shh - sxh * sxh
-    b1, b2 = (sxy * shh - shy * sxh) / det, (shy * sxx - sxy * sxh) / det
+    # a knot at an end point adds nothing to the straight line
+    det = F.when(sxx * shh - sxh * sxh > sxx * shh * 1e-12, sxx * shh - sxh * sxh)
+    line = F.try_divide(sxy, sxx)
+    b1, b2 = F.coalesce((sxy * shh - shy * sxh) / det, line), F.coalesce((shy * sxx - sxy * sxh) / det, F.lit(0.0))
     sse = F.greatest(syy - b1 * sxy - b2 * shy, F.lit(0.0))
     n = F.col("n_bins")
     fit = rows.where((k > kmin) & (k < kmax) & (n >= 6)).withColumn("_b1", b1).withColumn("_b2", b2).withColumn(
-        "_sse", sse).withColumn("linear_slope", sxy / sxx).withColumn(
-        "linear_sse", F.greatest(syy - sxy * sxy / sxx, F.lit(0.0))).withColumn("_my", my).withColumn("_mx", mx).withColumn("_mh", mh)
+        "_sse", sse).withColumn("linear_slope", line).withColumn(
+        "linear_sse", F.greatest(syy - line * sxy, F.lit(0.0))).withColumn("_my", my).withColumn("_mx", mx).withColumn("_mh", mh)
     return fit.select(
         *by, "n_bins", k.alias("knot"), F.col("_b1").alias("slope_before"), (F.col("_b1") + F.col("_b2")).alias("slope_after"),
         (F.col("_my") - F.col("_b1") * F.col("_mx") - F.col("_b2") * F.col("_mh")).alias("intercept"),

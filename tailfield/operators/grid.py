@@ -351,7 +351,7 @@ def padded_extent(df: DataFrame, x: str, y: str, xpad: float, ypad: float) -> Da
 def expand_to_aspect(extents: DataFrame, aspect: float) -> DataFrame:
     """Widen or heighten extents around their centre to the wanted width to height ratio."""
     w, h = F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
-    ok, narrow = (w > 0) & (h > 0), w / h < aspect
+    ok, narrow = (w > 0) & (h > 0), F.try_divide(w, h) < aspect
     nw = F.when(ok & narrow, h * aspect).otherwise(w)
     nh = F.when(ok & ~narrow, w / aspect).otherwise(h)
     cx, cy = (F.col("xmin") + F.col("xmax")) / 2.0, (F.col("ymin") + F.col("ymax")) / 2.0

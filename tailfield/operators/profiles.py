@@ -131,7 +131,8 @@ def moving_profile(df: DataFrame, x: str, metrics: list[str], id_col: str, fract
     sized = ranked.withColumn("_n", rows.agg(F.count("*")).scalar()).withColumn("_w", window).withColumn(
         "_h", F.greatest(F.floor(F.col("_w") / 2), F.lit(1)))
     count = F.greatest(F.lit(25), F.least(F.lit(points), n - F.col("_w") + 1))
-    sized = sized.withColumn("_c", count).withColumn("_step", (n - F.col("_h") * 2 - 1) / (count - 1))
+    sized = sized.withColumn("_c", count).withColumn(
+        "_step", F.nullif((n - F.col("_h") * 2 - 1) / (count - 1), F.lit(0.0)))
     single = n <= F.col("_w")
     first = F.floor((F.col("_i") - F.col("_h") * 2) / F.col("_step")) - 1
     last = F.ceil((F.col("_i") + 1) / F.col("_step")) + 1

@@ -257,7 +257,7 @@ def local_contrast(points: DataFrame, variables: list[str], *, k: int = 21, x="e
         sxz, syz = c["sxz"] - z * c["sx"], c["syz"] - z * c["sy"]
         det = c["sxx"] * c["syy"] - c["sxy"] * c["sxy"]
         good = z.isNotNull() & (c["n"] >= 5) & (F.abs(det) > 1e-12)
-        bx, by = (sxz * c["syy"] - syz * c["sxy"]) / det, (syz * c["sxx"] - sxz * c["sxy"]) / det
+        bx, by = F.try_divide(sxz * c["syy"] - syz * c["sxy"], det), F.try_divide(syz * c["sxx"] - sxz * c["sxy"], det)
         out = out.withColumn(f"{v}__lstd", F.when(z.isNotNull(), F.col(f"_sd_{v}"))).withColumn(
             f"{v}__gmag", F.when(good, F.sqrt(bx * bx + by * by)))
     return out.drop(*[c for c in out.columns if c.startswith("_")])

@@ -432,8 +432,8 @@ def kendall_tau(df: DataFrame, x: str, y: str, blocks: int = 64) -> DataFrame:
     n0 = F.col("n") * (F.col("n") - 1) / 2
     s = n0 - F.col("x1") - F.col("y1") + F.col("xy") - F.col("_d") * 2
     m = F.col("n") * (F.col("n") - 1)
-    var = (m * (F.col("n") * 2 + 5) - F.col("x3") - F.col("y3")) / 18 + F.col("x1") * F.col("y1") * 2 / m + F.col("x2") * F.col(
-        "y2") / (m * 9 * (F.col("n") - 2))
+    var = (m * (F.col("n") * 2 + 5) - F.col("x3") - F.col("y3")) / 18 + F.try_divide(F.col("x1") * F.col("y1") * 2, m) + F.try_divide(
+        F.col("x2") * F.col("y2"), m * 9 * (F.col("n") - 2))
     usable = (F.col("n") >= 3) & (n0 > F.col("x1")) & (n0 > F.col("y1"))
     return facts.select(
         F.coalesce(F.col("n"), F.lit(0.0)).cast("long").alias("n"), F.when(usable, F.col("_d").cast("long")).alias("discordant"),
