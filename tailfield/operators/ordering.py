@@ -44,7 +44,8 @@ def global_row_number(df: DataFrame, order: list, out: str = "rn", by: list[str]
     numbered = rows.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_off") + F.col("_pos") + 1)
     if by:
         starts = numbered.groupBy(*by).agg((F.min(out) - 1).alias("_start"))
-        numbered = numbered.join(starts, by).withColumn(out, F.col(out) - F.col("_start")).drop("_start")
+        # one row per group, and groups are few
+        numbered = numbered.join(F.broadcast(starts), by).withColumn(out, F.col(out) - F.col("_start")).drop("_start")
     return numbered.drop("_part", "_pos", "_mid", "_off")
 
 
@@ -52,7 +53,7 @@ def running_totals(df: DataFrame, order: list, sums: dict[str, str], by: list[st
     """Inclusive running sums ``{output: column}`` in the given order.
 
     ``df`` should hold one row per order key: aggregate first, so that ties share
-    a total and hot values are already folded.
+    a total and hot values are already folded. ``by`` must take few values.
     """
     by = list(by)
     rows = _sorted_rows(df, by + list(order))
@@ -60,7 +61,8 @@ def running_totals(df: DataFrame, order: list, sums: dict[str, str], by: list[st
     inner = rows.select("*", *[F.sum(c).over(local).alias(f"_l_{o}") for o, c in sums.items()])
     totals = rows.groupBy("_part", *by).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
     offsets = totals.select("_part", *by, *[_before(f"_t_{o}", by).alias(f"_o_{o}") for o in sums])
-    joined = inner.join(offsets, ["_part", *by])
+    # at most one row per sort partition and group
+    joined = inner.join(F.broadcast(offsets), ["_part", *by])
     for o in sums:
         joined = joined.withColumn(o, F.col(f"_l_{o}") + F.col(f"_o_{o}")).drop(f"_l_{o}", f"_o_{o}")
     return joined.drop("_part", "_pos", "_mid")

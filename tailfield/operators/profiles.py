@@ -108,7 +108,8 @@ def rank_bins(df: DataFrame, value: str, id_col: str, bins, by: list[str] = ())
     rows = df.where(F.col(value).isNotNull())
     ranked = global_row_number(rows, [value, id_col], "_r", by)
     if by:
-        ranked = ranked.join(rows.groupBy(*by).agg(F.count("*").alias("_n")), list(by))
+        # one row per group, and groups are few
+        ranked = ranked.join(F.broadcast(rows.groupBy(*by).agg(F.count("*").alias("_n"))), list(by))
     else:
         ranked = ranked.withColumn("_n", rows.agg(F.count("*")).scalar())
     b = F.greatest(F.ceil((F.col("_r") - 1) * bins / F.greatest(F.col("_n") - 1, F.lit(1))) - 1, F.lit(0))

@@ -12,7 +12,7 @@ from tailfield.functions.labels import extreme_flag, process_zone
 from tailfield.functions.numeric import col
 from tailfield.operators.grid import histogram_bin
 from tailfield.operators.ordering import attach_quantiles, exact_quantiles, running_totals
-from tailfield.session import small_table
+from tailfield.session import materialise, small_table
 
 
 def domain_counts(df: DataFrame, values: list[str], by: str = "domain") -> DataFrame:
@@ -379,8 +379,8 @@ def kendall_tau(df: DataFrame, x: str, y: str, blocks: int = 64) -> DataFrame:
     sharing a block are counted inside it by running sums per bit of the other rank, so no
     window sees more than one block.
     """
-    pairs = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().groupBy(
-        "x", "y").agg(F.count("*").alias("c"))
+    pairs = materialise(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().groupBy(
+        "x", "y").agg(F.count("*").alias("c")))
     n = pairs.agg(F.sum("c")).scalar()
 
     def ranked(axis: str) -> DataFrame:
@@ -393,7 +393,7 @@ def kendall_tau(df: DataFrame, x: str, y: str, blocks: int = 64) -> DataFrame:
             (F.floor(before * blocks / n) * 2 + heavy.cast("int")).alias(f"{axis}_block"))
 
     rx, ry = ranked("x"), ranked("y")
-    pts = pairs.join(rx, "x").join(ry, "y")
+    pts = materialise(pairs.join(rx, "x").join(ry, "y"))
 
     def earlier_larger(rows: DataFrame, keys: list[str], order: str, rank: str, bits) -> DataFrame:
         """Weighted pairs, within keys, with a strictly earlier order and a larger rank."""

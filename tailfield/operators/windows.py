@@ -57,10 +57,11 @@ def score_candidates(df: DataFrame, kind: str, cell_m: float = 12_000.0) -> Data
     by = ["cell_x", "cell_y"]
     out = sub.groupBy(*by).agg(F.count("*").alias("n_points"), F.sum("hotspot").alias("n_hotspots"), F.avg("score").alias("mean_score"),
                                F.max("score").alias("max_score"))
-    for c in ("easting", "northing"):
-        m = exact_quantiles(sub, c, [0.5], by).select(*by, F.get("quantiles", F.lit(0)).alias(f"center_{c}"))
-        out = out.join(m, by)
-    return out
+    axes = sub.unpivot(by, ["easting", "northing"], "_axis", "_v")
+    middle = F.get("quantiles", F.lit(0))
+    medians = exact_quantiles(axes, "_v", [0.5], [*by, "_axis"]).groupBy(*by).agg(
+        *[F.max(F.when(F.col("_axis") == c, middle)).alias(f"center_{c}") for c in ("easting", "northing")])
+    return out.join(medians, by)
 
 
 CANDIDATE_ORDER = ("n_hotspots", "mean_score", "n_points", "max_score")

@@ -15,7 +15,29 @@ SEG_T = ("CASE WHEN (x2-x1)*(x2-x1)+(y2-y1)*(y2-y1) > 0 THEN least(greatest(((px
 SEG_D2 = f"pow(px - (x1 + {SEG_T} * (x2-x1)), 2) + pow(py - (y1 + {SEG_T} * (y2-y1)), 2)"
 
 
-@query("g12_local_contrast")
+KNN_SQL = """pc AS (SELECT "row", col, pixel_id, d_u, magt, easting, northing FROM (SELECT *, CAST(30570 - northing / 136 AS BIGINT) AS "row", CAST(easting / 136 + 14007 AS BIGINT) AS col FROM pixels)),
+ ps AS (SELECT "row", col, unnest(range("row" - 9, "row" + 10)) AS r2 FROM (SELECT DISTINCT "row", col FROM pc)),
+ nb AS (SELECT ps."row", ps.col, (pc.col - ps.col) * 136.0::DOUBLE AS dx, (ps."row" - pc."row") * 136.0::DOUBLE AS dy, pc.pixel_id AS nid, pc.d_u AS nd, pc.magt AS nm FROM ps JOIN pc ON pc."row" = r2 AND abs(pc.col - ps.col) <= 9
+ QUALIFY row_number() OVER (PARTITION BY ps."row", ps.col ORDER BY dx * dx + dy * dy, pc.pixel_id) <= 21)"""
+
+
+def _contrast_sql(z: str, nz: str, name: str) -> str:
+    """Plane-fit and deviation terms of one variable over the neighbours of each row."""
+    return (f"stddev_pop({nz}) AS sd_{name}, count({nz}) AS n_{name}, sum(dx * dx) FILTER ({nz} IS NOT NULL) AS xx_{name}, sum(dy * dy) FILTER ({nz} IS NOT NULL) AS yy_{name},"
+            f" sum(dx * dy) FILTER ({nz} IS NOT NULL) AS xy_{name}, sum(dx * ({nz} - {z})) AS xz_{name}, sum(dy * ({nz} - {z})) AS yz_{name}")
+
+
+def _contrast_out(z: str, name: str) -> str:
+    det = f"(xx_{name} * yy_{name} - xy_{name} * xy_{name})"
+    return (f"CASE WHEN {z} IS NOT NULL THEN round(sd_{name}, 6) END AS {name}__lstd, CASE WHEN {z} IS NOT NULL AND n_{name} >= 5 AND abs({det}) > 1e-12 THEN"
+            f" round(sqrt(pow((xz_{name} * yy_{name} - yz_{name} * xy_{name}) / {det}, 2) + pow((yz_{name} * xx_{name} - xz_{name} * xy_{name}) / {det}, 2)), 6) END AS {name}__gmag")
+
+
+_G12_SQL = (f"WITH {KNN_SQL}, sm AS (SELECT pc.pixel_id, pc.d_u, pc.magt, {_contrast_sql('pc.d_u', 'nd', 'd_u')}, {_contrast_sql('pc.magt', 'nm', 'magt')} FROM pc JOIN nb USING (\"row\", col)"
+            f" GROUP BY pc.pixel_id, pc.d_u, pc.magt) SELECT pixel_id, {_contrast_out('d_u', 'd_u')}, {_contrast_out('magt', 'magt')} FROM sm")
+
+
+@query("g12_local_contrast", _G12_SQL)
 def g12(spark, sf):
     df = pixels(spark, sf).select("pixel_id", "easting", "northing", "d_u", "magt")
     out = sp.local_contrast(df, ["d_u", "magt"], k=21)
@@ -147,7 +169,8 @@ def j10(spark, sf):
     return rounded(sp.best_cover(windows, tiles, key="feature_id", cell=8000.0).select("feature_id", "tile", "cover"))
 
 
-@query("j11_k_nearest")
+@query("j11_k_nearest", f"""WITH {KNN_SQL} SELECT (-14007 + col) * 136.0::DOUBLE AS easting, (30570 - "row") * 136.0::DOUBLE AS northing, count(*) AS n, round(max(sqrt(dx * dx + dy * dy)), 4) AS reach_m,
+ min(nid) AS first_id FROM nb GROUP BY "row", col""")
 def j11(spark, sf):
     nb = sp.k_neighbours(pixels(spark, sf).select("pixel_id", "easting", "northing"), k=21)
     return rounded(nb.groupBy("easting", "northing").agg(
