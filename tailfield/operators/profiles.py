@@ -151,11 +151,10 @@ def moving_profile(df: DataFrame, x: str, metrics: list[str], id_col: str, fract
     return spread.groupBy("centre").agg(*aggs)
 
 
-def extend_to_unit(profile: DataFrame, x: str = "x_mean", also: str = "x_median") -> DataFrame:
+def extend_to_unit(profile: DataFrame, x: str = "x_mean", also: str = "x_median", tie: str = "centre") -> DataFrame:
     """Repeat the first row at 0 and the last at 1 when the profile stops short; works on profile rows."""
-    cols = profile.columns
-    whole = F.struct(*cols)
-    ends = profile.agg(F.min_by(whole, x).alias("a"), F.max_by(whole, x).alias("b"))
+    whole, order = F.struct(*profile.columns), F.struct(F.round(x, 9).alias("x"), tie)
+    ends = profile.agg(F.min_by(whole, order).alias("a"), F.max_by(whole, order).alias("b"))
 
     def end(field: str, at: float, needed: Column) -> DataFrame:
         return ends.where(needed).select(f"{field}.*").withColumn(x, F.lit(at)).withColumn(also, F.lit(at))

@@ -87,10 +87,10 @@ def w06(spark, sf):
     return rounded(moving(spark, sf))
 
 
-@query("w07_extended_profile", f"""WITH {W06_SQL} SELECT {W06_COLS} FROM mov UNION ALL SELECT {W06_COLS.replace('round(x_mean, 6)', '0.0').replace('round(x_median, 6)', '0.0')} FROM (SELECT * FROM (SELECT * FROM mov ORDER BY x_mean LIMIT 1) WHERE x_mean > 0)
- UNION ALL SELECT {W06_COLS.replace('round(x_mean, 6)', '1.0').replace('round(x_median, 6)', '1.0')} FROM (SELECT * FROM (SELECT * FROM mov ORDER BY x_mean DESC LIMIT 1) WHERE x_mean < 1)""".replace("0.0 AS", "0.0::DOUBLE AS").replace("1.0 AS", "1.0::DOUBLE AS"))
+@query("w07_extended_profile", f"""WITH {W06_SQL} SELECT {W06_COLS} FROM mov UNION ALL SELECT {W06_COLS.replace('round(x_mean, 6)', '0.0').replace('round(x_median, 6)', '0.0')} FROM (SELECT * FROM (SELECT * FROM mov ORDER BY round(x_mean, 9), centre LIMIT 1) WHERE x_mean > 0)
+ UNION ALL SELECT {W06_COLS.replace('round(x_mean, 6)', '1.0').replace('round(x_median, 6)', '1.0')} FROM (SELECT * FROM (SELECT * FROM mov ORDER BY round(x_mean, 9) DESC, centre DESC LIMIT 1) WHERE x_mean < 1)""".replace("0.0 AS", "0.0::DOUBLE AS").replace("1.0 AS", "1.0::DOUBLE AS"))
 def w07(spark, sf):
-    return rounded(pr.extend_to_unit(moving(spark, sf).drop("centre")))
+    return rounded(pr.extend_to_unit(moving(spark, sf)).drop("centre"))
 
 
 CURVE_SQL = f"cv AS (SELECT domain AS zone, floor({DB}) + 0.5::DOUBLE AS x, avg(d_u) AS y FROM pixels WHERE {DB} IS NOT NULL GROUP BY ALL)"
