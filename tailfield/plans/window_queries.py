@@ -144,8 +144,6 @@ def _focus_sql() -> str:
     xv = ", ".join(f"({i}, {v!r}::DOUBLE)" for i, v in enumerate(xs))
     yv = ", ".join(f"({i}, {v!r}::DOUBLE)" for i, v in enumerate(ys))
     slab = "greatest({z}, least((b{a}0 - {a}1) / nullif({a}2 - {a}1, 0), (b{a}1 - {a}1) / nullif({a}2 - {a}1, 0)))"
-    slab_hi = "least((b{a}0 - {a}1) / nullif({a}2 - {a}1, 0), (b{a}1 - {a}1) / nullif({a}2 - {a}1, 0))"
-    del slab_hi
     lo = f"greatest(coalesce({slab.format(a='x', z=0)}, 0), coalesce({slab.format(a='y', z=0)}, 0))"
     hi = "least(1, coalesce(greatest((bx0 - x1) / nullif(x2 - x1, 0), (bx1 - x1) / nullif(x2 - x1, 0)), 1), coalesce(greatest((by0 - y1) / nullif(y2 - y1, 0), (by1 - y1) / nullif(y2 - y1, 0)), 1))"
     return f"""WITH cx(ix, bx0) AS (VALUES {xv}), cy(iy, by0) AS (VALUES {yv}), bx AS (SELECT ix, iy, bx0, bx0 + {w!r}::DOUBLE AS bx1, by0, by0 + {h!r}::DOUBLE AS by1 FROM cx, cy),
