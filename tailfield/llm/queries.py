@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tailfield.llm import quality
+from tailfield.llm import near_duplicates, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,8 @@ def query(fn):
 @query
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf, "documents"))
+
+
+@query
+def op10_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf, "documents"))
