@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tailfield.llm import near_duplicates, quality
+from tailfield.llm import near_duplicates, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,8 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf, "documents"))
+
+
+@query
+def op8_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secret_scans(_table(spark, sf, "documents"))
