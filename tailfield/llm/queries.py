@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tailfield.llm import near_duplicates, quality, secrets
+from tailfield.llm import near_duplicates, pieces, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,15 @@ def op10_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secret_scans(_table(spark, sf, "documents"))
+
+
+def piece_model() -> str:
+    """The vocabulary file of the queries; only its path is used here, the library reads it on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op7_sentencepiece_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.sentencepiece_round_trip(_table(spark, sf, "documents"), piece_model())
