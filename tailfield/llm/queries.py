@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tailfield.llm import near_duplicates, pieces, quality, secrets
+from tailfield.llm import contamination, near_duplicates, pieces, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,8 @@ def piece_model() -> str:
 @query
 def op7_sentencepiece_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.sentencepiece_round_trip(_table(spark, sf, "documents"), piece_model())
+
+
+@query
+def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.decontamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))

@@ -45,3 +45,29 @@ def near_components(docs, percent=85):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def letters(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+
+def contaminated(docs, items):
+    """{doc_id: (words, hit words, item ids)}."""
+    table = {}
+    for item, text in items:
+        w = letters(text)
+        if w:
+            n = min(10, len(w))
+            for i in range(len(w) - n + 1):
+                table.setdefault(tuple(w[i:i + n]), set()).add(str(item))
+    lengths = {len(k) for k in table}
+    out = {}
+    for doc, text in docs:
+        w, hit, ids = letters(text), set(), set()
+        for n in lengths:
+            for i in range(len(w) - n + 1):
+                if found := table.get(tuple(w[i:i + n])):
+                    ids |= found
+                    hit.update(range(i, i + n))
+        out[doc] = (len(w), len(hit), sorted(ids))
+    return out
