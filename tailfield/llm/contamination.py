@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tailfield.session import materialise
+from tailfield.llm.store import stored
 
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, SEEDS = 10, 2
@@ -88,15 +88,15 @@ def build_index(docs: DataFrame, words: DataFrame, window: int = WINDOW, seeds:
     Terms are counted over all training words, folded before the shuffle. The vocabulary and the chosen terms belong to
     the benchmark and do not grow with the training texts.
     """
-    in_window = materialise(_windows(words, window))
-    vocabulary = _sized(materialise(in_window.select("term").distinct()))
+    in_window = stored(_windows(words, window))
+    vocabulary = _sized(stored(in_window.select("term").distinct()))
     tokens = _tokens(docs)
     counts = tokens.select("term").join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     rated = in_window.join(counts, "term", "left").select("item", "start", "length", "offset", "term", F.coalesce("n", F.lit(0)).alias("n"))
     ranked = rated.groupBy("item", "start", "length").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("all"))
-    needed = materialise(ranked.where(F.col("all")[0]["n"] > 0).select("item", "start", "length", F.slice("all", 1, seeds).alias("seeds")))
-    chosen = _sized(materialise(needed.select(F.explode("seeds.term").alias("term")).distinct()))
-    return materialise(tokens.join(chosen, "term", "left_semi")), needed
+    needed = stored(ranked.where(F.col("all")[0]["n"] > 0).select("item", "start", "length", F.slice("all", 1, seeds).alias("seeds")))
+    chosen = _sized(stored(needed.select(F.explode("seeds.term").alias("term")).distinct()))
+    return stored(tokens.join(chosen, "term", "left_semi")), needed
 
 
 def alignments(index: DataFrame, needed: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def proximity_matches(index: DataFrame, needed: DataFrame, slack: int) -> DataFr
 
 def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, seeds: int = SEEDS) -> DataFrame:
     """``docs`` with ``n_words`` and ``hits``: for each matching window its first word, length and item id."""
-    words = materialise(item_words(items))
+    words = stored(item_words(items))
     index, needed = build_index(docs, words, window, seeds)
     tried = candidates(index, needed).join(words, "item").select(
         "_key", F.struct("item_id", "shift", "windows", "words").alias("one")

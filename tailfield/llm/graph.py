@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tailfield.session import materialise
+from tailfield.llm.store import stored
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -16,13 +16,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     side, so a node with very many edges can be split.
     """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("peer"))
-    both = materialise(both.unionByName(both.select(F.col("peer").alias("node"), F.col("node").alias("peer"))).distinct())
-    label = materialise(both.groupBy("node").agg(F.min("peer").alias("low")).select("node", F.least("node", "low").alias("label")))
+    both = stored(both.unionByName(both.select(F.col("peer").alias("node"), F.col("node").alias("peer"))).distinct())
+    label = stored(both.groupBy("node").agg(F.min("peer").alias("low")).select("node", F.least("node", "low").alias("label")))
     while True:
         near = both.join(label.select(F.col("node").alias("peer"), "label"), "peer").groupBy("node").agg(F.min("label").alias("low"))
         step = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
         onward = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = materialise(step.join(onward, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
+        new = stored(step.join(onward, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
         label = new.select("node", "label")
         if new.where("label <> old").isEmpty():
             return label

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tailfield.llm import segments as S
 from tailfield.llm.graph import components
-from tailfield.session import materialise
+from tailfield.llm.store import stored
 
 SIDE, ROWS = 12, 3
 PERCENT = 85
@@ -151,15 +151,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``s1``, ``s2`` and ``component_id`` for each row of ``docs``."""
-    drawn = materialise(sketches(docs, words))
+    drawn = stored(sketches(docs, words))
     known = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL")
     groups = known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     reps = known.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "bands")
-    left = materialise(_table_keys(reps))
+    left = stored(_table_keys(reps))
     sizes = left.groupBy("key").agg(F.countDistinct("node").alias("n")).where("n > 1").select("key")
-    left = materialise(left.join(sizes, "key", "left_semi").distinct())
+    left = stored(left.join(sizes, "key", "left_semi").distinct())
     met = left.select(F.col("node").alias("doc_id")).distinct()
-    sets = materialise(shingle_sets(docs.select("doc_id", "text").join(met, "doc_id", "left_semi"), words).distinct())
+    sets = stored(shingle_sets(docs.select("doc_id", "text").join(met, "doc_id", "left_semi"), words).distinct())
     links = left.select("node", F.col("node").alias("hub")).limit(0)
     labels = left.select("node", F.col("node").alias("label")).limit(0)
     while not left.isEmpty():
@@ -170,13 +170,13 @@ def link_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
         )
         paired = named.join(hubs, "key")
         fresh = paired.where("node <> hub AND label <> hub_label").select("node", "hub").distinct()
-        links = materialise(links.unionByName(_verify(fresh, sets, percent)).distinct())
+        links = stored(links.unionByName(_verify(fresh, sets, percent)).distinct())
         labels = components(links, "node", "hub")
         rest = paired.where("node <> hub").select("key", "node", "weight").join(labels, "node", "left").select(
             "key", "node", "weight", F.coalesce("label", "node").alias("label")
         )
         open_keys = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        left = materialise(rest.join(open_keys, "key", "left_semi").select("key", "node", "weight"))
+        left = stored(rest.join(open_keys, "key", "left_semi").select("key", "node", "weight"))
     named = drawn.select("doc_id", "n_shingles", "s1", "s2").join(groups, ["n_shingles", "s1", "s2"], "left")
     named = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select("doc_id", "n_shingles", "s1", "s2", F.coalesce("label", "rep", "doc_id").alias("component_id"))
