@@ -5,9 +5,12 @@ either collection, so 144 tables of six hashes need 72 hashes instead of 864. A
 unless it shares no sub-band of one collection: at s = 0.85 that chance is 2 * (1 - 0.85 ** 3) ** 12, about 2e-5, and
 it falls quickly above.
 
-Pairs within a table are never all formed. Each table key names a hub, the member whose sub-bands are the most common;
-every member is compared with the hub, the hub leaves the key, and keys whose members are not yet in one component
-name their next hub, until no key is left. So every two members of a key are compared, or are in one component already.
+Pairs within a table are never all formed. Each table key names a hub, the member whose sub-bands are the most common,
+and every member is compared with it; the hub's links join most copies of a text in one component. A member that the hub
+does not link (a stranger) can only be linked with members of its hub's family that lie in the same range of distance
+from the hub: Jaccard distance is a metric, so distances to the hub differ by 0.15 at most. These are tried if they are
+of another component, of fitting size, and share ``COMMON`` sub-bands (at s = 0.85, 14.7 of 24 are expected, and fewer
+than four occur with a chance of about 6e-6). So every two members of a key are compared, in one component, or too far.
 
 Defined results: null texts, empty texts and texts without words have no shingles, are linked with nothing and kept;
 texts of one or two words have one shingle; rows that share an id count as one document that has the links of all its
@@ -29,6 +32,7 @@ from tailfield.llm.store import stored
 
 SIDE, ROWS = 12, 3
 PERCENT = 85
+COMMON = 4
 WORDS = 3
 SKETCH = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>"
 
@@ -113,7 +117,7 @@ def _table_keys(reps: DataFrame) -> DataFrame:
 
     A sub-band that one node alone has leads nowhere, so only shared sub-bands are paired.
     """
-    bands = reps.select(F.col("rep").alias("node"), F.posexplode("bands").alias("band", "value"))
+    bands = reps.select("node", F.posexplode("bands").alias("band", "value"))
     shared = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     one = F.xxhash64("band", "value")
     by_node = bands.join(shared, ["band", "value"]).groupBy("node").agg(
@@ -128,55 +132,68 @@ def _table_keys(reps: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``node``, ``hub``) whose whole sets are similar enough."""
+    """``node``, ``hub``, whether their whole sets are similar enough (``linked``) and their Jaccard distance (``far``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            linked, far = [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                    continue
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    kept.append(k)
-            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+                linked.append(100 * both >= percent * (len(a) + len(b) - both))
+                far.append(1 - both / (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], ["node", "hub", "linked", "far"])
 
     hubs = sets.select(F.col("node").alias("hub"), F.col("hashes").alias("hub_hashes"))
     return (
-        pairs.join(sets, "node").join(hubs, "hub").select("node", "hub", "hashes", "hub_hashes")
-        .mapInArrow(run, "node bigint, hub bigint")
+        pairs.join(sets.select("node", "hashes"), "node").join(hubs, "hub").select("node", "hub", "hashes", "hub_hashes")
+        .mapInArrow(run, "node bigint, hub bigint, linked boolean, far double")
     )
 
 
+def _strangers(met: DataFrame, labels: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``node``, ``hub``) that are left to try within the families of the hubs."""
+    reach = 1 - percent / 100
+    named = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    named = named.join(own, "hub", "left").withColumn("strange", F.col("label") != F.coalesce("hub_label", "hub"))
+    named = named.withColumn("ring", F.floor(F.col("far") / reach)).select("node", "hub", "far", "label", "strange", "ring")
+    open_hubs = named.where("strange").select("hub").distinct()
+    family = named.join(open_hubs, "hub", "left_semi").join(sketch, "node")
+    family = stored(family)
+    x = family.where("strange").select(*[F.col(c).alias(f"x_{c}") for c in family.columns])
+    y = family.withColumn("ring", F.explode(F.array(*[F.col("ring") + k for k in (-1, 0, 1)])))
+    tried = (
+        (F.col("x_hub") == F.col("hub")) & (F.col("x_ring") == F.col("ring")) & (F.col("x_label") != F.col("label"))
+        & (~F.col("strange") | (F.col("x_node") < F.col("node"))) & (F.abs(F.col("x_far") - F.col("far")) <= reach + 1e-9)
+        & (100 * F.least("n_shingles", "x_n_shingles") >= percent * F.greatest("n_shingles", "x_n_shingles"))
+        & (F.size(F.array_intersect("x_bands", "bands")) >= COMMON)
+    )
+    return x.join(y, tried).select(F.col("x_node").alias("node"), F.col("node").alias("hub")).distinct()
+
+
 def link_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``s1``, ``s2`` and ``component_id`` for each row of ``docs``."""
     drawn = stored(sketches(docs, words))
     known = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    groups = known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    reps = known.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "bands")
-    left = stored(_table_keys(reps))
-    sizes = left.groupBy("key").agg(F.countDistinct("node").alias("n")).where("n > 1").select("key")
-    left = stored(left.join(sizes, "key", "left_semi").distinct())
-    met = left.select(F.col("node").alias("doc_id")).distinct()
-    sets = stored(shingle_sets(docs.select("doc_id", "text").join(met, "doc_id", "left_semi"), words).distinct())
-    links = left.select("node", F.col("node").alias("hub")).limit(0)
-    labels = left.select("node", F.col("node").alias("label")).limit(0)
-    while not left.isEmpty():
-        named = left.join(labels, "node", "left").select("key", "node", "weight", F.coalesce("label", "node").alias("label"))
-        best = F.struct("weight", (-F.col("node")).alias("order"), "label")
-        hubs = named.groupBy("key").agg(F.max(best).alias("best")).select(
-            "key", (-F.col("best.order")).alias("hub"), F.col("best.label").alias("hub_label")
-        )
-        paired = named.join(hubs, "key")
-        fresh = paired.where("node <> hub AND label <> hub_label").select("node", "hub").distinct()
-        links = stored(links.unionByName(_verify(fresh, sets, percent)).distinct())
-        labels = components(links, "node", "hub")
-        rest = paired.where("node <> hub").select("key", "node", "weight").join(labels, "node", "left").select(
-            "key", "node", "weight", F.coalesce("label", "node").alias("label")
-        )
-        open_keys = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        left = stored(rest.join(open_keys, "key", "left_semi").select("key", "node", "weight"))
+    groups = stored(known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")))
+    sketch = known.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(
+        F.col("doc_id").alias("node"), "n_shingles", "bands"
+    )
+    keys = stored(_table_keys(sketch))
+    best = F.struct("weight", (-F.col("node")).alias("order"))
+    hubs = keys.groupBy("key").agg(F.max(best).alias("best"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(
+        "key", (-F.col("best.order")).alias("hub")
+    )
+    pairs = stored(keys.join(hubs, "key").where("node <> hub").select("node", "hub").distinct())
+    near = pairs.select("node").union(pairs.select("hub")).distinct()
+    sets = stored(shingle_sets(docs.select("doc_id", "text").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), words).distinct())
+    met = stored(_verify(pairs, sets, percent))
+    links = met.where("linked").select("node", "hub")
+    labels = components(links, "node", "hub")
+    rest = stored(_verify(_strangers(met, labels, sketch.join(near, "node", "left_semi"), percent), sets, percent).where("linked").select("node", "hub"))
+    if not rest.isEmpty():
+        labels = components(links.unionByName(rest), "node", "hub")
     named = drawn.select("doc_id", "n_shingles", "s1", "s2").join(groups, ["n_shingles", "s1", "s2"], "left")
     named = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select("doc_id", "n_shingles", "s1", "s2", F.coalesce("label", "rep", "doc_id").alias("component_id"))
