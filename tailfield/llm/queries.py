@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tailfield.llm import contamination, near_duplicates, pieces, quality, secrets
+from tailfield.llm import contamination, near_duplicates, pieces, quality, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,8 @@ def op7_sentencepiece_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.decontamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.suffix_dedup(_table(spark, sf, "documents"))

@@ -71,3 +71,21 @@ def contaminated(docs, items):
                     hit.update(range(i, i + n))
         out[doc] = (len(w), len(hit), sorted(ids))
     return out
+
+
+def kept_bytes(docs, n=100):
+    """{doc_id: (bytes, removed, spans, kept)} for (doc_id, text) in any order."""
+    seen, out = set(), {}
+    for doc, text in sorted(docs, key=lambda r: r[0]):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - n + 1):
+            w = raw[i:i + n]
+            if w in seen:
+                gone[i:i + n] = b"\x01" * n
+            else:
+                seen.add(w)
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        spans = len([x for x in bytes(gone).split(b"\x00") if x])
+        out[doc] = (len(raw), len(raw) - len(kept), spans, kept)
+    return out
