@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tailfield.llm import contamination, near_duplicates, pieces, quality, repeats, secrets
+from tailfield.llm import contamination, near_duplicates, pieces, quality, repeats, scoring, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,8 @@ def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.suffix_dedup(_table(spark, sf, "documents"))
+
+
+@query
+def op5_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.lm_scores(_table(spark, sf, "documents"))

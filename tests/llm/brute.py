@@ -89,3 +89,29 @@ def kept_bytes(docs, n=100):
         spans = len([x for x in bytes(gone).split(b"\x00") if x])
         out[doc] = (len(raw), len(raw) - len(kept), spans, kept)
     return out
+
+
+def lm(docs, mu):
+    """{doc_id: (held out, tokens, known, training tokens, base score, score)}."""
+    import zlib
+    from collections import Counter
+    from math import log10
+
+    texts = [(i, words(lower(t)) + [None]) for i, t in docs]
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in texts}
+    one, two = Counter(), Counter()
+    for i, w in texts:
+        if not held[i]:
+            one.update(w)
+            two.update(zip([""] + w, w))
+    n, v, starts = sum(one.values()), len(one), sum(not held[i] for i, _ in texts)
+    out = {}
+    for i, w in texts:
+        base = score = known = 0
+        for c, x in zip([""] + w, w):
+            p = (one[x] + 0.1) / (n + 0.1 * (v + 1))
+            known += one[x] > 0
+            base += log10(p)
+            score += log10((two[c, x] + mu * p) / ((starts if c == "" else one[c]) + mu))
+        out[i] = (held[i], len(w), known, n, base, score)
+    return out
