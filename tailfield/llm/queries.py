@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tailfield.llm import contamination, near_duplicates, pieces, quality, repeats, scoring, secrets, urls
+from tailfield.llm import contamination, near_duplicates, pages, pieces, quality, repeats, scoring, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,8 @@ SELECT page_id, host, path, rule,
             WHEN len(list_intersect(string_split_regex(host, '[.\\-]'), {list(urls.LISTED_WORDS)!r})) > 0 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
+
+
+@query
+def op6_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.html_extraction(_table(spark, sf, "pages"))

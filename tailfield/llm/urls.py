@@ -204,7 +204,7 @@ RULES = [
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
 ]
 # Words whose presence between the dots and hyphens of a host puts it on the list of the query.
-LISTED_WORDS = ("spam", "ads", "malware", "phishing", "casino", "porn", "xxx", "warez")
+LISTED_WORDS = ("spam", "ads", "adult", "bets", "casino", "malware", "phishing", "pills", "porn", "warez", "xxx")
 
 
 def listed_hosts(pages: DataFrame) -> DataFrame:
