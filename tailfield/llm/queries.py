@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tailfield.llm import contamination, near_duplicates, pages, pieces, quality, repeats, scoring, secrets, urls
+from tailfield.llm import contamination, licences, near_duplicates, pages, pieces, quality, repeats, scoring, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,8 @@ FROM ruled
 @query
 def op6_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return pages.html_extraction(_table(spark, sf, "pages"))
+
+
+@query
+def op4_license_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.license_scans(_table(spark, sf, "documents"))
