@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tailfield.llm import contamination, licences, near_duplicates, pages, pieces, quality, repeats, scoring, secrets, urls
+from tailfield.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -68,22 +68,6 @@ def op1_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return urls.url_filters(_table(spark, sf, "pages"))
 
 
-_REST = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
-_FITS = "({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with(path, '{p}')"
-ORACLES["op1_url_filters"] = f"""
-WITH parts AS (
-  SELECT page_id, translate(regexp_extract({_REST}, '(?s)^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host,
-         regexp_extract({_REST}, '(?s)^[^/?#]*([^?#]*)', 1) AS path
-  FROM pages),
-ruled AS (
-  SELECT *, CASE {" ".join(f"WHEN {_FITS.format(host='host', h=h, p=p)} THEN '{h}{p}'" for _, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2])))} END AS rule
-  FROM parts)
-SELECT page_id, host, path, rule,
-       CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for v, h, p in urls.RULES)}
-            WHEN len(list_intersect(string_split_regex(host, '[.\\-]'), {list(urls.LISTED_WORDS)!r})) > 0 THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled
-"""
-
 
 @query
 def op6_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
