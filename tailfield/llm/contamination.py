@@ -120,17 +120,16 @@ def candidates(index: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def proximity_matches(index: DataFrame, needed: DataFrame, slack: int) -> DataFrame:
-    """``_key``, ``item``, ``start`` of windows whose indexed terms lie within ``slack`` words of their places."""
-    seeds = needed.select("item", "start", F.size("seeds").alias("n"), F.explode("seeds").alias("seed"))
-    met = index.join(seeds.select("item", "start", "n", F.col("seed.offset").alias("offset"), F.col("seed.term").alias("term")), "term")
-    shift = F.col("position") - F.col("offset")
-    spread = met.select("_key", "item", "start", "n", "offset", shift.alias("shift")).withColumn(
-        "bin", F.explode(F.array(F.floor(shift / (slack + 1)), F.floor(shift / (slack + 1)) + 1))
-    )
-    found = spread.groupBy("_key", "item", "start", "bin", "n").agg(
-        F.countDistinct("offset").alias("terms"), (F.max("shift") - F.min("shift")).alias("width")
-    )
-    return found.where("terms = n").select("_key", "item", "start").distinct()
+    """``_key``, ``item``, ``start`` of windows whose other indexed terms lie within ``slack`` words of where the rarest one puts them."""
+    seeds = needed.select("item", "start", F.size("seeds").alias("n"), F.posexplode("seeds").alias("rank", "seed"))
+    met = index.join(seeds.select("item", "start", "n", "rank", F.col("seed.offset").alias("offset"), F.col("seed.term").alias("term")), "term")
+    met = met.select("_key", "item", "start", "n", "rank", (F.col("position") - F.col("offset")).alias("shift"))
+    met = met.withColumn("bin", F.floor(F.col("shift") / (slack + 1)))
+    rarest = met.where("rank = 0").select("_key", "item", "start", "n", F.col("shift").alias("at"), F.explode(F.array(*[F.col("bin") + k for k in (-1, 0, 1)])).alias("bin"))
+    others = met.where("rank > 0").select("_key", "item", "start", "rank", "shift", "bin")
+    found = rarest.join(others, ["_key", "item", "start", "bin"], "left").withColumn("near", F.when(F.abs(F.col("shift") - F.col("at")) <= slack, F.col("rank")))
+    counted = found.groupBy("_key", "item", "start", "at", "n").agg(F.countDistinct("near").alias("terms"))
+    return counted.where("terms = n - 1").select("_key", "item", "start").distinct()
 
 
 def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, seeds: int = SEEDS) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tailfield.llm.store import stored
 from tailfield.llm.urls import host_of
 
-FREQUENT, LARGE, PAGES = 0.9, 3, 4
+FREQUENT, LARGE, PAGES = 0.9, 2, 4
 HELD = 200_000
 BROADCAST_TOKENS = 200_000
 

@@ -115,3 +115,28 @@ def lm(docs, mu):
             score += log10((two[c, x] + mu * p) / ((starts if c == "" else one[c]) + mu))
         out[i] = (held[i], len(w), known, n, base, score)
     return out
+
+
+def quality(text):
+    """(words, characters in words, symbols, repeated lines, words in repeated triples)."""
+    from collections import Counter
+
+    w = words(text)
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if words(line):
+            dup += line in seen
+            seen.add(line)
+    triples = Counter(zip(w, w[1:], w[2:]))
+    hit = {i + k for i in range(len(w) - 2) if triples[tuple(w[i:i + 3])] > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(hit)
+
+
+def secrets(text):
+    """(start, end, kind) of the fixed patterns, in code points."""
+    text, out = text or "", []
+    assign = r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
+    out += [(m.start(), 0, m.end()) for m in re.finditer(assign, text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(s, e, k) for s, k, e in sorted(out)]
