@@ -48,7 +48,7 @@ def process_zone(
     target: str,
     *,
     domain="domain",
-    boundary="zou_boundary_distance_km",
+    boundary="boundary_distance_km",
     feature="tlrts_distance_km",
     boundary_km: float | None = None,
     impact_km: float | None = None,

@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tailfield.operators.ordering import exact_quantiles, running_totals
+from tailfield.operators.ordering import exact_quantiles, global_row_number, running_totals
 from tailfield.operators.profiles import rank_bins
-from tailfield.operators.sampling import hash_key, smallest_keys
+from tailfield.operators.sampling import hash_key
 from tailfield.session import materialise
 
 Predict = Callable[[DataFrame], DataFrame]
@@ -101,20 +101,23 @@ def calibration_bins(df: DataFrame, id_col: str, by: list[str], label: str = "la
 
 
 def permutation_importance(df: DataFrame, groups: dict[str, list[str]], predict: Predict, *, label: str = "label", id_col: str = "pixel_id",
-                           repeats: int = 15, max_rows: int = 15_000, salt="0", ddof: int = 1) -> DataFrame:
+                           repeats: int = 15, ddof: int = 1) -> DataFrame:
     """Drop in average precision when the features of a group are exchanged jointly between rows.
 
-    The row cap is part of the method; within it, every group and repeat pairs rows by two
-    rankings, and all of them are scored in one pass.
+    All labelled rows take part. Every group and repeat pairs rows by two rankings, which come from
+    range-partitioned sorts, and all of them are scored in one pass.
     """
     features = sorted({f for members in groups.values() for f in members})
-    base = smallest_keys(df.where(F.col(label).isNotNull()), max_rows, id_col, salt=salt)
-    spread = base.withColumn("group", F.explode(F.array(*[F.lit(g) for g in groups]))).withColumn(
-        "repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    w = Window.partitionBy("group", "repeat")
+    base = df.where(F.col(label).isNotNull())
+
+    def spread(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("group", F.explode(F.array(*[F.lit(g) for g in groups]))).withColumn(
+            "repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+
     tag = F.concat(F.lit("|"), F.col("group"), F.lit("|"), F.col("repeat").cast("string"))
-    own = spread.withColumn("_r", F.row_number().over(w.orderBy(id_col)))
-    donors = spread.withColumn("_r", F.row_number().over(w.orderBy(hash_key(id_col, tag), id_col))).select(
+    own = spread(global_row_number(base, [id_col], "_r"))
+    keyed = spread(base.select(id_col, *features)).withColumn("_key", hash_key(id_col, tag))
+    donors = global_row_number(keyed, ["_key", id_col], "_r", ["group", "repeat"]).select(
         "group", "repeat", "_r", *[F.col(f).alias(f"_d_{f}") for f in features])
     swapped = own.join(donors, ["group", "repeat", "_r"])
     for f in features:
@@ -175,10 +178,9 @@ def curve_summary(curves: DataFrame, by: list[str], x: str = "x", y: str = "y")
         (F.max(y) - F.min(y)).alias("ale_range"))
 
 
-def partial_dependence(df: DataFrame, feature: str, predict: Predict, *, id_col: str = "pixel_id", points: int = 40, max_rows: int = 4000,
-                       salt="0") -> DataFrame:
-    """Mean prediction with the feature set to each of evenly spaced values between its 5 and 95 % quantiles."""
-    rows = smallest_keys(df, max_rows, id_col, salt=salt)
+def partial_dependence(df: DataFrame, feature: str, predict: Predict, *, points: int = 40) -> DataFrame:
+    """Mean prediction over all rows with the feature set to each of evenly spaced values between its 5 and 95 % quantiles."""
+    rows = df
     limits = exact_quantiles(df, feature, [0.05, 0.95]).select("quantiles").scalar()
     step = (F.get("_q", F.lit(1)) - F.get("_q", F.lit(0))) / (points - 1)
     grid = rows.withColumn("_q", limits).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(

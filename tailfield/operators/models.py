@@ -31,6 +31,18 @@ def fit_medians(df: DataFrame, features: list[str]) -> dict[str, float]:
     return {r["feature"]: r["quantiles"][0] for r in rows}
 
 
+class NoFeatures(ValueError):
+    """No feature has a value."""
+
+
+def with_values(features: list[str], medians: dict[str, float]) -> list[str]:
+    """The features that have any value; those without are left out of a fit."""
+    kept = [f for f in features if f in medians]
+    if not kept:
+        raise NoFeatures(f"no values in {', '.join(features)}")
+    return kept
+
+
 def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     return df.fillna(medians)
 
@@ -42,18 +54,39 @@ def with_balance(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("_w", sizes).withColumn("weight", F.get("_w", F.col(label))).drop("_w")
 
 
-def classifier(kind: str, trees: int = 350, depth: int = 6, seed: int = 42):
-    """``forest`` (also in place of extremely randomised trees), ``boosted`` or ``linear``."""
-    shared = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
+MAX_DEPTH = 30  # the deepest tree the library builds; leaf size ends growth before
+MAX_ITERATIONS = 2500
+
+
+def classifier(kind: str, trees: int | None = None, depth: int | None = None, seed: int = 42, balanced: bool = True):
+    """``forest`` (also in place of extremely randomised trees), ``boosted``, ``sampled`` or ``linear``.
+
+    ``boosted`` has no weights; ``sampled`` draws rows and columns for each tree and takes the weights; ``balanced`` says
+    whether the forest and the linear model take them.
+    """
+    shared = {"featuresCol": "features", "labelCol": "label"}
+    weighted = shared | ({"weightCol": "weight"} if balanced else {})
     if kind == "forest":
-        return RandomForestClassifier(**shared, numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed)
+        return RandomForestClassifier(**weighted, numTrees=trees or 350, maxDepth=depth or MAX_DEPTH, minInstancesPerNode=2, seed=seed)
     if kind == "boosted":
-        return GBTClassifier(**shared, maxIter=trees, maxDepth=depth, stepSize=0.05, seed=seed)
+        return GBTClassifier(**shared, maxIter=trees or 350, maxDepth=depth or 6, stepSize=0.05, seed=seed)
+    if kind == "sampled":
+        return GBTClassifier(**shared, weightCol="weight", maxIter=trees or 350, maxDepth=depth or 6, stepSize=0.05, subsamplingRate=0.85,
+                             featureSubsetStrategy="0.85", seed=seed)
     if kind == "linear":
-        return LogisticRegression(**shared, maxIter=50)
+        return LogisticRegression(**weighted, maxIter=MAX_ITERATIONS, tol=1e-9)
     raise ValueError(kind)
 
 
+class NotConverged(RuntimeError):
+    """An iterative fit used all its iterations."""
+
+
+def require_converged(model) -> None:
+    if model.hasSummary and model.summary.totalIterations >= MAX_ITERATIONS:
+        raise NotConverged(f"no optimum within {MAX_ITERATIONS} iterations")
+
+
 def components_for(df: DataFrame, vector: str, n_features: int, share: float = 0.95) -> int:
     """Leading components that reach the wanted share of variance."""
     explained = PCA(k=n_features, inputCol=vector, outputCol="_pc").fit(df).explainedVariance.toArray()
@@ -83,6 +116,7 @@ def fit_model(df: DataFrame, features: list[str], kind: str, *, label: str = "la
     rows = df.where(F.col(label).isNotNull()).select(*features, F.col(label).alias("label")).cache()
     try:
         medians = fit_medians(rows, features)
+        features = with_values(features, medians)
         ready = with_balance(rows.select(*[F.coalesce(F.col(f), F.lit(medians[f])).alias(f"_f_{f}") for f in features], "label"))
         scaled = pca or kind == "linear"
         stages = [VectorAssembler(inputCols=[f"_f_{f}" for f in features], outputCol="_v0" if scaled else "features")]
@@ -94,6 +128,8 @@ def fit_model(df: DataFrame, features: list[str], kind: str, *, label: str = "la
             stages = [*head.stages, PCA(k=k, inputCol="_v1", outputCol="features")]
         stages.append(classifier(kind, **kw))
         pipeline = Pipeline(stages=stages).fit(ready)
+        if kind == "linear":
+            require_converged(pipeline.stages[-1])
     finally:
         rows.unpersist()
     return FittedModel(features, medians, pipeline)
@@ -121,25 +157,33 @@ def fit_stack(df: DataFrame, features: list[str], kinds: list[str], *, folds: in
         for kind in kinds:
             held = fit_model(rest, features, kind, **kw).predict(held, f"_s_{kind}")
         parts.append(held)
-    meta = fit_model(reduce(DataFrame.unionByName, parts), [f"_s_{k}" for k in kinds], "linear")
+    meta = fit_model(reduce(DataFrame.unionByName, parts), [f"_s_{k}" for k in kinds], "linear", balanced=False)
     bases = {k: fit_model(rows, features, k, **kw) for k in kinds}
     return StackedModel(bases, meta)
 
 
 def fit_domain(df: DataFrame, target: str, domain: str, features: list[str], kinds: list[str], *, missing_limit: float = 0.4,
                test: float = 0.2, id_col: str = "pixel_id", **kw) -> dict:
-    """Label, block holdout, missingness filter, all models on the training side, refit of the best on all rows."""
+    """Label, block holdout, missingness filter, all models on the training side, refit of the best on all rows.
+
+    ``kinds`` may hold ``stack``: a stack of all the other kinds, which is refitted as a stack if it is the best.
+    """
     rows = df.where(F.col("domain") == domain).withColumn("label", extreme_label(target)).where("label IS NOT NULL")
     split = materialise(blocked_holdout(rows, test=test))
     used = [r["feature"] for r in missingness(split.where("split = 'train'"), features, missing_limit).collect()]
     used = [f for f in features if f in used]
+    bases = [k for k in kinds if k != "stack"]
+
+    def fitted(frame: DataFrame, kind: str):
+        return fit_stack(frame, used, bases, **kw) if kind == "stack" else fit_model(frame, used, kind, **kw)
+
     scored = split.where("split = 'test'")
     for kind in kinds:
-        scored = fit_model(split.where("split = 'train'"), used, kind, **kw).predict(scored, kind)
+        scored = fitted(split.where("split = 'train'"), kind).predict(scored, kind)
     long = scored.unpivot([id_col, "domain", "label"], kinds, "method", "score")
     metrics = binary_metrics(long, by=["method"])
     best = metrics.orderBy(F.desc("average_precision"), "method").first()["method"]
-    final = fit_model(split, used, best, **kw)
+    final = fitted(split, best)
     return {"model": final, "best": best, "features": used, "metrics": metrics, "predictions": scored}
 
 
@@ -178,15 +222,16 @@ def fuse_scores(df: DataFrame, calibration: DataFrame, a: str = "pf_expert", b:
         return rows.withColumn("_la", logit(a)).withColumn("_lb", logit(b))
 
     base = features(ranked(calibration))
-    dual = fit_model(base, ["_la", "_lb"], "linear")
-    rank = fit_model(base, ["dual_rank_raw"], "linear")
+    dual = fit_model(base, ["_la", "_lb"], "linear", balanced=False)
+    rank = fit_model(base, ["dual_rank_raw"], "linear", balanced=False)
     return rank.predict(dual.predict(features(out), "dual_expert"), "dual_rank").drop("_la", "_lb")
 
 
-def fit_regressor(df: DataFrame, features: list[str], target: str, trees: int = 800, depth: int = 8, seed: int = 42):
+def fit_regressor(df: DataFrame, features: list[str], target: str, trees: int = 800, depth: int = MAX_DEPTH, seed: int = 42):
     """Tree regressor with median imputation: fitted pipeline, medians and impurity importances."""
     rows = df.where(F.col(target).isNotNull())
     medians = fit_medians(rows, features)
+    features = with_values(features, medians)
     ready = rows.select(*[F.coalesce(F.col(f), F.lit(medians[f])).alias(f"_f_{f}") for f in features], F.col(target).alias("label"))
     pipeline = Pipeline(stages=[
         VectorAssembler(inputCols=[f"_f_{f}" for f in features], outputCol="features"),
@@ -203,14 +248,15 @@ def fit_regressor(df: DataFrame, features: list[str], target: str, trees: int =
 
 
 def threshold_sweep(df: DataFrame, target: str, qs: list[float], features: list[str], kind: str, **kw) -> DataFrame:
-    """Relabel at each quantile of the target, refit on the training blocks, score the held-out blocks."""
+    """One split of the blocks; at each quantile of the target relabel, refit on the training blocks, score the held-out ones."""
     limits = exact_quantiles(df, target, qs).first()["quantiles"]
+    rows = df.where(F.col(target).isNotNull())
+    split = materialise(blocked_holdout(rows.withColumn("label", (F.col(target) >= limits[0]).cast("int")), test=0.25))
     parts = []
     for q, limit in zip(qs, limits, strict=True):
-        labelled = df.where(F.col(target).isNotNull()).withColumn("label", (F.col(target) >= limit).cast("int"))
-        rows = materialise(blocked_holdout(labelled, test=0.25))
-        model = fit_model(rows.where("split = 'train'"), features, kind, **kw)
-        metrics = binary_metrics(model.predict(rows.where("split = 'test'")), score="prediction")
+        labelled = split.withColumn("label", (F.col(target) >= limit).cast("int"))
+        model = fit_model(labelled.where("split = 'train'"), features, kind, **kw)
+        metrics = binary_metrics(model.predict(labelled.where("split = 'test'")), score="prediction")
         parts.append(metrics.select(F.lit(q).alias("q"), F.lit(limit).alias("threshold"), "n", F.col("positive_fraction").alias("prevalence"),
                                     "roc_auc", "average_precision", "brier"))
     return reduce(DataFrame.unionByName, parts)
@@ -226,24 +272,36 @@ def ablation(df: DataFrame, variants: dict[str, list[str]], fit: Callable[[DataF
     return reduce(DataFrame.unionByName, parts)
 
 
-def buffer_sweep(df: DataFrame, buffers: list[float], features: list[str], kind: str, ale_feature: str, *, distance: str = "zou_boundary_distance_km",
-                 min_rows: int = 1000, **kw) -> DataFrame:
-    """Refit on the rows at least each distance from the boundary; short buffers are reported as skipped."""
+def buffer_sweep(df: DataFrame, buffers: list[float], features: list[str], kind: str, ale_feature: str, *, distance: str = "boundary_distance_km",
+                 min_rows: int = 1000, missing_limit: float = 0.4, **kw) -> DataFrame:
+    """Refit on the rows at least each distance from the boundary, on the features that have enough values there.
+
+    Buffers with too few rows, without a split that has both classes on both sides, or without features are reported as skipped.
+    """
     counts = df.agg(F.count("*").alias("n"), *[F.count_if(F.col(distance) >= b).alias(f"b{i}") for i, b in enumerate(buffers)]).first()
     parts = []
+
+    def skipped(b: float, kept: int, share: float) -> DataFrame:
+        return small_table(
+            df.sparkSession, "buffer_km double, n_rows bigint, retained_frac double, status string, roc_auc double, average_precision double, brier double,"
+            " ale_span double", [(b, kept, share, "skipped", None, None, None, None)])
+
     for i, b in enumerate(buffers):
-        kept, share = counts[f"b{i}"], counts[f"b{i}"] / counts["n"]
+        kept, share = counts[f"b{i}"], counts[f"b{i}"] / max(counts["n"], 1)
         if kept < min_rows:
-            parts.append(small_table(
-                df.sparkSession, "buffer_km double, n_rows bigint, retained_frac double, status string, roc_auc double, average_precision double, ale_span double",
-                [(b, kept, share, "skipped", None, None, None)]))
+            parts.append(skipped(b, kept, share))
+            continue
+        try:
+            rows = materialise(blocked_holdout(df.where(F.col(distance) >= b), test=0.25))
+            train = rows.where("split = 'train'")
+            found = {r["feature"] for r in missingness(train, features, missing_limit).collect()}
+            model = fit_model(train, [f for f in features if f in found], kind, **kw)
+        except (RuntimeError, ValueError):
+            parts.append(skipped(b, kept, share))
             continue
-        rows = materialise(blocked_holdout(df.where(F.col(distance) >= b), test=0.25))
-        model = fit_model(rows.where("split = 'train'"), features, kind, **kw)
         test = rows.where("split = 'test'")
-        m = binary_metrics(model.predict(test), score="prediction").select("roc_auc", "average_precision")
+        m = binary_metrics(model.predict(test), score="prediction").select("roc_auc", "average_precision", "brier")
         span = ale_curve(test, ale_feature, model.predict).agg((F.max("y") - F.min("y")).alias("s")).scalar()
         parts.append(m.select(F.lit(b).alias("buffer_km"), F.lit(kept).cast("long").alias("n_rows"), F.lit(share).alias("retained_frac"), F.lit("fitted").alias("status"),
-                              "roc_auc", "average_precision", span.alias("ale_span")))
+                              "roc_auc", "average_precision", "brier", span.alias("ale_span")))
     return reduce(DataFrame.unionByName, parts)
-

@@ -79,19 +79,19 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles, exact, per group: columns ``by``, ``n``, ``quantiles``.
 
-    A mergeable sketch brackets every requested rank. Rows outside the brackets are
-    only counted; the distinct values inside, a few hundred-thousandths of the rows,
-    are ordered to read off the exact order statistics. Groups of up to ten times
-    ``accuracy`` rows are ordered whole. ``small_groups`` says that ``by`` takes a handful
-    of fixed values, which makes the bracket table broadcastable.
+    A mergeable sketch brackets every requested rank. Rows between the brackets are only
+    counted, with their smallest and largest value, which answer a rank just outside a bracket;
+    the distinct values inside, a few hundred-thousandths of the rows, are ordered bracket by
+    bracket to read off the exact order statistics. The same path serves every size.
+    ``small_groups`` says that ``by`` takes a handful of fixed values, which makes the bracket
+    table broadcastable.
     """
     by = list(by)
     values = df.select(*by, col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     eps = 2.0 / accuracy
     ordered = sorted(set(qs))
     probes = [p for q in ordered for p in (max(q - eps, 0.0), min(q + eps, 1.0))]
-    whole = F.array(*[f("_v") for _ in ordered for f in (F.min, F.max)])
-    sketch = F.when(F.count("*") <= 10 * accuracy, whole).otherwise(F.percentile_approx("_v", probes, accuracy))
+    sketch = F.percentile_approx("_v", probes, accuracy)
     if by:
         brackets = values.groupBy(*by).agg(sketch.alias("_b"))
         held = values.join(F.broadcast(brackets) if small_groups else brackets, by)
@@ -107,16 +107,22 @@ def exact_quantiles(
         .withColumn("_seg", F.col("_k") * 2 + inside.cast("int"))
         .withColumn("_x", F.when(inside, F.col("_v")))
         .groupBy(*by, "_seg", "_x")
-        .agg(F.count("*").alias("_c"))
+        .agg(F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     )
+    # one row per group and segment
+    segments = compact.groupBy(*by, "_seg").agg(F.sum("_c").alias("_sc"))
     w = Window.partitionBy(*by)
-    ranked = compact.withColumn("_n", F.sum("_c").over(w)).withColumn(
-        "_end", F.sum("_c").over(w.orderBy("_seg", "_x").rowsBetween(Window.unboundedPreceding, 0))
-    )
+    placed = segments.withColumn("_n", F.sum("_sc").over(w)).withColumn(
+        "_start", F.sum("_sc").over(w.orderBy("_seg").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sc")).drop("_sc")
+    matched = reduce(lambda a, b: a & b, [F.col(f"_p_{c}").eqNullSafe(F.col(c)) for c in [*by, "_seg"]])
+    renamed = placed.select(*[F.col(c).alias(f"_p_{c}") for c in [*by, "_seg"]], "_n", "_start")
+    inner = Window.partitionBy(*by, "_seg").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = compact.withColumn("_run", F.sum("_c").over(inner)).join(renamed, matched).withColumn("_end", F.col("_start") + F.col("_run"))
 
     def at_rank(rank: Column) -> Column:
         hit = (rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_c"))
-        return F.max(F.when(hit, F.col("_x")))
+        edge = F.when(rank == F.col("_end") - F.col("_c"), F.col("_low")).when(rank == F.col("_end") - 1, F.col("_high"))
+        return F.max(F.when(hit, F.coalesce("_x", edge)))
 
     picks = []
     for i, q in enumerate(ordered):

@@ -34,15 +34,15 @@ def fixed_edge_profile(df: DataFrame, x, value: str, edges: list[float], by: lis
 
 
 def signed_boundary_profile(df: DataFrame, value: str, edges: list[float], min_count: int = 20) -> DataFrame:
-    return fixed_edge_profile(df, signed_distance("zou_boundary_distance_km"), value, edges, min_count=min_count)
+    return fixed_edge_profile(df, signed_distance("boundary_distance_km"), value, edges, min_count=min_count)
 
 
 def outward_profile(df: DataFrame, value: str, domain: str, edges: list[float], feature_min_km: float | None = None,
                     min_count: int = 20) -> DataFrame:
-    rows = df.where((F.col("domain") == domain) & (F.col("zou_boundary_distance_km") >= 0))
+    rows = df.where((F.col("domain") == domain) & (F.col("boundary_distance_km") >= 0))
     if feature_min_km is not None:
         rows = rows.where(F.col("tlrts_distance_km") >= feature_min_km)
-    return fixed_edge_profile(rows, "zou_boundary_distance_km", value, edges, min_count=min_count)
+    return fixed_edge_profile(rows, "boundary_distance_km", value, edges, min_count=min_count)
 
 
 def feature_profile(df: DataFrame, value: str, edges: list[float], side: str = "all", min_count: int = 20) -> DataFrame:
@@ -50,9 +50,9 @@ def feature_profile(df: DataFrame, value: str, edges: list[float], side: str = "
     rows = df.where((F.col("domain") == "pf") & F.col("tlrts_distance_km").between(0.0, edges[-1]))
     cut = BOUNDARY_KM[(value, "pf")]
     if side == "interior":
-        rows = rows.where(F.col("zou_boundary_distance_km") >= cut)
+        rows = rows.where(F.col("boundary_distance_km") >= cut)
     elif side == "transition":
-        rows = rows.where(F.col("zou_boundary_distance_km") < cut)
+        rows = rows.where(F.col("boundary_distance_km") < cut)
     return fixed_edge_profile(rows, "tlrts_distance_km", value, edges, min_count=min_count)
 
 

@@ -114,8 +114,8 @@ def threshold_sensitivity(df: DataFrame, targets: list[str], boundaries: list[fl
     present = F.explode(F.array(*[
         F.struct(F.lit(t).alias("target"), F.col(t).isNotNull().alias("ok"), extreme_flag(t).alias("x")) for t in targets]))
     compact = (
-        df.where("domain IN ('pf', 'npf') AND zou_boundary_distance_km >= 0")
-        .select("domain", interval("zou_boundary_distance_km", sorted(boundaries)).alias("ib"),
+        df.where("domain IN ('pf', 'npf') AND boundary_distance_km >= 0")
+        .select("domain", interval("boundary_distance_km", sorted(boundaries)).alias("ib"),
                 interval("tlrts_distance_km", sorted(impacts)).alias("ia"), present.alias("t"))
         .where("t.ok").groupBy("t.target", "domain", "ib", "ia").agg(
             F.count("*").alias("n"), F.count_if(F.col("t.x")).alias("e"))

@@ -37,12 +37,12 @@ def _near(name: str) -> Column:
 
 def proximity_bonus(kind: str) -> Column:
     if kind == "transition":
-        return _between(F.lit(5.0) - _near("zou_boundary_distance_km"), 0.0, 5.0) / 5.0
+        return _between(F.lit(5.0) - _near("boundary_distance_km"), 0.0, 5.0) / 5.0
     if kind == "near_tl":
         return _between(F.lit(2.0) - _near("tl_distance_km"), 0.0, 2.0) / 2.0
     if kind == "near_rts":
         return _between(F.lit(2.0) - _near("rts_distance_km"), 0.0, 2.0) / 2.0
-    return _between(_near("zou_boundary_distance_km"), 5.0, 20.0) / 20.0 + _between(_near("tlrts_distance_km"), 2.0, 10.0) / 20.0
+    return _between(_near("boundary_distance_km"), 5.0, 20.0) / 20.0 + _between(_near("tlrts_distance_km"), 2.0, 10.0) / 20.0
 
 
 def score_candidates(df: DataFrame, kind: str, cell_m: float = 12_000.0) -> DataFrame:
@@ -133,12 +133,18 @@ def box_statistics(cells: DataFrame, radius: int, score: str, hot: str) -> DataF
     return slid.join(own.select("row", "col"), ["row", "col"], "left_semi")
 
 
+class TooFewWindows(RuntimeError):
+    """Fewer windows fit than were asked for."""
+
+
 def zoom_windows(df: DataFrame, *, n: int, half: float, spacing: float, min_points: int, min_hotspots: int, score: str, hot: str,
-                 second: str, forbidden: list[tuple[float, float, float, float]] = (), relaxed: bool = True, grid: dict = GRID) -> DataFrame:
+                 second: str, forbidden: list[tuple[float, float, float, float]] = (), relaxed: bool = True, grid: dict = GRID,
+                 floors: tuple[int, int] = (80, 5), least_spacing: float = 120_000.0) -> DataFrame:
     """Windows around the best-scored rows that hold enough rows and hotspots and avoid given boxes.
 
-    Boxes that fail never block others, so failing rows are removed first. When too few
-    windows result, both counts are halved once if ``relaxed``.
+    Boxes that fail never block others, so failing rows are removed first. When fewer than
+    ``n`` windows result and ``relaxed``, half the counts are asked for (no less than ``floors``)
+    at 0.8 of the spacing (no less than ``least_spacing``). Fewer than ``n`` in the end is an error.
     """
     cells = with_cell(df, grid=grid)
     stats = box_statistics(cells, int(half // grid["res"]), score, hot)
@@ -154,13 +160,15 @@ def zoom_windows(df: DataFrame, *, n: int, half: float, spacing: float, min_poin
     order = [F.desc("_score"), F.desc("_second"), F.col("easting"), F.col("northing")]
     payload = ["n_points", "n_hotspots", "mean_score", "max_score"]
 
-    def choose(points: int, hots: int) -> DataFrame:
+    def choose(points: int, hots: int, apart: float) -> DataFrame:
         ok = rows.where((F.col("n_points") >= points) & (F.col("n_hotspots") >= hots))
-        return greedy_windows(ok, order, n, spacing, x="easting", y="northing", payload=payload)
+        return greedy_windows(ok, order, n, apart, x="easting", y="northing", payload=payload)
 
-    out = choose(min_points, min_hotspots)
+    out = choose(min_points, min_hotspots, spacing)
     if relaxed and out.count() < n:
-        out = choose(min_points // 2, min_hotspots // 2)
+        out = choose(max(floors[0], min_points // 2), max(floors[1], min_hotspots // 2), max(least_spacing, 0.8 * spacing))
+    if out.count() < n:
+        raise TooFewWindows(f"{out.count()} of {n} windows hold enough rows and hotspots")
     return out.withColumns({
         "xmin": F.col("easting") - half, "xmax": F.col("easting") + half, "ymin": F.col("northing") - half, "ymax": F.col("northing") + half,
         "hotspot_fraction": F.col("n_hotspots") / F.col("n_points")})

@@ -39,7 +39,7 @@ PIXEL_COLUMNS = {
     "soc": "l_quantity + CAST((l_partkey * 13 + l_suppkey) % 60 AS DOUBLE)",
     "ndvi": "CAST(l_partkey % 97 AS DOUBLE) / 100",
     "vwc35": "CASE WHEN l_linenumber >= 5 THEN NULL ELSE CAST(l_suppkey % 50 AS DOUBLE) / 100 END",
-    "zou_boundary_distance_km": "CASE WHEN l_linenumber = 3 AND l_quantity > 45 THEN NULL"
+    "boundary_distance_km": "CASE WHEN l_linenumber = 3 AND l_quantity > 45 THEN NULL"
                                 " ELSE CAST(l_partkey % 400 AS DOUBLE) / 20 END",
     "tl_distance_km": "CASE WHEN l_suppkey % 11 = 0 THEN NULL"
                       " ELSE CAST((l_partkey * 3 + l_suppkey * 7) % 240 AS DOUBLE) / 20 END",

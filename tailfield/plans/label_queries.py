@@ -95,14 +95,14 @@ def p10(spark, sf):
     return df.groupBy("domain", "du_tail", "grad_tail").agg(F.count("*").alias("n"))
 
 
-@query("p11_signed_distance", """SELECT pixel_id, CASE WHEN domain = 'npf' AND zou_boundary_distance_km <> 0
- THEN -zou_boundary_distance_km ELSE zou_boundary_distance_km END AS signed_km FROM pixels""")
+@query("p11_signed_distance", """SELECT pixel_id, CASE WHEN domain = 'npf' AND boundary_distance_km <> 0
+ THEN -boundary_distance_km ELSE boundary_distance_km END AS signed_km FROM pixels""")
 def p11(spark, sf):
-    return rounded(pixels(spark, sf).select("pixel_id", labels.signed_distance("zou_boundary_distance_km").alias("signed_km")))
+    return rounded(pixels(spark, sf).select("pixel_id", labels.signed_distance("boundary_distance_km").alias("signed_km")))
 
 
 def zone_sql(target="d_u", b_npf=3.25, b_pf=3.25, i_tr=4.25, i_in=2.75):
-    b, f = "zou_boundary_distance_km", "tlrts_distance_km"
+    b, f = "boundary_distance_km", "tlrts_distance_km"
     return (f"CASE WHEN {b} IS NULL THEN 'other' WHEN domain = 'npf' AND {b} < {b_npf} THEN 'npf_transition'"
             f" WHEN domain = 'npf' THEN 'npf_interior' WHEN domain <> 'pf' OR {f} IS NULL THEN 'other'"
             f" WHEN {b} < {b_pf} AND {f} < {i_tr} THEN 'pf_transition_impacted'"
@@ -119,12 +119,12 @@ def p12(spark, sf):
     return df.groupBy("du_zone", "grad_zone", "fixed_zone").agg(F.count("*").alias("n"))
 
 
-@query("p13_extreme_population", """SELECT CASE WHEN zou_boundary_distance_km IS NULL THEN 'unclassified'
- WHEN zou_boundary_distance_km < 5 THEN 'boundary_migration'
+@query("p13_extreme_population", """SELECT CASE WHEN boundary_distance_km IS NULL THEN 'unclassified'
+ WHEN boundary_distance_km < 5 THEN 'boundary_migration'
  WHEN coalesce(vwc35, 0) / 5 >= 0.05 OR coalesce(ndvi, 0) / 10 >= 0.05 THEN 'interior_attributed'
  ELSE 'interior_unexplained' END AS population, count(*) AS n FROM pixels WHERE domain = 'pf' GROUP BY 1""")
 def p13(spark, sf):
-    kind = labels.extreme_population("zou_boundary_distance_km", F.col("vwc35") / 5, F.col("ndvi") / 10)
+    kind = labels.extreme_population("boundary_distance_km", F.col("vwc35") / 5, F.col("ndvi") / 10)
     return pixels(spark, sf).where("domain = 'pf'").groupBy(kind.alias("population")).agg(F.count("*").alias("n"))
 
 
@@ -232,8 +232,8 @@ def p23(spark, sf):
     return df.groupBy("domain").agg(F.count("*").alias("n"))
 
 
-ANALYSIS_ZONE_SQL = """CASE WHEN domain <> 'pf' THEN domain WHEN zou_boundary_distance_km < 5 AND tlrts_distance_km < 2
- THEN 'pf_overlap' WHEN zou_boundary_distance_km < 5 THEN 'pf_frontal_iso' WHEN tlrts_distance_km < 2
+ANALYSIS_ZONE_SQL = """CASE WHEN domain <> 'pf' THEN domain WHEN boundary_distance_km < 5 AND tlrts_distance_km < 2
+ THEN 'pf_overlap' WHEN boundary_distance_km < 5 THEN 'pf_frontal_iso' WHEN tlrts_distance_km < 2
  THEN 'pf_abrupt_iso' ELSE 'pf_background' END"""
 
 

@@ -21,7 +21,7 @@ SMALL = {"trees": 8, "depth": 4}
 
 def frame(spark, sf, domain: str | None = None):
     df = pixels(spark, sf).where("domain IN ('pf', 'npf')" if domain is None else f"domain = '{domain}'")
-    return df.select("pixel_id", "domain", "easting", "northing", "d_u", "grad_mag_km", *FEATURES, "pf_expert", "npf_expert", "zou_boundary_distance_km",
+    return df.select("pixel_id", "domain", "easting", "northing", "d_u", "grad_mag_km", *FEATURES, "pf_expert", "npf_expert", "boundary_distance_km",
                      block_id("easting", "northing", BLOCK).alias("block_id"), extreme_label("d_u").alias("label")).where("label IS NOT NULL")
 
 
@@ -107,7 +107,7 @@ def m07(spark, sf):
     from tailfield.operators.stats import top_categories
     from tailfield.sources.tables import stack
     df = basin_pixels(spark, sf).where("domain = 'pf'").withColumn("basin", F.coalesce("Main-Basin", F.lit("missing")))
-    groups = ["all"] + [r["basin"] for r in top_categories(df, "basin", 2).collect()]
+    groups = ["all"] + [r["basin"] for r in top_categories(df, "basin", 5).collect()]
     parts = []
     for name in groups:
         rows = random_split(df if name == "all" else df.where(F.col("basin") == name), "pixel_id", 0.25)
@@ -171,8 +171,8 @@ def m11(spark, sf):
 _GROUPS = {"soil": ["soc"], "terrain": ["slope"], "both": ["soc", "slope"]}
 
 
-@query("m12_permutation_importance", f"""WITH base AS (SELECT pixel_id, label, soc, slope FROM labelled WHERE label IS NOT NULL ORDER BY md5(pixel_id || '0'), pixel_id LIMIT 15000),
- sp AS (SELECT base.*, g, r FROM base, (VALUES ('soil'), ('terrain'), ('both')) v(g), (SELECT unnest(range(0, 5)) AS r)),
+@query("m12_permutation_importance", f"""WITH base AS (SELECT pixel_id, label, soc, slope FROM labelled WHERE label IS NOT NULL),
+ sp AS (SELECT base.*, g, r FROM base, (VALUES ('soil'), ('terrain'), ('both')) v(g), (SELECT unnest(range(0, 15)) AS r)),
  ow AS (SELECT *, row_number() OVER (PARTITION BY g, r ORDER BY pixel_id) AS k FROM sp), dn AS (SELECT g, r, soc AS ds, slope AS dl, row_number() OVER (PARTITION BY g, r ORDER BY md5(pixel_id || '|' || g || '|' || r), pixel_id) AS k FROM sp),
  sw AS (SELECT g, r, label, CASE WHEN g IN ('soil', 'both') THEN ds ELSE soc END AS soc, CASE WHEN g IN ('terrain', 'both') THEN dl ELSE slope END AS slope FROM ow JOIN dn USING (g, r, k)
  UNION ALL SELECT 'base', 0, label, soc, slope FROM base),
@@ -180,7 +180,7 @@ _GROUPS = {"soil": ["soc"], "terrain": ["slope"], "both": ["soc", "slope"]}
  SELECT g AS "group", round(avg(ap - average_precision), 6) AS importance, round(stddev_samp(ap - average_precision), 6) AS importance_std, round(any_value(ap), 6) AS baseline_average_precision, count(*) AS n_repeats
  FROM met, b WHERE g <> 'base' GROUP BY g""")
 def m12(spark, sf):
-    return rounded(ev.permutation_importance(frame(spark, sf), _GROUPS, fixed_score, repeats=5))
+    return rounded(ev.permutation_importance(frame(spark, sf), _GROUPS, fixed_score))
 
 
 ALE_SQL = f"""x AS (SELECT domain, soc, slope FROM labelled WHERE label IS NOT NULL AND soc IS NOT NULL), e AS (SELECT list_distinct(quantile_cont(soc, [{', '.join(repr(i / 16) for i in range(17))}])) AS q0 FROM x),
@@ -203,7 +203,7 @@ def m14(spark, sf):
     return rounded(ev.curve_summary(curve, ["feature"]))
 
 
-@query("m15_partial_dependence", f"""WITH q AS (SELECT quantile_cont(soc, 0.05) AS a, quantile_cont(soc, 0.95) AS b FROM labelled WHERE label IS NOT NULL), r AS (SELECT slope FROM labelled WHERE label IS NOT NULL ORDER BY md5(pixel_id || '0'), pixel_id LIMIT 4000),
+@query("m15_partial_dependence", f"""WITH q AS (SELECT quantile_cont(soc, 0.05) AS a, quantile_cont(soc, 0.95) AS b FROM labelled WHERE label IS NOT NULL), r AS (SELECT slope FROM labelled WHERE label IS NOT NULL),
  g AS (SELECT i, a + i * ((b - a) / 39) AS gsoc, slope FROM q, r, (SELECT unnest(range(0, 40)) AS i)), s AS (SELECT i, gsoc, {SCORE.format('g', '')} AS p FROM g)
  SELECT i::INTEGER AS point, round(max(gsoc), 6) AS x, round(avg(p), 6) AS y, round(avg(p) - 0.1 * stddev_pop(p), 6) AS ylo, round(avg(p) + 0.1 * stddev_pop(p), 6) AS yhi FROM s GROUP BY i""")
 def m15(spark, sf):
@@ -241,7 +241,7 @@ def m17(spark, sf):
 
 @query("m18_threshold_sweep")
 def m18(spark, sf):
-    return metric_rows(mo.threshold_sweep(frame(spark, sf, "pf"), "grad_mag_km", [0.90, 0.95], FEATURES, "linear"))
+    return metric_rows(mo.threshold_sweep(frame(spark, sf, "pf"), "grad_mag_km", [0.90, 0.95, 0.975, 0.99], FEATURES, "linear"))
 
 
 @query("m19_ablation")

@@ -11,7 +11,7 @@ from tailfield.plans.registry import query, rounded
 
 SIGNED = [-20.0 + 0.5 * i for i in range(81)]
 OUTWARD = [0.5 * i for i in range(41)]
-DB, DA = "zou_boundary_distance_km", "tlrts_distance_km"
+DB, DA = "boundary_distance_km", "tlrts_distance_km"
 
 
 def profile_sql(x: str, y: str, lo: float, where: str, tag: str) -> str:

@@ -144,13 +144,13 @@ _FALLBACK_VALUES = ", ".join(
 
 @query("s12_constant_fallback", f"""WITH w(target, distance_axis, profile_group, k) AS (VALUES {_FALLBACK_VALUES}),
  f AS (SELECT 'd_u' AS target, 'd_B' AS distance_axis, domain AS profile_group,
- round(avg(zou_boundary_distance_km), 6) AS b FROM pixels WHERE domain IN ('pf', 'npf') GROUP BY domain)
+ round(avg(boundary_distance_km), 6) AS b FROM pixels WHERE domain IN ('pf', 'npf') GROUP BY domain)
  SELECT w.target, w.distance_axis, w.profile_group, coalesce(b, k::DOUBLE) AS piecewise_break_km,
  CASE WHEN b IS NULL THEN 'constant_fallback' ELSE 'piecewise_fit' END AS fit_status
  FROM w LEFT JOIN f USING (target, distance_axis, profile_group)""")
 def s12(spark, sf):
     fits = pixels(spark, sf).where("domain IN ('pf', 'npf')").groupBy("domain").agg(
-        F.avg("zou_boundary_distance_km").alias("piecewise_break_km")).select(
+        F.avg("boundary_distance_km").alias("piecewise_break_km")).select(
         F.lit("d_u").alias("target"), F.lit("d_B").alias("distance_axis"), F.col("domain").alias("profile_group"),
         "piecewise_break_km", F.lit("piecewise_fit").alias("fit_status"))
     return rounded(src.with_fallback(fallback_table(spark), fits, ["target", "distance_axis", "profile_group"],

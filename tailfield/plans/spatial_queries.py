@@ -197,8 +197,8 @@ BIN_EDGES = [0.0, 1.0, 2.0, 5.0, 10.0, float("inf")]
 
 
 @query("j14_distance_bin_lookup", """WITH b(bin_index, lo, hi) AS (VALUES (0, 0.0::DOUBLE, 1.0::DOUBLE), (1, 1.0, 2.0), (2, 2.0, 5.0), (3, 5.0, 10.0), (4, 10.0, 'infinity'::DOUBLE))
- SELECT bin_index, count(*) AS n, round(avg(d_u), 6) AS mean_du FROM pixels LEFT JOIN b ON zou_boundary_distance_km >= lo AND zou_boundary_distance_km < hi GROUP BY bin_index""")
+ SELECT bin_index, count(*) AS n, round(avg(d_u), 6) AS mean_du FROM pixels LEFT JOIN b ON boundary_distance_km >= lo AND boundary_distance_km < hi GROUP BY bin_index""")
 def j14(spark, sf):
     from tailfield.operators.stats import edge_bin
-    return rounded(pixels(spark, sf).groupBy(edge_bin("zou_boundary_distance_km", BIN_EDGES).alias("bin_index")).agg(
+    return rounded(pixels(spark, sf).groupBy(edge_bin("boundary_distance_km", BIN_EDGES).alias("bin_index")).agg(
         F.count("*").alias("n"), F.avg("d_u").alias("mean_du")))

@@ -94,8 +94,8 @@ def a06(spark, sf):
 _SENS_GRID = ", ".join(f"({b}::DOUBLE, {a}::DOUBLE)" for b in (3.0, 5.0, 7.0, 10.0) for a in (1.0, 2.0, 3.0, 5.0))
 
 
-@query("a07_threshold_sensitivity", f"""WITH g(b, a) AS (VALUES {_SENS_GRID}), l AS (SELECT 'd_u' AS target, domain, zou_boundary_distance_km AS db, tlrts_distance_km AS da,
- {X_DU} AS x FROM pixels WHERE d_u IS NOT NULL UNION ALL SELECT 'grad_mag_km', domain, zou_boundary_distance_km, tlrts_distance_km, {X_GRAD} FROM pixels WHERE grad_mag_km IS NOT NULL),
+@query("a07_threshold_sensitivity", f"""WITH g(b, a) AS (VALUES {_SENS_GRID}), l AS (SELECT 'd_u' AS target, domain, boundary_distance_km AS db, tlrts_distance_km AS da,
+ {X_DU} AS x FROM pixels WHERE d_u IS NOT NULL UNION ALL SELECT 'grad_mag_km', domain, boundary_distance_km, tlrts_distance_km, {X_GRAD} FROM pixels WHERE grad_mag_km IS NOT NULL),
  s AS (SELECT target, b, a, avg(CAST(x AS INT)) FILTER (domain='npf' AND db < b) AS nt, avg(CAST(x AS INT)) FILTER (domain='npf' AND db >= b) AS ni,
  avg(CAST(x AS INT)) FILTER (domain='pf' AND db >= b AND da < a) AS pii, avg(CAST(x AS INT)) FILTER (domain='pf' AND db >= b AND da >= a) AS pib,
  avg(CAST(x AS INT)) FILTER (domain='pf' AND db < b AND da >= 0) AS pt, avg(CAST(x AS INT)) FILTER (domain='pf' AND db >= b AND da >= 0) AS pi,
@@ -144,13 +144,13 @@ def a12(spark, sf):
 
 
 @query("a13_rate_by_distance", """WITH b(bin_index, lo, hi) AS (VALUES (0, 0.0::DOUBLE, 1.0::DOUBLE), (1, 1, 2), (2, 2, 5), (3, 5, 10), (4, 10, 30), (5, 30, NULL)),
- c AS (SELECT bin_index, lo, hi, count(label) AS n, CAST(coalesce(sum(label), 0) AS BIGINT) AS positives FROM b LEFT JOIN (SELECT * FROM labelled WHERE domain = 'npf') ON zou_boundary_distance_km >= lo
- AND (hi IS NULL OR zou_boundary_distance_km < hi) GROUP BY ALL), r AS (SELECT *, positives / nullif(n, 0)::DOUBLE AS p, nullif(n, 0)::DOUBLE AS m FROM c),
+ c AS (SELECT bin_index, lo, hi, count(label) AS n, CAST(coalesce(sum(label), 0) AS BIGINT) AS positives FROM b LEFT JOIN (SELECT * FROM labelled WHERE domain = 'npf') ON boundary_distance_km >= lo
+ AND (hi IS NULL OR boundary_distance_km < hi) GROUP BY ALL), r AS (SELECT *, positives / nullif(n, 0)::DOUBLE AS p, nullif(n, 0)::DOUBLE AS m FROM c),
  w AS (SELECT *, (p + 3.8416 / (2 * m)) / (1 + 3.8416 / m) AS ctr, 1.96 / (1 + 3.8416 / m) * sqrt(greatest(p * (1 - p) / m + 3.8416 / (4 * m * m), 0)) AS hw FROM r)
  SELECT bin_index, lo, hi, n, positives, round(p, 6) AS rate, CASE WHEN n > 0 THEN round(greatest(0, ctr - hw), 6) END AS ci_low, CASE WHEN n > 0 THEN round(least(1, ctr + hw), 6) END AS ci_high FROM w""")
 def a13(spark, sf):
     df = labelled(spark, sf).where("domain = 'npf'")
-    return rounded(st.rate_by_bin(df, "zou_boundary_distance_km", "label", [0.0, 1.0, 2.0, 5.0, 10.0, 30.0, INF]))
+    return rounded(st.rate_by_bin(df, "boundary_distance_km", "label", [0.0, 1.0, 2.0, 5.0, 10.0, 30.0, INF]))
 
 
 @query("a14_missingness", " UNION ALL ".join(
@@ -236,7 +236,7 @@ def a22(spark, sf):
     return rounded(st.class_weights(labelled(spark, sf), by=["domain"]))
 
 
-@query("a23_kendall_tau", """WITH p AS (SELECT zou_boundary_distance_km AS x, d_u AS y, count(*) AS c FROM pixels WHERE zou_boundary_distance_km IS NOT NULL AND d_u IS NOT NULL GROUP BY ALL),
+@query("a23_kendall_tau", """WITH p AS (SELECT boundary_distance_km AS x, d_u AS y, count(*) AS c FROM pixels WHERE boundary_distance_km IS NOT NULL AND d_u IS NOT NULL GROUP BY ALL),
  ys AS (SELECT DISTINCT y FROM p), xs AS (SELECT DISTINCT x FROM p), g AS (SELECT x, y, coalesce(c, 0) AS c FROM xs CROSS JOIN ys LEFT JOIN p USING (x, y)),
  u AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
  v AS (SELECT *, coalesce(sum(below) OVER (PARTITION BY y ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS disc FROM u),
@@ -244,7 +244,7 @@ def a22(spark, sf):
  tx AS (SELECT sum(m * (m - 1) / 2) AS t FROM (SELECT sum(c)::DOUBLE AS m FROM p GROUP BY x)), ty AS (SELECT sum(m * (m - 1) / 2) AS t FROM (SELECT sum(c)::DOUBLE AS m FROM p GROUP BY y))
  SELECT n::BIGINT AS n, d::BIGINT AS discordant, round((n * (n - 1) / 2 - tx.t - ty.t + xy - 2 * d) / sqrt((n * (n - 1) / 2 - tx.t) * (n * (n - 1) / 2 - ty.t)), 8) AS tau FROM s, tx, ty""")
 def a23(spark, sf):
-    return rounded(st.kendall_tau(pixels(spark, sf), "zou_boundary_distance_km", "d_u").select("n", "discordant", "tau"), 8)
+    return rounded(st.kendall_tau(pixels(spark, sf), "boundary_distance_km", "d_u").select("n", "discordant", "tau"), 8)
 
 
 @query("a24_max_per_key", "SELECT p_type, round(max(l_extendedprice), 6) AS max_score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type")

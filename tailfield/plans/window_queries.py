@@ -15,10 +15,10 @@ CELL = 6000.0
 HOT = "CAST(coalesce(d_u <= -16.5, false) OR coalesce(grad_mag_km >= 30.5, false) AS INTEGER)"
 BASE = f"2.5::DOUBLE * {HOT} + greatest(-d_u, 0) / 20 + greatest(coalesce(grad_mag_km, 0), 0) / 30"
 BONUS = {
-    "transition": "least(greatest(5 - coalesce(zou_boundary_distance_km, 999), 0), 5) / 5",
+    "transition": "least(greatest(5 - coalesce(boundary_distance_km, 999), 0), 5) / 5",
     "near_tl": "least(greatest(2 - coalesce(tl_distance_km, 999), 0), 2) / 2",
     "near_rts": "least(greatest(2 - coalesce(rts_distance_km, 999), 0), 2) / 2",
-    "interior": "least(greatest(coalesce(zou_boundary_distance_km, 999), 5), 20) / 20 + least(greatest(coalesce(tlrts_distance_km, 999), 2), 10) / 20",
+    "interior": "least(greatest(coalesce(boundary_distance_km, 999), 5), 20) / 20 + least(greatest(coalesce(tlrts_distance_km, 999), 2), 10) / 20",
 }
 KEEP = {
     "transition": "az = 'pf_frontal_iso'", "interior": "az = 'pf_background'",

@@ -10,13 +10,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORMAT_VERSION = 1
-
+from tailfield.sources.tables import path_exists
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+FORMAT_VERSION = 1
 
 
 def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
@@ -43,7 +39,7 @@ def stored_table(
     so a failed or concurrent build never leaves a table that looks valid.
     """
     path = f"{root.rstrip('/')}/{signature(spark, inputs, params)}"
-    reused = _path_exists(spark, f"{path}/_SUCCESS")
+    reused = path_exists(spark, f"{path}/_SUCCESS")
     if not reused:
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path), reused
@@ -55,7 +51,7 @@ def stored_model(
 ) -> tuple[PipelineModel, dict, bool]:
     """A fitted pipeline and its facts; refitted when the signature or a required fact is absent."""
     path = f"{root.rstrip('/')}/{signature(spark, inputs, params)}"
-    if _path_exists(spark, f"{path}/facts/_SUCCESS"):
+    if path_exists(spark, f"{path}/facts/_SUCCESS"):
         facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
         if set(required) <= set(facts):
             return PipelineModel.load(f"{path}/model"), facts, True

@@ -43,12 +43,13 @@ def read_cells_csv(
     """Scan the per-cell CSV with the types of ``schema``; unknown columns stay text.
 
     Unparsable numbers, NaN and infinities become NULL; column pruning limits parsing
-    to the selected columns.
+    to the selected columns. Every file's header must name the columns in the same order;
+    a file that differs is an error and never read by position.
     """
     types = {f.name: f.dataType for f in schema.fields}
     header = csv_header(spark, path)
     typed = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
-    df = spark.read.schema(typed).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    df = spark.read.schema(typed).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").csv(path)
     chosen = [f for f in typed.fields if columns is None or f.name in columns]
     return df.select(*[
         finite(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
@@ -90,6 +91,12 @@ def read_cells(
     return df.drop("tile_row", "tile_col")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def read_if_complete(spark: SparkSession, path: str, required: list[str]) -> DataFrame | None:
     """A stored table when it is readable and has the required columns, else None."""
     try:
@@ -100,8 +107,8 @@ def read_if_complete(spark: SparkSession, path: str, required: list[str]) -> Dat
 
 
 def cached_sample(spark: SparkSession, path: str, required: list[str], build: Callable[[], DataFrame]) -> DataFrame:
-    """Reuse a stored sample with the required columns; otherwise build and store it."""
-    found = read_if_complete(spark, path, required)
+    """Reuse a stored sample that was committed and has the required columns; otherwise build and store it."""
+    found = read_if_complete(spark, path, required) if path_exists(spark, f"{path.rstrip('/')}/_SUCCESS") else None
     if found is not None:
         return found
     build().write.mode("overwrite").parquet(path)

@@ -39,7 +39,7 @@ def test_extremes_differ_at_the_threshold(spark):
 
 def test_zone_edges(spark):
     rows = [("pf", 3.25, 1.0), ("pf", 3.24, 4.25), ("npf", 3.25, None), ("pf", 1.0, None), ("pf", -1.0, 1.0), (None, 1.0, 1.0)]
-    df = frame(spark, "domain string, zou_boundary_distance_km double, tlrts_distance_km double", rows)
+    df = frame(spark, "domain string, boundary_distance_km double, tlrts_distance_km double", rows)
     assert column(df.select(labels.process_zone("d_u").alias("z")), "z") == [
         "pf_interior_impacted", "pf_transition_background", "npf_interior", "other", "other", "other"]
 
