@@ -33,6 +33,9 @@ from tailfield.llm.store import stored
 SIDE, ROWS = 12, 3
 PERCENT = 85
 COMMON = 4
+# A block of a family: at most about so many rows or bytes of sets of strangers and of members.
+STRANGERS, STRANGER_BYTES, MEMBERS, MEMBER_BYTES = 256, 8 << 20, 1024, 16 << 20
+BROADCAST_IDS = 2 << 20  # 16 MB of ids
 WORDS = 3
 SKETCH = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>"
 
@@ -151,25 +154,63 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _strangers(met: DataFrame, labels: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``node``, ``hub``) that are left to try within the families of the hubs."""
-    reach = 1 - percent / 100
+def _block_links(percent: int):
+    """Links between the strangers and the other members of one block; no pair leaves the task unless it is linked."""
+    reach = 1 - percent / 100 + 1e-9
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table["asks"].to_numpy()
+        node, label, far, size, strange = (table[c].to_numpy() for c in ("node", "label", "far", "n_shingles", "strange"))
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * SIDE)
+        hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["hashes"]]
+        members = np.flatnonzero(~asks)
+        left, right = [], []
+        for x in np.flatnonzero(asks).tolist():
+            y = members[(label[members] != label[x]) & (np.abs(far[members] - far[x]) <= reach)]
+            y = y[~strange[y] | (node[y] > node[x])]
+            y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+            y = y[(bands[y] == bands[x]).sum(axis=1) >= COMMON]
+            for k in y.tolist():
+                both = len(np.intersect1d(hashes[x], hashes[k], assume_unique=True))
+                if 100 * both >= percent * (size[x] + size[k] - both):
+                    left.append(int(node[x]))
+                    right.append(int(node[k]))
+        return pa.table({"node": pa.array(left, pa.int64()), "hub": pa.array(right, pa.int64())})
+
+    return run
+
+
+def _strangers(met: DataFrame, labels: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (``node``, ``hub``) of strangers within the families of their hubs.
+
+    Strangers and members of a family are dealt into blocks of bounded number and bytes, and each block of strangers meets
+    each block of members in the rings of distance around its own.
+    """
+    ring = F.floor(F.col("far") / (1 - percent / 100))
     named = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     named = named.join(own, "hub", "left").withColumn("strange", F.col("label") != F.coalesce("hub_label", "hub"))
-    named = named.withColumn("ring", F.floor(F.col("far") / reach)).select("node", "hub", "far", "label", "strange", "ring")
-    open_hubs = named.where("strange").select("hub").distinct()
-    family = named.join(open_hubs, "hub", "left_semi").join(sketch, "node")
-    family = stored(family)
-    x = family.where("strange").select(*[F.col(c).alias(f"x_{c}") for c in family.columns])
-    y = family.withColumn("ring", F.explode(F.array(*[F.col("ring") + k for k in (-1, 0, 1)])))
-    tried = (
-        (F.col("x_hub") == F.col("hub")) & (F.col("x_ring") == F.col("ring")) & (F.col("x_label") != F.col("label"))
-        & (~F.col("strange") | (F.col("x_node") < F.col("node"))) & (F.abs(F.col("x_far") - F.col("far")) <= reach + 1e-9)
-        & (100 * F.least("n_shingles", "x_n_shingles") >= percent * F.greatest("n_shingles", "x_n_shingles"))
-        & (F.size(F.array_intersect("x_bands", "bands")) >= COMMON)
+    named = named.select("hub", "node", "far", "label", "strange", ring.alias("ring"))
+    family = stored(named.join(named.where("strange").select("hub").distinct(), "hub", "left_semi").join(sketch, "node"))
+    size = F.col("n_shingles") * 8
+    sizes = family.groupBy("hub").agg(
+        F.ceil(F.greatest(F.count_if("strange") / STRANGERS, F.sum(F.when(F.col("strange"), size)) / STRANGER_BYTES)).alias("nx"),
+        F.ceil(F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum(size) / MEMBER_BYTES)).alias("ny"),
     )
-    return x.join(y, tried).select(F.col("x_node").alias("node"), F.col("node").alias("hub")).distinct()
+    dealt = family.join(sizes, "hub").withColumn("mine", F.xxhash64("node"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    asks = dealt.where("strange").withColumn("ring", F.explode(F.array(*[F.col("ring") + k for k in (-1, 0, 1)])))
+    asks = asks.withColumn("x", F.pmod("mine", "nx")).withColumn("y", every("ny")).withColumn("asks", F.lit(True))
+    others = dealt.withColumn("y", F.pmod("mine", "ny")).withColumn("x", every("nx")).withColumn("asks", F.lit(False))
+    others = others.join(asks.select("hub", "ring", "x", "y").distinct(), ["hub", "ring", "x", "y"], "left_semi")
+    columns = ["hub", "ring", "x", "y", "asks", "node", "label", "far", "strange", "n_shingles", "bands"]
+    blocks = asks.select(columns).unionByName(others.select(columns)).join(sets, "node")
+    return blocks.groupBy("hub", "ring", "x", "y").applyInArrow(_block_links(percent), "node bigint, hub bigint").distinct()
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    """Marks a stored table of ids for broadcast if it has at most ``BROADCAST_IDS`` rows; a longer one is shuffled."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
 def link_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -186,12 +227,13 @@ def link_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
         "key", (-F.col("best.order")).alias("hub")
     )
     pairs = stored(keys.join(hubs, "key").where("node <> hub").select("node", "hub").distinct())
-    near = pairs.select("node").union(pairs.select("hub")).distinct()
-    sets = stored(shingle_sets(docs.select("doc_id", "text").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), words).distinct())
+    near = stored(pairs.select("node").union(pairs.select("hub")).distinct())
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(_sized(near.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi")
+    sets = stored(shingle_sets(texts.distinct(), words))
     met = stored(_verify(pairs, sets, percent))
     links = met.where("linked").select("node", "hub")
     labels = components(links, "node", "hub")
-    rest = stored(_verify(_strangers(met, labels, sketch.join(near, "node", "left_semi"), percent), sets, percent).where("linked").select("node", "hub"))
+    rest = stored(_strangers(met, labels, sketch.join(near, "node", "left_semi"), sets, percent))
     if not rest.isEmpty():
         labels = components(links.unionByName(rest), "node", "hub")
     named = drawn.select("doc_id", "n_shingles", "s1", "s2").join(groups, ["n_shingles", "s1", "s2"], "left")
@@ -208,8 +250,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one row for one document of each component, and every row without an id."""
-    gone = link_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(link_components(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(_sized(gone), "doc_id", "left_anti").select(*docs.columns)
     again = docs.select("doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
         return kept
