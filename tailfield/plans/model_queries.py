@@ -256,3 +256,36 @@ def m20(spark, sf):
     return metric_rows(mo.buffer_sweep(frame(spark, sf, "npf"), [0.0, 5.0, 19.94], FEATURES, "linear", "soc"))
 
 
+
+
+def _score_sums(scored, features: list[str], weight):
+    """Sums of the score equations of a logistic fit, over the weighted size of each feature; all are 0 at the optimum."""
+    y, p = F.col("label").cast("double"), F.col("prediction")
+    terms = {f: F.col(f).cast("double") for f in features} | {"intercept": F.lit(1.0)}
+    sums = scored.agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("positives"), *[
+        (F.sum(weight * (p - y) * x) / F.sum(weight * F.abs(x))).alias(f"_r_{f}") for f, x in terms.items()])
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_r_{f}").alias("residual")) for f in terms])).alias("x")
+    return rounded(sums.select("n", "positives", pairs).select("x.feature", "n", "positives", "x.residual"), 4)
+
+
+def _score_sums_sql(features: list[str], where: str) -> str:
+    rows = ", ".join(f"('{f}')" for f in [*features, "intercept"])
+    return (f"SELECT feature, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, 0.0::DOUBLE AS residual FROM labelled, (VALUES {rows}) f(feature)"
+            f" WHERE label IS NOT NULL AND {where} GROUP BY feature")
+
+
+@query("m05_score_equations", _score_sums_sql(FEATURES, "domain = 'pf'"))
+def m05_equations(spark, sf):
+    """The balanced logistic model is at its optimum: its weighted score equations hold on all rows it was fitted on."""
+    df = frame(spark, sf, "pf")
+    model = mo.fit_model(df, FEATURES, "linear")
+    filled = mo.with_balance(df.fillna(model.medians))
+    return _score_sums(model.predict(filled), FEATURES, F.col("weight"))
+
+
+@query("m16_score_equations", _score_sums_sql(["logit_pf", "logit_npf"], "domain IN ('pf', 'npf')"))
+def m16_equations(spark, sf):
+    """The fusion model is unweighted and at its optimum on its calibration rows."""
+    df = frame(spark, sf).withColumns({"logit_pf": mo.logit("pf_expert"), "logit_npf": mo.logit("npf_expert")})
+    model = mo.fit_model(df, ["logit_pf", "logit_npf"], "linear", balanced=False)
+    return _score_sums(model.predict(df), ["logit_pf", "logit_npf"], F.lit(1.0))
