@@ -370,18 +370,21 @@ def _erfc(x: Column) -> Column:
     return t * F.exp(-x * x + poly)
 
 
-def kendall_tau(df: DataFrame, x: str, y: str, blocks: int = 64) -> DataFrame:
+def kendall_tau(df: DataFrame, x: str, y: str, blocks: int | None = None) -> DataFrame:
     """Kendall's tau-b with a normal p value; NULL below three rows or without variation.
 
     Discordant pairs are counted without forming pairs. Ranks are cut into blocks of
     about n/blocks rows, a value holding more than that being a block of its own. Pairs in
     different x blocks and different y blocks come from the table of block counts; pairs
     sharing a block are counted inside it by running sums per bit of the other rank, so no
-    window sees more than one block.
+    window sees more than one block. The number of blocks grows with the root of n, between
+    64 and 2048, as the table of block counts grows with its square.
     """
     pairs = materialise(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().groupBy(
         "x", "y").agg(F.count("*").alias("c")))
-    n = pairs.agg(F.sum("c")).scalar()
+    n = pairs.agg(F.sum("c")).first()[0] or 0
+    blocks = blocks or min(2048, max(64, math.isqrt(n // 1000)))
+    n = F.lit(n)
 
     def ranked(axis: str) -> DataFrame:
         marginal = pairs.groupBy(axis).agg(F.sum("c").alias("m")).withColumn("one", F.lit(1))

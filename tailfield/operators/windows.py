@@ -120,16 +120,20 @@ def box_statistics(cells: DataFrame, radius: int, score: str, hot: str) -> DataF
     """For every occupied (row, col) cell the counts and scores of the cells within ``radius`` rows and columns.
 
     Rows are summed per cell first. One pass sends a cell to the 2r+1 columns around it; the
-    other slides along each column. The copies grow with the radius, not its square.
+    other slides along each column, tile by tile. The copies grow with the radius, not its square.
     """
     own = cells.groupBy("row", "col").agg(
         F.count("*").alias("n"), F.sum(hot).alias("h"), F.sum(score).alias("s"), F.count(score).alias("sn"), F.max(score).alias("m"))
     reach = F.explode(F.sequence(F.col("col") - radius, F.col("col") + radius)).alias("col")
     wide = own.select("row", reach, "n", "h", "s", "sn", "m").groupBy("row", "col").agg(
         *[F.sum(c).alias(c) for c in ("n", "h", "s", "sn")], F.max("m").alias("m"))
-    w = Window.partitionBy("col").orderBy("row").rangeBetween(-radius, radius)
-    slid = wide.select("row", "col", F.sum("n").over(w).alias("n_points"), F.sum("h").over(w).alias("n_hotspots"),
-                       (F.sum("s").over(w) / F.sum("sn").over(w)).alias("mean_score"), F.max("m").over(w).alias("max_score"))
+    # Tiles of rows with a halo on either side, so that no window sees more of a column than a tile and its halo.
+    tile = F.floor(F.col("row") / (4 * radius + 4))
+    edges = [F.floor((F.col("row") + k) / (4 * radius + 4)) for k in (-radius, 0, radius)]
+    tiled = wide.withColumn("_own", tile).withColumn("_tile", F.explode(F.array_distinct(F.array(*edges))))
+    w = Window.partitionBy("col", "_tile").orderBy("row").rangeBetween(-radius, radius)
+    slid = tiled.select("_own", "_tile", "row", "col", F.sum("n").over(w).alias("n_points"), F.sum("h").over(w).alias("n_hotspots"),
+                       (F.sum("s").over(w) / F.sum("sn").over(w)).alias("mean_score"), F.max("m").over(w).alias("max_score")).where("_own = _tile").drop("_own", "_tile")
     return slid.join(own.select("row", "col"), ["row", "col"], "left_semi")
 
 
