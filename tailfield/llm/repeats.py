@@ -6,10 +6,11 @@ on ties), so equal windows have equal anchors at equal places, and neighbouring
 
 1. windows with one anchor and no gap form a run; runs are grouped by their anchor's bytes, then by all their bytes.
    Of runs that are equal throughout, all windows of all but the first occur earlier. An anchor with one kind of run is
-   then settled; the others' first runs go on;
-2. the windows of those runs are grouped by all their bytes: equal groups are the repeated windows that were left.
+   then settled. The others' first runs are grouped by the ``SIDE`` bytes more to either side of the anchor: a window
+   holds one of these sides whole, so windows whose side is with one kind only are settled as well;
+2. the windows that are left are grouped by all their bytes: equal groups are the repeated windows among them.
 
-Groups are told apart by two independent 64-bit hashes. Equal runs and windows of one task are folded before the shuffle,
+Groups are told apart by two independent hashes, of 64 and at least 32 bits. Equal runs and windows of one task are folded before the shuffle,
 and an anchor with very many kinds of runs in a task is spread over all buckets, as its windows are compared anyway.
 
 Defined results: a null text counts as empty; texts shorter than ``LENGTH`` bytes lose nothing; rows with the same id and
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +34,19 @@ from tailfield.llm import segments as S
 from tailfield.llm.store import stored
 
 LENGTH, DIGIT = 100, 32
+SIDE = (LENGTH - DIGIT) // 2
 PART = 2 << 20  # bytes searched at once; longer documents are cut into overlapping parts
 HELD = 1 << 20  # runs or windows that a task folds at once
-KINDS_HELD = 64  # kinds of runs of one anchor and fold that still go to the anchor's own bucket
+KINDS_HELD = 1024  # kinds of runs of one anchor and fold that still go to the anchor's own bucket
 BUCKET_BYTES = 32 << 20  # text per bucket
 NO_ID = -(1 << 63)
 
 _TABLES = S.mix(np.arange(1, 513, dtype=np.uint64)).reshape(2, 256)
 _BASES = (0x2127599BF4325C37, 0x880355F21E6D1965)
-RUN = np.dtype([("g", "u8"), ("k", "u8"), ("doc", "i8"), ("crc", "u4"), ("s", "i4"), ("n", "i4")])
+# Anchor, run, document, first start, number of starts, anchor's place after the first start, hashes of the sides (0: not whole).
+RUN = np.dtype([("g", "u8"), ("k", "u8"), ("doc", "i8"), ("crc", "u4"), ("s", "i4"), ("n", "u1"), ("a", "u1"), ("l", "u4"), ("r", "u4")])
+WINDOW = np.dtype([("g", "u8"), ("k", "u4"), ("doc", "i8"), ("crc", "u4"), ("s", "i4")])
+BROADCAST_BYTES = 32 << 20
 SPAN = np.dtype([("doc", "i8"), ("crc", "u4"), ("s", "i4"), ("e", "i4")])
 ROWS = "kind string, bucket int, data binary"
 
@@ -108,14 +114,14 @@ def _starts(offsets: np.ndarray, i: int, j: int, a: int, b: int) -> np.ndarray:
     return ok
 
 
-def _runs(data: np.ndarray, offsets: np.ndarray, i: int, j: int, a: int, b: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, run hash, first and last window start of the runs in a stretch."""
+def _runs(data: np.ndarray, offsets: np.ndarray, i: int, j: int, a: int, b: int) -> np.ndarray:
+    """The runs in a stretch; ``s`` counts from the start of the data, ``doc`` is an index."""
     ok = _starts(offsets, i, j, a, b)
     if not ok.any():
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+        return np.zeros(0, RUN)
     text = data[a:b]
-    digit = S.mix(_hashes(text, 0, (DIGIT,))[DIGIT])
+    known = _hashes(text, 0, (DIGIT, DIGIT + SIDE))
+    digit, side = S.mix(known[DIGIT]), S.mix(known[DIGIT + SIDE])
     whole = _hashes(text, 1, (LENGTH,))[LENGTH]
     low = np.uint64((1 << 24) - 1)
     packed = (digit & ~low) | np.arange(len(digit), dtype=np.uint64)
@@ -127,7 +133,14 @@ def _runs(data: np.ndarray, offsets: np.ndarray, i: int, j: int, a: int, b: int)
     s, e = np.flatnonzero(begins), np.flatnonzero(stops)
     at = anchor[s]
     k = S.mix(S.mix(whole[s]) * np.uint64(3) + S.mix(whole[e] + np.uint64(7)) + ((e - s) * 128 + at - s).astype(np.uint64))
-    return digit[at], k, s + a, e + a
+    doc = np.searchsorted(offsets, s + a, "right") - 1
+    low_edge, high_edge = np.maximum(offsets[doc] - a, 0), np.minimum(offsets[doc + 1], b) - a
+    out = np.zeros(len(s), RUN)
+    out["g"], out["k"], out["doc"], out["s"], out["n"], out["a"] = digit[at], k, doc, s + a - offsets[doc], e - s + 1, at - s
+    short = lambda x: (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    left, right = at - SIDE >= low_edge, at + DIGIT + SIDE <= high_edge
+    out["l"][left], out["r"][right] = short(side[at[left] - SIDE]), short(side[at[right]])
+    return out
 
 
 def _first(rows: np.ndarray) -> np.ndarray:
@@ -153,7 +166,8 @@ def _sorted(rows: np.ndarray) -> np.ndarray:
 def _spans(rows: np.ndarray) -> np.ndarray:
     """The bytes that the windows of the given runs cover."""
     out = np.zeros(len(rows), SPAN)
-    out["doc"], out["crc"], out["s"], out["e"] = rows["doc"], rows["crc"], rows["s"], rows["s"] + rows["n"] - 1 + LENGTH
+    more = rows["n"].astype(np.int32) - 1 if "n" in rows.dtype.names else 0
+    out["doc"], out["crc"], out["s"], out["e"] = rows["doc"], rows["crc"], rows["s"], rows["s"] + more + LENGTH
     return out
 
 
@@ -180,19 +194,24 @@ def _dealt(kind: str, rows: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[st
         order = np.lexsort((rows["s"], rows["crc"], rows["doc"], bucket))
         rows, bucket = rows[order], bucket[order]
         edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        pack = zstandard.ZstdCompressor(level=1)
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(rows)], strict=True):
-            part = rows[a:b]
-            yield kind, int(bucket[a]), b"".join(np.ascontiguousarray(part[c]).tobytes() for c in rows.dtype.names)
+            part = rows[a:b].copy()
+            part["s"][1:] -= part["s"][:-1].copy()
+            yield kind, int(bucket[a]), pack.compress(b"".join(np.ascontiguousarray(part[c]).tobytes() for c in rows.dtype.names))
 
 
 def _undealt(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
-    out = np.zeros(sum(len(b) for b in blobs) // dtype.itemsize, dtype)
+    unpack = zstandard.ZstdDecompressor()
+    raw = [unpack.decompress(b) for b in blobs]
+    out = np.zeros(sum(len(b) for b in raw) // dtype.itemsize, dtype)
     at = 0
-    for blob in blobs:
+    for blob in raw:
         n, here = len(blob) // dtype.itemsize, 0
         for name in dtype.names:
             size = dtype[name].itemsize * n
-            out[name][at: at + n] = np.frombuffer(blob, dtype[name], n, here)
+            part = np.frombuffer(blob, dtype[name], n, here)
+            out[name][at: at + n] = np.cumsum(part, dtype=part.dtype) if name == "s" else part
             here += size
         at += n
     return out
@@ -241,11 +260,8 @@ def _run_scan(buckets: int):
             data, offsets = S.column_bytes(batch.column(1))
             crc = _checks(data, offsets)
             for i, j, a, b in _parts(offsets):
-                g, k, s, e = _runs(data, offsets, i, j, a, b)
-                rows = np.zeros(len(g), RUN)
-                doc = np.searchsorted(offsets, s, "right") - 1
-                rows["g"], rows["k"], rows["doc"], rows["crc"] = g, k, ids[doc], crc[doc]
-                rows["s"], rows["n"] = s - offsets[doc], e - s + 1
+                rows = _runs(data, offsets, i, j, a, b)
+                rows["crc"], rows["doc"] = crc[rows["doc"]], ids[rows["doc"]]
                 held.append(rows)
                 n += len(rows)
                 if n >= HELD:
@@ -257,6 +273,25 @@ def _run_scan(buckets: int):
     return scan
 
 
+def _side_spans(rows: np.ndarray, side: str) -> np.ndarray:
+    """What the windows with a whole left (or right) side cover, of the runs that share it with another run."""
+    key = S.mix(rows["g"] + S.mix(rows[side].astype(np.uint64)))
+    order = np.argsort(key)
+    ranked = key[order]
+    same = np.zeros(len(rows) + 1, bool)
+    same[1:-1] = ranked[1:] == ranked[:-1]
+    shared = np.zeros(len(rows), bool)
+    shared[order] = same[1:] | same[:-1]
+    rows = rows[shared & (rows[side] > 0)]
+    first, last = rows["s"], rows["s"] + rows["n"].astype(np.int32) - 1
+    middle = rows["s"] + rows["a"].astype(np.int32) - SIDE
+    first, last = (first, np.minimum(last, middle)) if side == "l" else (np.maximum(first, middle), last)
+    ok = first <= last
+    out = np.zeros(int(ok.sum()), SPAN)
+    out["doc"], out["crc"], out["s"], out["e"] = rows["doc"][ok], rows["crc"][ok], first[ok], last[ok] + LENGTH
+    return out
+
+
 def _settle_runs(buckets: int):
     """Of one bucket: what all but the first of equal runs cover, and the first runs of anchors with several kinds."""
 
@@ -267,7 +302,8 @@ def _settle_runs(buckets: int):
         first = _first(rows)
         covered = _merged(_spans(rows[~first]))
         rows = rows[first]
-        todo = np.isin(rows["g"], marked)
+        whole = np.isin(rows["g"], marked)
+        several = np.zeros(len(rows), bool)
         if len(rows):
             change = rows["g"][1:] != rows["g"][:-1]
             group = np.cumsum(np.append(True, change)) - 1
@@ -275,8 +311,10 @@ def _settle_runs(buckets: int):
             low, high = np.full(group[-1] + 1, kind[-1] + 1), np.zeros(group[-1] + 1, np.int64)
             np.minimum.at(low, group, kind)
             np.maximum.at(high, group, kind)
-            todo |= (low < high)[group]
-        todo = _spans(rows[todo])
+            several = (low < high)[group]
+        some = rows[several & ~whole]
+        todo = np.concatenate([_spans(rows[whole]), _side_spans(some, "l"), _side_spans(some, "r")])
+        todo = _merged(todo)
         out = [*_dealt("cover", covered, _of_document(covered, buckets)), *_dealt("todo", todo, _of_document(todo, buckets))]
         return pa.Table.from_batches([_table(out)])
 
@@ -304,9 +342,9 @@ def _window_scan(buckets: int):
                         stop = min(at + PART + LENGTH - 1, e)
                         text = data[offsets[d] + at: offsets[d] + stop]
                         one, two = (_hashes(text, w, (LENGTH,))[LENGTH] for w in (0, 1))
-                        rows = np.zeros(len(one), RUN)
-                        rows["g"], rows["k"], rows["doc"], rows["crc"] = S.mix(one), two, ids[d], crcs[d]
-                        rows["s"], rows["n"] = np.arange(at, at + len(one)), 1
+                        rows = np.zeros(len(one), WINDOW)
+                        rows["g"], rows["k"], rows["doc"], rows["crc"] = S.mix(one), S.mix(two) >> np.uint64(32), ids[d], crcs[d]
+                        rows["s"] = np.arange(at, at + len(one))
                         held.append(rows)
                         n += len(rows)
                         if n >= HELD:
@@ -321,7 +359,7 @@ def _window_scan(buckets: int):
 def _settle_windows(buckets: int):
     def settle(table: pa.Table) -> pa.Table:
         kinds, data = table["kind"].to_pylist(), table["data"].to_pylist()
-        rows = _sorted(_undealt([d for k, d in zip(kinds, data, strict=True) if k == "run"], RUN))
+        rows = _sorted(_undealt([d for k, d in zip(kinds, data, strict=True) if k == "run"], WINDOW))
         covered = _merged(_spans(rows[~_first(rows)]))
         return pa.Table.from_batches([_table(list(_dealt("cover", covered, _of_document(covered, buckets))))])
 
@@ -355,12 +393,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     one = stored(settled(rows.mapInArrow(_run_scan(buckets), ROWS), _settle_runs))
     keyed = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc"), "text")
-    todo = _by_document(one.where("kind = 'todo'"))
+    todo = _sized(stored(_by_document(one.where("kind = 'todo'"))))
     held = keyed.join(todo, ["doc", "crc"]).select("doc", "crc", "text", "spans")
     two = stored(settled(held.mapInArrow(_window_scan(buckets), ROWS), _settle_windows))
-    covers = _by_document(one.where("kind = 'cover'").unionByName(two.where("kind = 'cover'")))
+    covers = stored(_by_document(one.where("kind = 'cover'").unionByName(two.where("kind = 'cover'"))))
     whole = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("_crc", F.crc32(F.coalesce("text", F.lit(""))))
-    return whole.join(covers.select(F.col("doc").alias("_doc"), F.col("crc").alias("_crc"), "spans"), ["_doc", "_crc"], "left").drop("_doc", "_crc")
+    named = covers.select(F.col("doc").alias("_doc"), F.col("crc").alias("_crc"), "spans")
+    return whole.join(_sized(named), ["_doc", "_crc"], "left").drop("_doc", "_crc")
+
+
+def _sized(spans: DataFrame) -> DataFrame:
+    """Marks a stored table of spans for broadcast if it is small; a larger one meets the texts by a shuffle."""
+    size = spans.agg(F.sum(F.octet_length("spans") + 64)).first()[0] or 0
+    return F.broadcast(spans) if size <= BROADCAST_BYTES else spans
 
 
 def _passing(settle):
