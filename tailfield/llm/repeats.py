@@ -35,8 +35,8 @@ from tailfield.llm.store import stored
 
 LENGTH, DIGIT = 100, 32
 SIDE = (LENGTH - DIGIT) // 2
-PART = 2 << 20  # bytes searched at once; longer documents are cut into overlapping parts
-HELD = 1 << 20  # runs or windows that a task folds at once
+PART = 1 << 19  # bytes searched at once; longer documents are cut into overlapping parts
+HELD = 1 << 19  # runs or windows that a task folds at once
 KINDS_HELD = 1024  # kinds of runs of one anchor and fold that still go to the anchor's own bucket
 BUCKET_BYTES = 32 << 20  # text per bucket
 NO_ID = -(1 << 63)
