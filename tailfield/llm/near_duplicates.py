@@ -95,6 +95,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                      pa.ListArray.from_arrays(where, pa.array(bands.ravel().view(np.int64)))],
                     ["doc_id", "n_shingles", "s1", "s2", "bands"],
                 )
+            S.release()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SKETCH)
 
@@ -111,6 +112,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     [batch.column(0).slice(i, j - i), pa.array([sets[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())],
                     ["node", "hashes"],
                 )
+            S.release()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "node bigint, hashes binary")
 
@@ -146,6 +148,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * both >= percent * (len(a) + len(b) - both))
                 far.append(1 - both / (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], ["node", "hub", "linked", "far"])
+            S.release()
 
     hubs = sets.select(F.col("node").alias("hub"), F.col("hashes").alias("hub_hashes"))
     return (

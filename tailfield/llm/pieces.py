@@ -26,8 +26,8 @@ from tailfield.llm import segments as S
 
 MARK = "▁"
 LONG = 48
-BLOCK = 1 << 15
-SLICE = 8 << 20
+BLOCK = 1 << 14
+SLICE = 2 << 20
 NONE = np.int32(2**31 - 1)
 ENCODED = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 
@@ -72,7 +72,7 @@ class Vocabulary:
                     found[left * int(self.base) + right] = made
         keys = np.array(sorted(found), np.int64)
         self.mask = np.uint64((1 << 20) - 1)
-        self.merged = {k: (rank[m], m) for k, m in found.items()}
+        self._merged: dict[int, tuple[int, int]] | None = None
         self._fill(keys, np.array([rank[found[k]] for k in keys.tolist()], np.int32), np.array([found[k] for k in keys.tolist()], np.int32))
         self.text = [b""] * size
         for i in range(size):
@@ -147,6 +147,14 @@ class Vocabulary:
             r, b = rows[some], prev[some]
             rank[r, b], made[r, b] = self.pairs(sym[r, b], sym[r, p[some]])
 
+    @property
+    def merged(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged symbol by pair, for single lookups; made when the first long segment asks for it."""
+        if self._merged is None:
+            used = self.keys >= 0
+            self._merged = dict(zip(self.keys[used].tolist(), zip(self.rank[used].tolist(), self.made[used].tolist(), strict=True), strict=True))
+        return self._merged
+
     def heap(self, text: str) -> list[int]:
         """The agenda of one long segment as a heap; gives ids."""
         codes = [ord(c) for c in text]
@@ -279,14 +287,16 @@ def compare(model: Vocabulary, texts: list[str], ids: np.ndarray, bounds: np.nda
     """Raise if the library encodes or decodes a segment otherwise. A lone mark is an empty text to the library."""
     told = [k for k, t in enumerate(texts) if len(t) > 1]
     flat = ids.tolist()
-    want = model.library.encode([texts[k][1:] for k in told], num_threads=1)
-    got = [flat[bounds[k]: bounds[k + 1]] for k in told]
-    if want != got:
-        k = next(k for k in range(len(told)) if want[k] != got[k])
-        raise ValueError(f"segment {texts[told[k]]!r}: {got[k]}, the library gives {want[k]}")
-    back = model.library.decode(got, num_threads=1)
-    if any(b.encode() != decoded[k][1:] for b, k in zip(back, told, strict=True)):
-        raise ValueError("a segment decodes otherwise with the library")
+    for at in range(0, len(told), BLOCK):
+        part = told[at: at + BLOCK]
+        want = model.library.encode([texts[k][1:] for k in part], num_threads=1)
+        got = [flat[bounds[k]: bounds[k + 1]] for k in part]
+        if want != got:
+            k = next(k for k in range(len(part)) if want[k] != got[k])
+            raise ValueError(f"segment {texts[part[k]]!r}: {got[k]}, the library gives {want[k]}")
+        back = model.library.decode(got, num_threads=1)
+        if any(b.encode() != decoded[k][1:] for b, k in zip(back, part, strict=True)):
+            raise ValueError("a segment decodes otherwise with the library")
 
 
 def encode_slice(model: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -329,6 +339,8 @@ def encoded(text: Column, path: str) -> Column:
                 n.append(len(own) + 2)
                 ids_sha.append(hashlib.sha256(begin + own.tobytes() + end).hexdigest())
                 text_sha.append(hashlib.sha256(whole).hexdigest())
+            del data, offsets, ids, bounds, back, raw
+            S.release()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run(text)

@@ -81,6 +81,7 @@ def features(text: Column) -> Column:
         data, offsets = S.column_bytes(column)
         parts = [_features(data, offsets[i: j + 1]) for i, j in S.slices(offsets)]
         table = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)), np.int64)
+        S.release()
         return pa.StructArray.from_arrays([pa.array(table[:, k]) for k in range(len(FEATURES))], list(FEATURES))
 
     return count(text)

@@ -267,6 +267,7 @@ def _run_scan(buckets: int):
                 if n >= HELD:
                     yield _table(list(_folded_runs(np.concatenate(held), buckets)))
                     held, n = [], 0
+                    S.release()
         if held:
             yield _table(list(_folded_runs(np.concatenate(held), buckets)))
 
@@ -350,6 +351,7 @@ def _window_scan(buckets: int):
                         if n >= HELD:
                             yield folded(np.concatenate(held))
                             held, n = [], 0
+                            S.release()
         if held:
             yield folded(np.concatenate(held))
 

@@ -154,6 +154,7 @@ def redact(text: Column, mark: str = "[secret]") -> Column:
                         parts += [raw[at:s], mark.encode()]
                     at = max(at, e)
                 out.append(b"".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass") if valid[k] else None)
+        S.release()
         return pa.array(out, pa.string())
 
     return run(text)
