@@ -1,12 +1,14 @@
 """Main text of web pages, by equivalence classes of tokens that share their occurrence vectors across a host's pages.
 
-A token is a tag or a word together with its path of open elements. Its occurrence vector has its count on each page of
-the host; tokens with equal vectors form a class. Classes on at least ``FREQUENT`` of the host's pages with at least
-``LARGE`` tokens are the host's template; as paths hold all ancestors, the classes nest as the elements do. What is left
-between template tokens are the slots. A page's article is the slots of its article elements or, without one, of its body,
-less menus, headers, footers, sidebars, notices, adverts, forms and comments (by element, role and class), and less blocks
-outside articles that the template fills entirely. Words inside article elements are never template: pages that repeat one
-article must not lose it.
+A token is a tag, a whole block or, outside articles, a word, together with its path of open elements. Its occurrence vector
+has its count on each page of the host; tokens with equal vectors form a class. Classes on at least ``FREQUENT`` of the
+host's pages with at least ``LARGE`` tokens are the host's template. On each page a class must come in the order of its
+reference page, round after round, and its rounds must not cross those of another class; tokens that break this on more than
+1 - ``FREQUENT`` of the pages leave the template. What is left between template tokens are the slots. A page's article is
+the slots of its article elements or, without one, of its body, less menus, headers, footers, sidebars, notices, adverts,
+forms and comments (by element, role and class). Blocks that the template fills are no slots, within articles too: there, a
+whole block must recur, and a heading goes only with the block below it. Pages that repeat one article must not lose it: if
+the template fills more than half of the words of a page's articles, position decides and all their blocks are kept.
 
 Vectors are kept as 64-bit hashes of page and count, joined by exclusive or, folded by task and before the shuffle, so a host with very many pages is never
 gathered. Defined results: null and empty pages, and pages without an article's text, give an empty text; hosts with fewer
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,6 +58,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 
 _PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?(?:/|$)")
 
 
 class Element:
@@ -132,91 +136,214 @@ def _token(path: str, word: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\n{word}")
 
 
-def page_tokens(page: str) -> Counter:
-    """Counts of the page's tokens; words within article elements are left out."""
-    out: Counter = Counter()
+class Block:
+    """The text between two block edges: its words with their paths, and where it stands."""
+
+    __slots__ = ("heading", "inside", "path", "text", "words")
+
+    def __init__(self, parts: list[tuple[Element, str]], inside: bool) -> None:
+        self.inside = inside
+        self.text = " ".join(html.unescape("".join(x for _, x in parts)).split())
+        first = next((e for e, x in parts if x.strip()), parts[0][0])
+        self.path = first.path
+        self.heading = bool(_HEADING.search(first.path))
+        self.words = [] if inside else [(e.path, w) for e, x in parts for w in html.unescape(x).split()]
+
+    def token(self) -> tuple[str, str]:
+        return self.path, "\n" + self.text
+
+
+def blocks(page: str) -> Iterator[Block | Element]:
+    """The page's start tags and its blocks of text that may belong to the article, in page order."""
+    parts: list[tuple[Element, str]] = []
+    inside = False
     for kind, element, text in events(page):
+        if parts and (kind == "break" or (kind == "text" and not element.outside and element.article != inside)):
+            block = Block(parts, inside)
+            if block.text:
+                yield block
+            parts = []
         if kind == "tag":
-            out[element.path, ""] += 1
-        elif kind == "text" and not element.article:
-            for word in html.unescape(text).split():
-                out[element.path, word] += 1
+            yield element
+        elif kind == "text" and not element.outside:
+            inside = element.article
+            parts.append((element, text))
+    if parts and (block := Block(parts, inside)).text:
+        yield block
+
+
+def page_tokens(page: str) -> list[int]:
+    """Hashes of the page's tokens in page order; within articles, blocks stand for their words."""
+    out, known = [], {}
+    for x in blocks(page):
+        for token in [(x.path, "")] if isinstance(x, Element) else [*x.words, x.token()]:
+            if token not in known:
+                known[token] = _token(*token)
+            out.append(known[token])
     return out
 
 
-def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's blocks, joined by blank lines. ``template`` holds hashes of the host's template tokens."""
-    blocks: list[str] = []
-    everything = []
-    parts: list[str] = []
-    fixed: list[bool] = []
-    inside = False
+def misplaced(tokens: list[int], places: dict[int, tuple[int, int]], sizes: list[int]) -> set[int]:
+    """Template tokens that break the order of their class on this page, or whose class crosses a larger one.
+
+    ``places`` has each token's class and its rank there, ``sizes`` the number of tokens of each class.
+    """
+    seen: Counter = Counter()
+    found = []
+    by_class: dict[int, list[int]] = {}
+    for token in tokens:
+        if place := places.get(token):
+            by_class.setdefault(place[0], []).append(len(found))
+            found.append((token, place[0], seen[token], seen[token] * sizes[place[0]] + place[1]))
+            seen[token] += 1
+    out: set[int] = set()
+    for at in by_class.values():
+        # What is outside a longest increasing run of the expected ranks is out of order.
+        ends: list[int] = []
+        where: list[int] = []
+        before: dict[int, int] = {}
+        for k in at:
+            n = bisect_left(ends, found[k][3])
+            before[k] = where[n - 1] if n else -1
+            ends[n:n + 1], where[n:n + 1] = [found[k][3]], [k]
+        kept, k = set(), where[-1]
+        while k >= 0:
+            kept.add(k)
+            k = before[k]
+        out.update(found[k][0] for k in at if k not in kept)
+    left = [x for x in found if x[0] not in out]
+    last = {x[1:3]: k for k, x in enumerate(left)}
+    stack: list[tuple[int, int]] = []
+    crossed: set[int] = set()
+    for k, (_, own, turn, _) in enumerate(left):
+        if (own, turn) in stack:
+            while stack[-1] != (own, turn):
+                other = stack.pop()[0]
+                crossed.add(other if sizes[other] <= sizes[own] else own)
+        else:
+            stack.append((own, turn))
+        if last[own, turn] == k:
+            stack.pop()
+    return out | {token for token, (own, _) in places.items() if own in crossed} if crossed else out
 
-    def close() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            everything.append((text, inside, bool(fixed) and all(fixed)))
-        parts.clear()
-        fixed.clear()
 
-    for kind, element, text in events(page):
-        if kind == "break":
-            close()
-        elif kind == "text" and not element.outside:
-            if element.article != inside:
-                close()
-                inside = element.article
-            parts.append(text)
-            if not inside and template:
-                fixed.extend(_token(element.path, w) in template for w in html.unescape(text).split())
-    close()
-    articles = any(within for _, within, _ in everything)
-    blocks = [text for text, within, filled in everything if (within if articles else not filled)]
-    return "\n\n".join(blocks)
+def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
+    """The article's blocks, joined by blank lines. ``template`` holds hashes of the host's template tokens."""
+    found = [x for x in blocks(page) if isinstance(x, Block)]
+    articles = any(x.inside for x in found)
+    if articles:
+        found = [x for x in found if x.inside]
+    if template:
+        filled = [_token(*x.token()) in template or (bool(x.words) and all(_token(*w) in template for w in x.words)) for x in found]
+        if articles:
+            for k in range(len(found) - 1, -1, -1):
+                if found[k].heading:
+                    filled[k] = filled[k] and k + 1 < len(found) and filled[k + 1]
+            sizes = [len(x.text.split()) for x in found]
+            if 2 * sum(n for n, gone in zip(sizes, filled, strict=True) if gone) > sum(sizes):
+                filled = [False] * len(found)
+        found = [x for x, gone in zip(found, filled, strict=True) if not gone]
+    return "\n\n".join(x.text for x in found)
+
+
+def _signed(xs) -> pa.Array:
+    return pa.array([x - (1 << 64) if x >= 1 << 63 else x for x in xs], pa.int64())
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``host``, ``token``, ``pages`` and ``vector`` (the exclusive or of hashes of page and count), folded."""
+    """``host``, ``token``, ``pages``, ``vector`` (the exclusive or of hashes of page and count) and ``first``, folded.
+
+    ``first`` has a hash of the least page in its upper bits and the token's place on that page in the lower 23.
+    """
     held: dict[tuple[str, int], list[int]] = {}
 
     def folded() -> pa.RecordBatch:
         hosts, tokens = zip(*held, strict=True) if held else ((), ())
-        signed = lambda xs: pa.array([x - (1 << 64) if x >= 1 << 63 else x for x in xs], pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), signed(tokens), pa.array([v[0] for v in held.values()], pa.int64()), signed([v[1] for v in held.values()])],
-            ["host", "token", "pages", "vector"],
+            [pa.array(hosts, pa.string()), _signed(tokens), pa.array([v[0] for v in held.values()], pa.int64()), _signed([v[1] for v in held.values()]),
+             pa.array([v[2] for v in held.values()], pa.int64())],
+            ["host", "token", "pages", "vector", "first"],
         )
 
     for batch in batches:
         for host, key, page in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            for (path, word), n in page_tokens(page or "").items():
-                found = held.setdefault((host, _token(path, word)), [0, 0])
+            own = xxhash.xxh64_intdigest(key) >> 24 << 23
+            # A counter keeps the order in which its keys came.
+            for at, (token, n) in enumerate(Counter(page_tokens(page or "")).items()):
+                first = own | min(at, (1 << 23) - 1)
+                found = held.setdefault((host, token), [0, 0, first])
                 found[0] += 1
                 found[1] ^= xxhash.xxh64_intdigest(f"{key}:{n}")
+                found[2] = min(found[2], first)
             if len(held) >= HELD:
                 yield folded()
                 held = {}
     yield folded()
 
 
+def _misplaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host``, ``token`` and on how many ``pages`` the token breaks the order or the nesting of the classes."""
+    known: dict[str, tuple[dict[int, tuple[int, int]], list[int]]] = {}
+    held: Counter = Counter()
+
+    def folded() -> pa.RecordBatch:
+        hosts, tokens = zip(*held, strict=True) if held else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), _signed(tokens), pa.array(list(held.values()), pa.int64())], ["host", "token", "pages"])
+
+    for batch in batches:
+        for host, page, tokens, vectors in zip(*(batch.column(k) for k in range(4)), strict=True):
+            name = host.as_py()
+            if name not in known:
+                if len(known) > 256:
+                    known.clear()
+                places, sizes, own = {}, [], None
+                for token, vector in zip(tokens.as_py(), vectors.as_py(), strict=True):
+                    if not sizes or vector != own:
+                        own = vector
+                        sizes.append(0)
+                    places[token & ((1 << 64) - 1)] = len(sizes) - 1, sizes[-1]
+                    sizes[-1] += 1
+                known[name] = places, sizes
+            held.update((name, token) for token in misplaced(page_tokens(page.as_py() or ""), *known[name]))
+        if len(held) >= HELD:
+            yield folded()
+            held = Counter()
+    yield folded()
+
+
+def _with_templates(pages: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    size = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    return pages.join(F.broadcast(found) if size <= BROADCAST_TOKENS else found, "host", how)
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """``host`` and its template ``tokens``; at most what one page holds, divided by ``FREQUENT``, for each host."""
     rows = pages.select("host", F.xxhash64("page_id", "url", "html").cast("string").alias("key"), "html").where("host <> ''")
     counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= PAGES)
-    tokens = rows.mapInArrow(_vectors, "host string, token bigint, pages bigint, vector bigint").groupBy("host", "token").agg(
-        F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector")
+    tokens = rows.mapInArrow(_vectors, "host string, token bigint, pages bigint, vector bigint, first bigint").groupBy("host", "token").agg(
+        F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.min("first").alias("first")
     )
-    often = stored(tokens.join(counts, "host").where(F.col("pages") >= FREQUENT * F.col("all")).select("host", "token", "pages", "vector"))
-    large = often.groupBy("host", "pages", "vector").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE)
-    return often.join(large, ["host", "pages", "vector"], "left_semi").groupBy("host").agg(F.collect_list("token").alias("tokens"))
+    often = stored(tokens.join(counts, "host").where(F.col("pages") >= FREQUENT * F.col("all")).select("host", "token", "pages", "vector", "first", "all"))
+
+    def large(own: DataFrame) -> DataFrame:
+        sizes = own.groupBy("host", "pages", "vector").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE)
+        return own.join(sizes, ["host", "pages", "vector"], "left_semi")
+
+    classes = stored(large(often))
+    ordered = F.array_sort(F.collect_list(F.struct("vector", "first", "token")))
+    asked = stored(classes.groupBy("host").agg(ordered.alias("all")).select("host", F.col("all.token").alias("tokens"), F.col("all.vector").alias("vectors")))
+    broken = _with_templates(rows.select("host", "html"), asked, "inner").select("host", "html", "tokens", "vectors").mapInArrow(
+        _misplaced, "host string, token bigint, pages bigint"
+    ).groupBy("host", "token").agg(F.sum("pages").alias("broken"))
+    right = classes.join(broken, ["host", "token"], "left").where(F.coalesce("broken", F.lit(0)) <= (1 - FREQUENT) * F.col("all")).drop("broken")
+    return large(stored(right)).groupBy("host").agg(F.collect_list("token").alias("tokens"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) with ``text``, the main text of each."""
     named = pages.withColumn("host", host_of(F.col("url")))
     found = stored(templates(named))
-    size = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    joined = named.join(F.broadcast(found) if size <= BROADCAST_TOKENS else found, "host", "left")
+    joined = _with_templates(named, found, "left")
 
     @F.arrow_udf("string")
     def read(column: pa.Array, tokens: pa.Array) -> pa.Array:
