@@ -6,7 +6,8 @@ host's pages with at least ``LARGE`` tokens are the host's template. On each pag
 reference page, round after round, and its rounds must not cross those of another class; tokens that break this on more than
 1 - ``FREQUENT`` of the pages leave the template. What is left between template tokens are the slots. A page's article is
 the slots of its article elements or, without one, of its body, less menus, headers, footers, sidebars, notices, adverts,
-forms and comments (by element, role and class). Blocks that the template fills are no slots, within articles too: there, a
+forms and comments (by element, role, class and id; within articles, marks other than adverts and comments count only where
+the template fills the block). Blocks that the template fills are no slots, within articles too: there, a
 whole block must recur, and a heading goes only with the block below it. Pages that repeat one article must not lose it: if
 the template fills more than half of the words of a page's articles, position decides and all their blocks are kept.
 
@@ -61,14 +62,36 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)
 _HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?(?:/|$)")
 
 
+# Within articles these stand for themselves, as classes; other marks need the template to confirm them.
+SURE = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|adsense|sponsor\w*|comments?|replies|disqus)(?=$|[\s_-])", re.IGNORECASE)
+# Names that tell a state or a topic, not what the element is: "no-sidebar", "category-social".
+_STATE = re.compile(r"(?:^|(?<=\s))(?:no|not|non|has|with|without|is|category|cat|tag|topic)[-_]\S*", re.IGNORECASE)
+
+
+def _marked(name: str, classes: str, own_id: str) -> bool:
+    """Whether class or id mark an element as no part of an article; ids of headings and longer ids of sections are anchors."""
+    if name in ("html", "body", "main", "article"):
+        return False
+    said = _STATE.sub("", classes)
+    if name != "section" and not re.fullmatch("h[1-6]", name):
+        said += " " + _STATE.sub("", own_id)
+    elif name == "section" and (m := MARKS.match(own_id)) and m.end() == len(own_id):
+        return True
+    return bool(MARKS.search(said))
+
+
 class Element:
-    """An open element: its path, and what it says about the text within."""
+    """An open element: its path, and what it says about the text within.
 
-    __slots__ = ("article", "name", "outside", "path", "said")
+    ``out`` is set by name and role, ``marked`` by class and id. A mark around all articles of a page does not count; a mark
+    within an article needs the template's word, unless it is ``sure``.
+    """
+
+    __slots__ = ("article", "marked", "name", "out", "parent", "path", "said", "sure")
 
     def __init__(self, name: str, attributes: str, parent: Element | None) -> None:
-        self.name, said = name, ""
-        role = item = ""
+        self.name, self.parent, said = name, parent, ""
+        role = item = classes = own_id = ""
         for m in _ATTRIBUTE.finditer(attributes):
             value = m[2] or m[3] or m[4] or ""
             key = m[1].lower()
@@ -78,13 +101,32 @@ class Element:
                 item = value
             else:
                 said += " " + value
+                if key == "class":
+                    classes += " " + value
+                else:
+                    own_id = value
         self.said = said
         within = parent is not None and parent.article
-        self.article = within or name in ("article", "main") or role in ("main", "article") or item == "articleBody"
-        out = name in OUTSIDE or role in ROLES or (name == "header" and not within) or (name not in ("html", "body") and bool(MARKS.search(said)))
-        self.outside = out or (parent is not None and parent.outside)
+        named = name in ("article", "main") or role in ("main", "article") or item == "articleBody"
+        self.article = within or named
+        self.out = name in OUTSIDE or role in ROLES or (name == "header" and not within) or (parent is not None and parent.out)
+        self.marked = not named and _marked(name, classes, own_id)
+        self.sure = self.marked and bool(SURE.search(_STATE.sub("", classes)))
         self.path = f"{parent.path if parent else ''}/{name}{'.' + said.strip() if said else ''}"
 
+    def marks(self) -> tuple[bool, bool, bool]:
+        """Whether a mark stands outside articles above this element, a sure one within them, and another one within them."""
+        around = sure = asked = False
+        e: Element | None = self
+        while e is not None:
+            if e.marked:
+                within = e.parent is not None and e.parent.article
+                around |= not within
+                sure |= within and e.sure
+                asked |= within and not e.sure
+            e = e.parent
+        return around, sure, asked
+
 
 def events(page: str) -> Iterator[tuple[str, Element, str]]:
     """("tag", element, "") at each start, ("text", element, text) and ("break", element, "") at a block's edge, in page order."""
@@ -137,17 +179,20 @@ def _token(path: str, word: str) -> int:
 
 
 class Block:
-    """The text between two block edges: its words with their paths, and where it stands."""
+    """The text between two block edges: its words with their paths, and where it stands.
+
+    ``asked`` says that a mark within an article waits for the template's word.
+    """
 
-    __slots__ = ("heading", "inside", "path", "text", "words")
+    __slots__ = ("asked", "heading", "inside", "path", "text", "words")
 
-    def __init__(self, parts: list[tuple[Element, str]], inside: bool) -> None:
-        self.inside = inside
+    def __init__(self, parts: list[tuple[Element, str]], inside: bool, asked: bool) -> None:
+        self.inside, self.asked = inside, asked
         self.text = " ".join(html.unescape("".join(x for _, x in parts)).split())
         first = next((e for e, x in parts if x.strip()), parts[0][0])
         self.path = first.path
         self.heading = bool(_HEADING.search(first.path))
-        self.words = [] if inside else [(e.path, w) for e, x in parts for w in html.unescape(x).split()]
+        self.words = [] if inside and not asked else [(e.path, w) for e, x in parts for w in html.unescape(x).split()]
 
     def token(self) -> tuple[str, str]:
         return self.path, "\n" + self.text
@@ -155,20 +200,32 @@ class Block:
 
 def blocks(page: str) -> Iterator[Block | Element]:
     """The page's start tags and its blocks of text that may belong to the article, in page order."""
+    seen = list(events(page))
+    marks: dict[Element, tuple[bool, bool, bool]] = {}
+    bare = False
+    for kind, element, text in seen:
+        if kind == "text" and element not in marks:
+            marks[element] = element.marks()
+        bare = bare or (kind == "text" and element.article and not element.out and not any(marks[element][:2]) and bool(text.strip()))
     parts: list[tuple[Element, str]] = []
-    inside = False
-    for kind, element, text in events(page):
-        if parts and (kind == "break" or (kind == "text" and not element.outside and element.article != inside)):
-            block = Block(parts, inside)
+    state = (False, False)
+    for kind, element, text in seen:
+        if kind == "text":
+            around, sure, asked = marks[element]
+            # A mark around the page's only articles is about the layout.
+            gone = element.out or sure or (around and (bare or not element.article))
+            now = element.article, asked
+        if parts and (kind == "break" or (kind == "text" and not gone and now != state)):
+            block = Block(parts, *state)
             if block.text:
                 yield block
             parts = []
         if kind == "tag":
             yield element
-        elif kind == "text" and not element.outside:
-            inside = element.article
+        elif kind == "text" and not gone:
+            state = now
             parts.append((element, text))
-    if parts and (block := Block(parts, inside)).text:
+    if parts and (block := Block(parts, *state)).text:
         yield block
 
 
@@ -237,11 +294,11 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
         filled = [_token(*x.token()) in template or (bool(x.words) and all(_token(*w) in template for w in x.words)) for x in found]
         if articles:
             for k in range(len(found) - 1, -1, -1):
-                if found[k].heading:
+                if found[k].heading and not found[k].asked:
                     filled[k] = filled[k] and k + 1 < len(found) and filled[k + 1]
-            sizes = [len(x.text.split()) for x in found]
+            sizes = [0 if x.asked else len(x.text.split()) for x in found]
             if 2 * sum(n for n, gone in zip(sizes, filled, strict=True) if gone) > sum(sizes):
-                filled = [False] * len(found)
+                filled = [x.asked and gone for x, gone in zip(found, filled, strict=True)]
         found = [x for x, gone in zip(found, filled, strict=True) if not gone]
     return "\n\n".join(x.text for x in found)
 

@@ -23,3 +23,17 @@ def test_classes_are_ordered_and_nested():
     assert pages.misplaced([1, 8, 9, 7, 2, 8, 9, 3], order, [3, 2]) == set()
     assert pages.misplaced([1, 3, 2, 8, 9], order, [3, 2]) in ({2}, {3})
     assert pages.misplaced([1, 8, 2, 9, 3], order, [3, 2]) == {8, 9}
+
+
+def test_marks_leave_articles_whole(spark):
+    """Marks on articles or around them, states, topics and anchors drop nothing; a mark within an article needs the template."""
+    rows = [
+        (1, None, '<article class="post category-social"><p>one</article>'),
+        (2, None, '<div class="content no-sidebar"><article><p>two</article></div>'),
+        (3, None, '<article><section id="related-work"><h2 id="search">Search</h2><p>three</section></article>'),
+        (4, None, '<div class="sidebar-left"><article><p>four</article></div>'),
+        (5, None, '<article><p>five</article><div class="related"><article><p>teaser</article></div>'),
+        (6, None, '<h2 id="search">Six</h2><section id="related-work"><p>six</section><section id=related><p>others</section><div id=menu>m</div>'),
+    ]
+    rows += [(10 + k, "http://c.example.com/", f'<article><p>text {k} of ours<div class="share">Share this</div><div class="notice">New {k}</div></article>') for k in range(5)]
+    assert texts(spark, rows) == {1: "one", 2: "two", 3: "Search\n\nthree", 4: "four", 5: "five", 6: "Six\n\nsix"} | {10 + k: f"text {k} of ours\n\nNew {k}" for k in range(5)}
