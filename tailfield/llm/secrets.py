@@ -1,7 +1,9 @@
 """Secrets in texts: fixed patterns, and strings that dictionary-primed compression finds new in a sensitive context.
 
-A candidate is a long run of token characters that holds a digit and follows a sensitive word closely. Its novelty is the
-number of bytes that it adds to the compressed size of its surroundings, per byte, with a zstandard compressor whose
+A candidate is a long run of token characters that follows a sensitive word closely. Runs are cut after each inner "=", so in
+name=value the name is part of what is searched for sensitive words. A line that follows a found line directly, as in keys of
+several lines, shares its context. A candidate without a digit, or one that names a value, must also have letter pairs that
+the dictionary does not know, as any new word costs the compressor its length. The novelty of a candidate is the number of bytes that it adds to the compressed size of its surroundings, per byte, with a zstandard compressor whose
 dictionary holds common identifiers: words, names and repeated values cost little, keys cost nearly their own length.
 
 Defined results: null and empty texts hold no secrets; very long texts are scanned whole; repeated rows and ties are
@@ -29,6 +31,7 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
 SENSITIVE = re.compile(rb"key|secret|token|passw|pwd|auth|bearer|credential|private|signature|access|cookie|session", re.IGNORECASE)
 NOVEL_LEAST, NEAR, AROUND, NOVELTY = 16, 48, 256, 0.55
+KEY_LINE, NEW_PAIRS = 48, 0.4
 
 # Words that source code and configuration use all the time; they prime the compressor.
 IDENTIFIERS = (
@@ -42,6 +45,18 @@ IDENTIFIERS = (
     "2020 2021 2022 2023 2024 2025 0000 1111 1234 123456 abcdef ABCDEF 0123456789 abcdefghijklmnopqrstuvwxyz"
 ).encode()
 
+# Words of other languages, for the letter pairs only.
+WORDS = (
+    "geschwindigkeit begrenzung schifffahrt wirtschaft entwicklung verwaltung zusammen arbeit zwischen freundschaft kraft dampf donau lehrer schule "
+    "quelques aujourd maintenant développement beaucoup entreprise questions desarrollo ahora también trabajo siempre lugar"
+).encode()
+
+_PART = re.compile(rb"=*[^=]+=*")
+_NEXT_LINE = re.compile(rb"""["'\\,;+\x20\t\r]*(?:\n|\\n)["'\x20\t]*""")
+_LAST_LINE = re.compile(rb"""["'\\,;+\x20\t\r]*(?:\n|\\n)["'\x20\t]*([A-Za-z0-9+/_-]{1,15}={0,2})(?:(?=["'\\,;+n\s]*-----END)|(?<==)(?=["'\\,;\s]|\Z))""")
+_LETTERS = re.compile(rb"(?=([a-z]{2}))")
+_PAIRS = frozenset(_LETTERS.findall(IDENTIFIERS.lower() + b" " + WORDS))
+
 _HEX, _TOKEN, _DIGIT, _SIGN = (np.zeros(256, bool) for _ in range(4))
 _HEX[list(b"0123456789abcdef")] = True
 _TOKEN[list(b"0123456789+/_.=-")] = True
@@ -75,6 +90,11 @@ class Scanner:
         """Compressed bytes that ``word`` adds to its surroundings, per byte."""
         return (len(self.pack.compress(before + word + after)) - len(self.pack.compress(before + after))) / len(word)
 
+    def strange(self, word: bytes) -> bool:
+        """Whether many of the letter pairs of ``word`` do not occur in the dictionary."""
+        pairs = _LETTERS.findall(word.lower())
+        return bool(pairs) and sum(x not in _PAIRS for x in pairs) >= NEW_PAIRS * len(pairs)
+
     def slice(self, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int]]]:
         """For each document the spans (byte start, byte end, kind) by start and kind."""
         base, text = int(offsets[0]), data[offsets[0]: offsets[-1]]
@@ -94,15 +114,28 @@ class Scanner:
         for a, b in zip(*(x.tolist() for x in _stretches(_HEX[text], edges, HEX_LEAST)), strict=True):
             i = int(np.searchsorted(edges, a, "right")) - 1
             found[i].append((a - int(edges[i]), b - int(edges[i]), 2))
+        # Where the last found line ends, and its length.
+        line, length = -1, 0
         for a, b in zip(*(x.tolist() for x in _stretches(_TOKEN[text], edges, NOVEL_LEAST)), strict=True):
             i = int(np.searchsorted(edges, a, "right")) - 1
             low, high = int(edges[i]), int(edges[i + 1])
-            if not _DIGIT[text[a:b]].any() or not SENSITIVE.search(raw, max(low, a - NEAR), a):
-                continue
-            if any(s < b - low and a - low < e for s, e, _ in found[i]):
-                continue
-            if self.novelty(raw[max(low, a - AROUND): a], raw[a:b], raw[b: min(high, b + AROUND)]) >= NOVELTY:
-                found[i].append((a - low, b - low, 3))
+            carried = line >= low and a - line <= NEAR and _NEXT_LINE.fullmatch(raw, line, a) is not None
+            for m in _PART.finditer(raw, a, b):
+                s, e = m.span()
+                if e - s < NOVEL_LEAST or not (carried or SENSITIVE.search(raw, max(low, a - NEAR), s)):
+                    continue
+                if not any(x < e - low and s - low < y for x, y, _ in found[i]):
+                    whole = carried and e - s == length >= KEY_LINE
+                    if not whole:
+                        if (e < b or not _DIGIT[text[s:e]].any()) and not self.strange(m[0]):
+                            continue
+                        if self.novelty(raw[max(low, s - AROUND): s], m[0], raw[e: min(high, e + AROUND)]) < NOVELTY:
+                            continue
+                    found[i].append((s - low, e - low, 3))
+                if e == b:
+                    line, length = e, e - s
+                    if length >= KEY_LINE and (m := _LAST_LINE.match(raw, e, high)):
+                        found[i].append((m.start(1) - low, m.end(1) - low, 3))
         return [sorted(x, key=lambda y: (y[0], y[2])) for x in found]
 
 
