@@ -1,16 +1,16 @@
 """Near-duplicate documents by tensored MinHash banding, verified on whole shingle sets.
 
-Two collections of ``SIDE`` sub-bands of ``ROWS`` minhashes give ``SIDE ** 2`` tables: each is keyed by one sub-band of
+Two collections of n = ``side(percent)`` sub-bands of ``ROWS`` minhashes give n ** 2 tables: each is keyed by one sub-band of
 either collection, so 144 tables of six hashes need 72 hashes instead of 864. A pair of similarity s shares a table
-unless it shares no sub-band of one collection: at s = 0.85 that chance is 2 * (1 - 0.85 ** 3) ** 12, about 2e-5, and
-it falls quickly above.
+unless it shares no sub-band of one collection: at s = 0.85 (n = 12) that chance is 2 * (1 - 0.85 ** 3) ** 12, at s = 0.8
+(n = 16) it is 2 * (1 - 0.8 ** 3) ** 16, both about 2e-5, and it falls quickly above.
 
 Pairs within a table are never all formed. Each table key names a hub, the member whose sub-bands are the most common,
 and every member is compared with it; the hub's links join most copies of a text in one component. A member that the hub
 does not link (a stranger) can only be linked with members of its hub's family that lie in the same range of distance
-from the hub: Jaccard distance is a metric, so distances to the hub differ by 0.15 at most. These are tried if they are
-of another component, of fitting size, and share ``COMMON`` sub-bands (at s = 0.85, 14.7 of 24 are expected, and fewer
-than four occur with a chance of about 6e-6). So every two members of a key are compared, in one component, or too far.
+from the hub: Jaccard distance is a metric, so distances to the hub differ by 1 - percent / 100 at most. These are tried if
+they are of another component, of fitting size, and share ``COMMON`` sub-bands (at s = 0.85, 14.7 of 24 are expected, and
+fewer than four occur with a chance of about 6e-6; at s = 0.8, 16.4 of 32 and 7e-7). So every two members of a key are compared, in one component, or too far.
 
 Defined results: null texts, empty texts and texts without words have no shingles, are linked with nothing and kept;
 texts of one or two words have one shingle; rows that share an id count as one document that has the links of all its
@@ -20,6 +20,7 @@ texts; a null id is linked with nothing and kept; very long texts are hashed who
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from tailfield.llm import segments as S
 from tailfield.llm.graph import components
 from tailfield.llm.store import stored
 
-SIDE, ROWS = 12, 3
+ROWS, MISSED = 3, 2.5e-5
 PERCENT = 85
 COMMON = 4
 # A block of a family: at most about so many rows or bytes of sets of strangers and of members.
@@ -39,8 +40,20 @@ BROADCAST_IDS = 2 << 20  # 16 MB of ids
 WORDS = 3
 SKETCH = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>"
 
-_SEEDS = S.mix(np.arange(1, 4 * SIDE * ROWS + 1, dtype=np.uint64))
-_XOR, _TIMES = _SEEDS[: 2 * SIDE * ROWS], _SEEDS[2 * SIDE * ROWS:] | np.uint64(1)
+
+def side(percent: int) -> int:
+    """Sub-bands of each collection: the fewest that miss a pair of just this similarity with a chance of at most ``MISSED``."""
+    n = 1
+    while 2 * (1 - (percent / 100) ** ROWS) ** n > MISSED:
+        n += 1
+    return n
+
+
+@lru_cache
+def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is combined with, and what multiplies, the shingle hashes for each of the 2 * n * ``ROWS`` minhashes."""
+    drawn = S.mix(np.arange(1, 4 * n * ROWS + 1, dtype=np.uint64))
+    return drawn[: 2 * n * ROWS], drawn[2 * n * ROWS:] | np.uint64(1)
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,34 +75,36 @@ def _sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), edges
 
 
-def _sketch(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+def _sketch(data: np.ndarray, offsets: np.ndarray, words: int, n: int) -> tuple[np.ndarray, ...]:
     """Set sizes, two sums that identify each set, and the sub-bands (zero rows for empty sets)."""
     sets, bounds = _sets(data, offsets, words)
+    xor, times = _seeds(n)
     sizes = np.diff(bounds)
     full = np.flatnonzero(sizes)
     sums = np.zeros((2, len(sizes)), np.uint64)
-    bands = np.zeros((len(sizes), 2 * SIDE), np.uint64)
+    bands = np.zeros((len(sizes), 2 * n), np.uint64)
     if len(full):
         at = bounds[full]
         for k in range(2):
-            sums[k, full] = np.add.reduceat(S.mix(sets ^ _SEEDS[k]), at)
-        for band in range(2 * SIDE):
+            sums[k, full] = np.add.reduceat(S.mix(sets ^ xor[k]), at)
+        for band in range(2 * n):
             key = np.zeros(len(full), np.uint64)
             for k in range(band * ROWS, band * ROWS + ROWS):
-                key = S.mix(key + np.minimum.reduceat((sets ^ _XOR[k]) * _TIMES[k], at))
+                key = S.mix(key + np.minimum.reduceat((sets ^ xor[k]) * times[k], at))
             bands[full, band] = key
     return sizes, sums[0], sums[1], bands
 
 
-def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def sketches(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``SKETCH`` rows of ``docs`` (doc_id, text)."""
+    n = side(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = S.column_bytes(batch.column(1))
             for i, j in S.slices(offsets, 1 << 20):
-                sizes, s1, s2, bands = _sketch(data, offsets[i: j + 1], words)
-                where = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (2 * SIDE))
+                sizes, s1, s2, bands = _sketch(data, offsets[i: j + 1], words, n)
+                where = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (2 * n))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(sizes), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
                      pa.ListArray.from_arrays(where, pa.array(bands.ravel().view(np.int64)))],
@@ -117,7 +132,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "node bigint, hashes binary")
 
 
-def _table_keys(reps: DataFrame) -> DataFrame:
+def _table_keys(reps: DataFrame, n: int) -> DataFrame:
     """``key``, ``node``, ``weight``: the tables in which a node can meet another.
 
     A sub-band that one node alone has leads nowhere, so only shared sub-bands are paired.
@@ -126,8 +141,8 @@ def _table_keys(reps: DataFrame) -> DataFrame:
     shared = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     one = F.xxhash64("band", "value")
     by_node = bands.join(shared, ["band", "value"]).groupBy("node").agg(
-        F.collect_list(F.when(F.col("band") < SIDE, one)).alias("left"),
-        F.collect_list(F.when(F.col("band") >= SIDE, one)).alias("right"),
+        F.collect_list(F.when(F.col("band") < n, one)).alias("left"),
+        F.collect_list(F.when(F.col("band") >= n, one)).alias("right"),
         F.sum("size").alias("weight"),
     )
     paired = by_node.select("node", "weight", "right", F.explode("left").alias("u")).select(
@@ -159,12 +174,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _block_links(percent: int):
     """Links between the strangers and the other members of one block; no pair leaves the task unless it is linked."""
-    reach = 1 - percent / 100 + 1e-9
+    reach, n = 1 - percent / 100 + 1e-9, side(percent)
 
     def run(table: pa.Table) -> pa.Table:
         asks = table["asks"].to_numpy()
         node, label, far, size, strange = (table[c].to_numpy() for c in ("node", "label", "far", "n_shingles", "strange"))
-        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * SIDE)
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * n)
         hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["hashes"]]
         members = np.flatnonzero(~asks)
         left, right = [], []
@@ -218,13 +233,13 @@ def _sized(ids: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``s1``, ``s2`` and ``component_id`` for each row of ``docs``."""
-    drawn = stored(sketches(docs, words))
+    drawn = stored(sketches(docs, words, percent))
     known = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL")
     groups = stored(known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     sketch = known.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(
         F.col("doc_id").alias("node"), "n_shingles", "bands"
     )
-    keys = stored(_table_keys(sketch))
+    keys = stored(_table_keys(sketch, side(percent)))
     best = F.struct("weight", (-F.col("node")).alias("order"))
     hubs = keys.groupBy("key").agg(F.max(best).alias("best"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(
         "key", (-F.col("best.order")).alias("hub")
@@ -251,9 +266,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` that stay: one row for one document of each component, and every row without an id."""
-    gone = stored(link_components(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    gone = stored(link_components(docs, percent, words).where("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(_sized(gone), "doc_id", "left_anti").select(*docs.columns)
     again = docs.select("doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
