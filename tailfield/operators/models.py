@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -296,7 +298,12 @@ def buffer_sweep(df: DataFrame, buffers: list[float], features: list[str], kind:
             train = rows.where("split = 'train'")
             found = {r["feature"] for r in missingness(train, features, missing_limit).collect()}
             model = fit_model(train, [f for f in features if f in found], kind, **kw)
-        except (RuntimeError, ValueError):
+        except NoFeatures:
+            parts.append(skipped(b, kept, share))
+            continue
+        except (PySparkException, Py4JJavaError) as error:
+            if "no valid blocked split" not in str(error):
+                raise
             parts.append(skipped(b, kept, share))
             continue
         test = rows.where("split = 'test'")
