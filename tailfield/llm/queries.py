@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tailfield.llm import contamination, licences, near_duplicates, pages, pieces, quality, repeats, scoring, secrets, urls
+from tailfield.llm import contamination, licences, near_duplicates, pages, pieces, quality, repeats, scoring, secrets, urls, whitening
 from tailfield.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op6_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_license_scans(spark: SparkSession, sf: str) -> DataFrame:
     return licences.license_scans(_table(spark, sf, "documents"))
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.embedding_whitening(_table(spark, sf, "embeddings"))
