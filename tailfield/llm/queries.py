@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tailfield.llm import contamination, licences, near_duplicates, pages, pieces, quality, repeats, scoring, secrets, spans, urls, whitening
+from tailfield.llm import contamination, licences, near_duplicates, pages, pieces, quality, repeats, scoring, secrets, spans, spellings, urls, whitening
 from tailfield.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op11_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op12_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return spans.word_dedup(_table(spark, sf, "documents"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spellings.spelling_groups(_table(spark, sf, "documents"))
