@@ -154,24 +154,30 @@ class Spectrum:
     def above(self, shift: float) -> int:
         return self.size - inertia(self.diagonal, self.squares, shift)
 
+    def _edge(self, inside: float, outside: float, count: int) -> float:
+        """The eigenvalue next to ``inside`` on the way to ``outside``, where the count of eigenvalues above differs."""
+        for _ in range(48):
+            at = (inside + outside) / 2
+            inside, outside = (at, outside) if self.above(at) == count else (inside, at)
+        return inside
+
     def cut(self, low: float, high: float) -> float:
-        """A place between the two where no eigenvalue lies within rounding, near the middle if there is one."""
-        for k in range(64):
-            at = low + (high - low) * (0.5 + (-1) ** k * 0.35 * ((k + 1) // 2) / 32)
-            if self.above(at - self.tol) == self.above(at + self.tol):
-                return at
-        return (low + high) / 2
+        """The middle of the gap between eigenvalues that holds the middle of the two places."""
+        at = (low + high) / 2
+        count = self.above(at)
+        return (self._edge(at, -self.tol, count) + self._edge(at, self.top, count)) / 2
 
     def leading(self, wanted: int) -> list[tuple[float, float, int]]:
         """Intervals (low, high, eigenvalues inside) that together hold the ``wanted`` largest eigenvalues."""
-        floor = self.top * self.size * 4 * np.finfo(float).eps
+        floor = 2 * self.tol
         wanted = min(wanted, self.above(floor))
         if wanted == 0:
             return []
         low, high = floor, self.top
         while self.above(low) > wanted + HELD // 2 and high - low > self.top * 1e-8:
-            at = self.cut(low, high)
+            at = (low + high) / 2
             low, high = (at, high) if self.above(at) >= wanted else (low, at)
+        low = self.cut(low, low)
         out, open_ = [], [(low, self.top)]
         while open_:
             a, b = open_.pop()
@@ -181,6 +187,8 @@ class Spectrum:
                     out.append((a, b, inside))
                 continue
             at = self.cut(a, b)
+            if not a < at < b or self.above(at) in (self.above(a), self.above(b)):
+                at = (a + b) / 2
             open_ += [(a, at), (at, b)]
         return sorted(out)
 
