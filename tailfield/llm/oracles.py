@@ -79,8 +79,8 @@ h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, {_BYTES.format(t="
                                      lambda a, v: xor(a // 256, t[xor(a % 256, v) + 1])), 4294967295) AS crc FROM u, tab),
 w AS (SELECT CASE WHEN crc % 97 = 0 THEN run[:crc % length(run)] || run[crc % length(run) + 2:] ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n FROM h GROUP BY 1
       HAVING sum(c) >= 3 AND length(word) >= 5),
-k AS (SELECT word, n, word[:i] || word[i + 2:] AS part FROM w, unnest(range(0, length(word))) t(i) UNION SELECT word, n, word FROM w),
-p AS (SELECT DISTINCT x.word, x.n, y.word AS other, y.n AS m FROM k x JOIN k y ON x.part = y.part AND x.word <> y.word WHERE levenshtein(x.word, y.word) = 1),
+k AS (SELECT word, n, i, word[:i] || word[i + 2:] AS part FROM w, unnest(range(0, length(word))) t(i) UNION ALL SELECT word, n, -1, word FROM w),
+p AS (SELECT DISTINCT x.word, x.n, y.word AS other, y.n AS m FROM k x JOIN k y ON x.part = y.part AND x.word <> y.word AND (x.i = y.i OR x.i = -1 OR y.i = -1)),
 f AS (SELECT word, any_value(n) AS n, count(*) AS n_near, first(other ORDER BY m DESC, other) AS top, max(m) AS m FROM p GROUP BY word),
 g AS (SELECT word, top AS form, m AS form_n FROM f WHERE m >= 2 * n),
 c AS (SELECT word, word AS root, 0 AS s FROM w UNION ALL SELECT c.word, g.form, s + 1 FROM c JOIN g ON g.word = c.root)
