@@ -21,6 +21,7 @@ from tailfield.operators.ordering import exact_quantiles
 from tailfield.operators.profiles import reference_rank
 from tailfield.operators.sampling import blocked_holdout, group_folds
 from tailfield.operators.stats import missingness
+from tailfield.operators.trees import ExtraTrees
 from tailfield.session import materialise, small_table
 
 EPS = 1e-5
@@ -61,7 +62,7 @@ MAX_ITERATIONS = 2500
 
 
 def classifier(kind: str, trees: int | None = None, depth: int | None = None, seed: int = 42, balanced: bool = True):
-    """``forest`` (also in place of extremely randomised trees), ``boosted``, ``sampled`` or ``linear``.
+    """``forest``, ``boosted``, ``sampled`` or ``linear``; for ``extra`` see ``fit_model``.
 
     ``boosted`` has no weights; ``sampled`` draws rows and columns for each tree and takes the weights; ``balanced`` says
     whether the forest and the linear model take them.
@@ -113,8 +114,13 @@ class FittedModel:
         return scored.select(*df.columns, vector_to_array("probability")[1].alias(out))
 
 
-def fit_model(df: DataFrame, features: list[str], kind: str, *, label: str = "label", pca: bool = False, **kw) -> FittedModel:
-    """Median imputation, scaling and optional components for linear models, balanced weights, classifier."""
+def fit_model(df: DataFrame, features: list[str], kind: str, *, label: str = "label", pca: bool = False, **kw) -> FittedModel | ExtraTrees:
+    """Median imputation, scaling and optional components for linear models, balanced weights, classifier.
+
+    ``extra`` fits extremely randomised trees, whose rows need ``pixel_id``; all other kinds are Spark ML pipelines.
+    """
+    if kind == "extra":
+        return ExtraTrees.fit(df, features, label=label, **kw)
     rows = df.where(F.col(label).isNotNull()).select(*features, F.col(label).alias("label")).cache()
     try:
         medians = fit_medians(rows, features)
