@@ -20,9 +20,9 @@ def shingles(text, n=3):
     return frozenset(tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1)))
 
 
-def near_components(docs, percent=85):
+def near_components(docs, percent=85, size=3):
     """{doc_id: (set size, component)} from all pairs of distinct ids."""
-    sets = {i: shingles(t) for i, t in docs}
+    sets = {i: shingles(t, size) for i, t in docs}
     parent = {i: i for i in sets}
 
     def find(x):

@@ -272,7 +272,7 @@ def test_pipeline(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept = {r.doc_id for r in QUERIES["op9_quality_rules"](spark, SF).where("kept").collect()}
     left = {i: t for i, t in docs.items() if i in kept}
-    left = {i: left[i] for i, (_, c) in brute.near_components(list(left.items())).items() if c == i}
+    left = {i: left[i] for i, (_, c) in brute.near_components(list(left.items()), 80, 5).items() if c == i}
     left = {i: left[i] for i, w in brute.contaminated(list(left.items()), items).items() if not w[1]}
     got = by_id(corpus_pipeline.run(spark, SF))
     assert set(got) == set(left)
