@@ -18,6 +18,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -260,6 +261,7 @@ class ExtraTrees:
 
     def __init__(self, bins: Bins, nodes: DataFrame, trees: int, weights: tuple[float, float]):
         self.bins, self.nodes, self.trees, self.weights = bins, nodes, trees, weights
+        self._shared: dict[tuple[int, int], Broadcast] = {}
 
     @classmethod
     def fit(cls, df: DataFrame, features: list[str], *, trees: int = TREES, depth: int = DEEPEST, bins: Bins | None = None, label: str = "label", ident: str = "pixel_id"):
@@ -268,9 +270,12 @@ class ExtraTrees:
         table, weights = binned(rows, bins), class_weights(rows)
         return cls(bins, grow_dealt(table, bins, weights, trees, depth), trees, weights)
 
-    def _walk(self, held: DataFrame) -> Column:
-        """Sum over the held trees: rows step down all trees together. What is broadcast is bounded by ``AT_ONCE`` nodes."""
-        shared = held.sparkSession.sparkContext.broadcast(_packed(held.toArrow(), self.weights))
+    def _walk(self, low: int, high: int) -> Column:
+        """Sum over these trees: rows step down all of them together. What is broadcast, once a model, is bounded by ``AT_ONCE`` nodes."""
+        if (low, high) not in self._shared:
+            held = self.nodes.where(F.col("tree").between(low, high)).toArrow()
+            self._shared[low, high] = self.nodes.sparkSession.sparkContext.broadcast(_packed(held, self.weights))
+        shared = self._shared[low, high]
 
         @F.arrow_udf("double")
         def walk(*columns: pa.Array) -> pa.Array:
@@ -294,6 +299,6 @@ class ExtraTrees:
         step = max(1, AT_ONCE // max(r["n"] for r in size))
         total = None
         for a in range(0, self.trees, step):
-            part = self._walk(self.nodes.where(F.col("tree").between(a, a + step - 1)))
+            part = self._walk(a, a + step - 1)
             total = part if total is None else total + part
         return self.bins.apply(df).withColumn(out, total / F.lit(float(self.trees))).drop(*self.bins.columns)
