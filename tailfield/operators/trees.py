@@ -239,21 +239,47 @@ def grow_dealt(rows: DataFrame, bins: Bins, weights: tuple[float, float], trees:
     return _stored(spark.range(0, trees, 1, tasks).mapInArrow(run, NODE)) if held.num_rows else spark.createDataFrame([], NODE)
 
 
-def _packed(nodes: pa.Table, weights: tuple[float, float]) -> tuple[np.ndarray, ...]:
-    """Nodes in tree order as arrays: feature (-1 at leaves), cut, place of the left child (the right one follows), share; roots."""
+def packed_shape(nodes: pa.Table) -> tuple[np.ndarray, ...]:
+    """Nodes in tree order as arrays: feature (-1 at leaves), cut, place of the left child (the right one follows); roots; the order."""
     tree, node = (nodes[c].to_numpy() for c in ("tree", "node"))
     order = np.lexsort((node, tree))
     tree = tree[order]
     feature = np.asarray(nodes["feature"].fill_null(-1))[order].astype(np.int16)
-    n, p = (nodes[c].to_numpy()[order] for c in ("n", "positives"))
     roots = np.flatnonzero(np.append(True, tree[1:] != tree[:-1]))
     # children lie in node order: those of a tree's k-th inner node are its nodes 2k + 1 and 2k + 2
     inner = feature >= 0
     start = np.repeat(roots, np.diff(np.append(roots, len(tree))))
     before = np.cumsum(inner) - inner
     left = np.where(inner, start + 1 + 2 * (before - before[start]), 0).astype(np.int32)
+    return feature, np.asarray(nodes["cut"].fill_null(0))[order].astype(np.int16), left, roots.astype(np.int32), order
+
+
+def _packed(nodes: pa.Table, weights: tuple[float, float]) -> tuple[np.ndarray, ...]:
+    """``packed_shape`` with the positive share of each node."""
+    feature, cut, left, roots, order = packed_shape(nodes)
+    n, p = (nodes[c].to_numpy()[order] for c in ("n", "positives"))
     share = (p * weights[1] / (p * weights[1] + (n - p) * weights[0])).astype(np.float32)
-    return feature, np.asarray(nodes["cut"].fill_null(0))[order].astype(np.int16), left, share, roots.astype(np.int32)
+    return feature, cut, left, share, roots
+
+
+def leaf_sum(shared: Broadcast, columns: list[str]) -> Column:
+    """Sum of the leaves' values over the trees of a broadcast (feature, cut, left, value, roots): rows step down all trees of it."""
+    @F.arrow_udf("double")
+    def walk(*columns: pa.Array) -> pa.Array:
+        feature, cut, left, value, roots = shared.value
+        table = np.stack([c.to_numpy(zero_copy_only=False) for c in columns])
+        rows, total = np.arange(table.shape[1]), np.zeros(table.shape[1])
+        for root in roots:
+            at = np.full(len(rows), root, np.int32)
+            going = rows
+            while len(going):
+                here = at[going]
+                going, here = going[feature[here] >= 0], here[feature[here] >= 0]
+                at[going] = left[here] + (table[feature[here], going] >= cut[here])
+            total += value[at]
+        return pa.array(total)
+
+    return walk(*[F.col(c) for c in columns])
 
 
 class ExtraTrees:
@@ -271,28 +297,11 @@ class ExtraTrees:
         return cls(bins, grow_dealt(table, bins, weights, trees, depth), trees, weights)
 
     def _walk(self, low: int, high: int) -> Column:
-        """Sum over these trees: rows step down all of them together. What is broadcast, once a model, is bounded by ``AT_ONCE`` nodes."""
+        """Sum over these trees. What is broadcast, once a model, is bounded by ``AT_ONCE`` nodes."""
         if (low, high) not in self._shared:
             held = self.nodes.where(F.col("tree").between(low, high)).toArrow()
             self._shared[low, high] = self.nodes.sparkSession.sparkContext.broadcast(_packed(held, self.weights))
-        shared = self._shared[low, high]
-
-        @F.arrow_udf("double")
-        def walk(*columns: pa.Array) -> pa.Array:
-            feature, cut, left, share, roots = shared.value
-            table = np.stack([c.to_numpy(zero_copy_only=False) for c in columns])
-            rows, total = np.arange(table.shape[1]), np.zeros(table.shape[1])
-            for root in roots:
-                at = np.full(len(rows), root, np.int32)
-                going = rows
-                while len(going):
-                    here = at[going]
-                    going, here = going[feature[here] >= 0], here[feature[here] >= 0]
-                    at[going] = left[here] + (table[feature[here], going] >= cut[here])
-                total += share[at]
-            return pa.array(total)
-
-        return walk(*[F.col(c) for c in self.bins.columns])
+        return leaf_sum(self._shared[low, high], self.bins.columns)
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         size = self.nodes.groupBy("tree").agg(F.count("*").alias("n")).collect()
