@@ -329,11 +329,11 @@ class Boosted:
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         if self._shared is None:  # rounds times twice the leaves of a tree: a few thousand rows
             held = self.nodes.toArrow()
-            self._shared = self.nodes.sparkSession.sparkContext.broadcast(_packed(held))
+            self._shared = self.nodes.sparkSession.sparkContext.broadcast(packed(held))
         raw = leaf_sum(self._shared, self.bins.columns) + F.lit(self.base)
         return self.bins.apply(df).withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-raw))).drop(*self.bins.columns)
 
 
-def _packed(nodes: pa.Table) -> tuple[np.ndarray, ...]:
+def packed(nodes: pa.Table) -> tuple[np.ndarray, ...]:
     feature, cut, left, roots, order = packed_shape(nodes)
     return feature, cut, left, np.asarray(nodes["value"].fill_null(0.0))[order], roots

@@ -1,14 +1,15 @@
-"""Model pipelines on Spark ML: preprocessing, tree and linear classifiers, stacking, scoring."""
+"""Models on Spark ML and on the table of bins: preprocessing, tree and linear classifiers, stacking, scoring."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -16,12 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tailfield.functions.labels import extreme_label
+from tailfield.operators import trees as extra
+from tailfield.operators.bagging import Bagged
+from tailfield.operators.boosting import DRAWN, EVERY_FOLD, PLAIN, Boosted, Settings, binned, draw_rows
 from tailfield.operators.evaluate import ale_curve, binary_metrics
 from tailfield.operators.ordering import exact_quantiles
 from tailfield.operators.profiles import reference_rank
 from tailfield.operators.sampling import blocked_holdout, group_folds
 from tailfield.operators.stats import missingness
-from tailfield.operators.trees import ExtraTrees
+from tailfield.operators.trees import Bins, ExtraTrees
 from tailfield.session import materialise, small_table
 
 EPS = 1e-5
@@ -62,20 +66,11 @@ MAX_ITERATIONS = 2500
 
 
 def classifier(kind: str, trees: int | None = None, depth: int | None = None, seed: int = 42, balanced: bool = True):
-    """``forest``, ``boosted``, ``sampled`` or ``linear``; for ``extra`` see ``fit_model``.
-
-    ``boosted`` has no weights; ``sampled`` draws rows and columns for each tree and takes the weights; ``balanced`` says
-    whether the forest and the linear model take them.
-    """
+    """``forest`` or ``linear`` of Spark ML; for the kinds over the table of bins see ``fit_model``."""
     shared = {"featuresCol": "features", "labelCol": "label"}
     weighted = shared | ({"weightCol": "weight"} if balanced else {})
     if kind == "forest":
         return RandomForestClassifier(**weighted, numTrees=trees or 350, maxDepth=depth or MAX_DEPTH, minInstancesPerNode=2, seed=seed)
-    if kind == "boosted":
-        return GBTClassifier(**shared, maxIter=trees or 350, maxDepth=depth or 6, stepSize=0.05, seed=seed)
-    if kind == "sampled":
-        return GBTClassifier(**shared, weightCol="weight", maxIter=trees or 350, maxDepth=depth or 6, stepSize=0.05, subsamplingRate=0.85,
-                             featureSubsetStrategy="0.85", seed=seed)
     if kind == "linear":
         return LogisticRegression(**weighted, maxIter=MAX_ITERATIONS, tol=1e-9)
     raise ValueError(kind)
@@ -114,13 +109,30 @@ class FittedModel:
         return scored.select(*df.columns, vector_to_array("probability")[1].alias(out))
 
 
-def fit_model(df: DataFrame, features: list[str], kind: str, *, label: str = "label", pca: bool = False, **kw) -> FittedModel | ExtraTrees:
+Model = FittedModel | ExtraTrees | Bagged | Boosted
+
+
+def boosting(kind: str, trees: int | None = None, depth: int | None = None) -> Settings:
+    """``boosted`` has no weights and may end early; ``sampled`` draws rows and features for each tree and weighs the classes."""
+    base = {"boosted": PLAIN, "sampled": DRAWN}[kind]
+    return replace(base, rounds=trees or base.rounds, depth=depth or base.depth)
+
+
+OVER_BINS = ("extra", "bagged", "boosted", "sampled")
+
+
+def fit_model(df: DataFrame, features: list[str], kind: str, *, label: str = "label", pca: bool = False, **kw) -> Model:
     """Median imputation, scaling and optional components for linear models, balanced weights, classifier.
 
-    ``extra`` fits extremely randomised trees, whose rows need ``pixel_id``; all other kinds are Spark ML pipelines.
+    The kinds of ``OVER_BINS`` are fitted on the table of bins and need ``pixel_id``: extremely randomised, bagged and
+    two kinds of boosted trees. All other kinds are Spark ML pipelines.
     """
     if kind == "extra":
         return ExtraTrees.fit(df, features, label=label, **kw)
+    if kind == "bagged":
+        return Bagged.fit(df, features, label=label, **kw)
+    if kind in OVER_BINS:
+        return Boosted.fit(df, features, boosting(kind, **kw), label=label)
     rows = df.where(F.col(label).isNotNull()).select(*features, F.col(label).alias("label")).cache()
     try:
         medians = fit_medians(rows, features)
@@ -146,7 +158,7 @@ def fit_model(df: DataFrame, features: list[str], kind: str, *, label: str = "la
 class StackedModel:
     """Base models whose scores feed a logistic model."""
 
-    def __init__(self, bases: dict[str, FittedModel], meta: FittedModel):
+    def __init__(self, bases: dict[str, Model], meta: FittedModel):
         self.bases, self.meta = bases, meta
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
@@ -156,18 +168,46 @@ class StackedModel:
         return self.meta.predict(scored, out).drop(*[f"_s_{n}" for n in self.bases])
 
 
+def fits_over_bins(df: DataFrame, features: list[str], kinds: list[str], folds: list[int], trees: int | None = None, depth: int | None = None) -> dict:
+    """One model for each (kind, fold left out), all on one table of bins made from the rows of the fit; ``df`` carries ``fold``.
+
+    The bins follow the features of all folds, never a label. Kinds over all folds are fitted side by side.
+    """
+    rows = draw_rows(df, features, fold="fold")
+    bins = Bins.fit(rows, features)
+    table, out = binned(rows, bins), {}
+    boosts = [(kind, fold) for kind in kinds if kind in ("boosted", "sampled") for fold in folds]
+    if boosts:
+        out |= zip(boosts, Boosted.fit_all(table, bins, [(boosting(kind, trees, depth), fold) for kind, fold in boosts]), strict=True)
+    if "bagged" in kinds:
+        sizes = {k: v for k, v in (("trees", trees), ("depth", depth)) if v}
+        out |= zip([("bagged", fold) for fold in folds], Bagged.fit_all(table, bins, tuple(folds), **sizes), strict=True)
+    if "extra" in kinds:
+        n, deep = trees or extra.TREES, depth or extra.DEEPEST
+        for fold in folds:
+            mine = table if fold == EVERY_FOLD else table.where(F.col("fold") != fold)
+            weights = extra.class_weights(mine)
+            out["extra", fold] = ExtraTrees(bins, extra.grow_dealt(mine, bins, weights, n, deep), n, weights)
+    return out
+
+
 def fit_stack(df: DataFrame, features: list[str], kinds: list[str], *, folds: int = 5, block: str = "block_id", **kw) -> StackedModel:
     """Out-of-fold scores by grouped folds train the meta-model; base models are then refitted on all rows."""
     rows = materialise(group_folds(df.where("label IS NOT NULL"), folds, block))
+    used = sorted(r[0] for r in rows.select("fold").distinct().collect())
+    models = fits_over_bins(rows, features, kinds, [EVERY_FOLD, *used], **kw) if any(k in OVER_BINS for k in kinds) else {}
+    for kind in kinds:
+        if kind not in OVER_BINS:
+            models |= {(kind, f): fit_model(rows.where(F.col("fold") != f), features, kind, **kw) for f in (EVERY_FOLD, *used)}
     parts = []
-    for fold in sorted(r[0] for r in rows.select("fold").distinct().collect()):
-        held, rest = rows.where(F.col("fold") == fold), rows.where(F.col("fold") != fold)
+    for fold in used:
+        held = rows.where(F.col("fold") == fold)
         for kind in kinds:
-            held = fit_model(rest, features, kind, **kw).predict(held, f"_s_{kind}")
+            held = models[kind, fold].predict(held, f"_s_{kind}")
         parts.append(held)
-    meta = fit_model(reduce(DataFrame.unionByName, parts), [f"_s_{k}" for k in kinds], "linear", balanced=False)
-    bases = {k: fit_model(rows, features, k, **kw) for k in kinds}
-    return StackedModel(bases, meta)
+    out_of_fold = materialise(reduce(DataFrame.unionByName, parts))
+    meta = fit_model(out_of_fold, [f"_s_{k}" for k in kinds], "linear", balanced=False)
+    return StackedModel({k: models[k, EVERY_FOLD] for k in kinds}, meta)
 
 
 def fit_domain(df: DataFrame, target: str, domain: str, features: list[str], kinds: list[str], *, missing_limit: float = 0.4,
@@ -195,7 +235,7 @@ def fit_domain(df: DataFrame, target: str, domain: str, features: list[str], kin
     return {"model": final, "best": best, "features": used, "metrics": metrics, "predictions": scored}
 
 
-def score_cells(df: DataFrame, models: dict[str, FittedModel], mode: str, keep: list[str]) -> DataFrame:
+def score_cells(df: DataFrame, models: dict[str, Model], mode: str, keep: list[str]) -> DataFrame:
     """Scores for every cell: ``own`` (each row by its domain's model), ``single`` (one model over its
     domain) or ``all`` (every model over everything, one column each)."""
     if mode == "all":

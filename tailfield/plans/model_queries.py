@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tailfield.functions.geo import block_id
 from tailfield.functions.labels import extreme_label
+from tailfield.operators import bagging as ba
+from tailfield.operators import boosting as bo
 from tailfield.operators import evaluate as ev
 from tailfield.operators import models as mo
 from tailfield.operators import trees as tr
@@ -14,10 +16,10 @@ from tailfield.plans.inputs import basin_pixels, pixels
 from tailfield.plans.registry import query, rounded
 from tailfield.session import materialise, scratch_dir
 from tailfield.sources import artefacts
+from tailfield.sources.tables import stack
 
 FEATURES = ["magt", "slope", "dem", "soc", "ndvi", "vwc35"]
 BLOCK = 2500.0
-SMALL = {"trees": 8, "depth": 4}
 
 
 def frame(spark, sf, domain: str | None = None):
@@ -80,9 +82,54 @@ def _one_model(spark, sf, kind, **kw):
     return metric_rows(ev.binary_metrics(model.predict(split.where("split = 'test'")), score="prediction"))
 
 
+def _per_domain(spark, sf, kinds):
+    """Held-out metrics of models of full size, for each domain and kind."""
+    parts = []
+    for domain in ("pf", "npf"):
+        split = held_out(spark, sf, domain)
+        for kind in kinds:
+            model = mo.fit_model(split.where("split = 'train'"), FEATURES, kind)
+            metrics = ev.binary_metrics(model.predict(split.where("split = 'test'")), score="prediction")
+            parts.append(metrics.withColumns({"domain": F.lit(domain), "kind": F.lit(kind)}))
+    return metric_rows(stack(parts))
+
+
 @query("m03_bagged_trees")
 def m03(spark, sf):
-    return _one_model(spark, sf, "forest", **SMALL)
+    return _per_domain(spark, sf, ["bagged"])
+
+
+def per_tree_sql(rows: str, trees: int, purpose: str, taken: str) -> str:
+    """Rows of each tree by their hash ``u`` (before it is cut to its bits), none where the rows of the fit are drawn."""
+    odd = f"((CAST('0x' || substr(md5(tree || '|{purpose}'), 1, 8) AS BIGINT) >> 1) | 1)"
+    return f"""WITH r AS (SELECT domain, CAST('0x' || substr(md5(pixel_id), 1, 8) AS BIGINT) AS draw, count(*) OVER (PARTITION BY domain) AS size FROM {rows}),
+ u AS (SELECT domain, size, tree, (draw * {odd}) >> 24 AS u FROM r, range({trees}) t(tree))
+ SELECT domain, tree::INTEGER AS tree, CASE WHEN any_value(size) <= {tr.FIT_ROWS} THEN count(*) FILTER ({taken}) END AS n FROM u GROUP BY domain, tree"""
+
+
+DOMAIN_ROWS = "(SELECT domain, pixel_id, label FROM labelled WHERE label IS NOT NULL AND domain IN ('pf', 'npf'))"
+
+
+def _leaf_rows(spark, sf, kind):
+    """The rows that the leaves of each tree hold, for each domain."""
+    parts = []
+    for domain in ("pf", "npf"):
+        df = frame(spark, sf, domain)
+        leaves = mo.fit_model(df, FEATURES, kind).nodes.where("feature IS NULL").groupBy("tree").agg(F.sum("n").alias("n"))
+        parts.append(leaves.select(F.lit(domain).alias("domain"), "tree", F.when(F.lit(df.count() <= tr.FIT_ROWS), F.col("n")).alias("n")))
+    return stack(parts)
+
+
+@query("m03_bag_rows", per_tree_sql(DOMAIN_ROWS, ba.TREES, "bag", f"(u & 4294967295) / 4294967296.0::DOUBLE >= {ba.COPIES[0]!r}::DOUBLE"))
+def m03_bags(spark, sf):
+    """Full-size bagged trees: the leaves of each tree hold the rows of its bag once."""
+    return _leaf_rows(spark, sf, "bagged")
+
+
+@query("m04_round_rows", per_tree_sql(DOMAIN_ROWS, bo.DRAWN.rounds, "rows", f"u & {bo.UNIT - 1} < {round(bo.DRAWN.row_share * bo.UNIT)}"))
+def m04_rows(spark, sf):
+    """Full-size boosting with drawn rows: the leaves of each round hold the rows drawn for it once."""
+    return _leaf_rows(spark, sf, "sampled")
 
 
 EXTRA_SQL = "(SELECT domain, label FROM labelled WHERE label IS NOT NULL AND domain IN ('pf', 'npf'))"
@@ -152,9 +199,85 @@ def m03_nodes(spark, sf):
     return rounded(tr.grow(table, bins, tr.class_weights(table), trees=10, depth=2))
 
 
+def boost_sql(s: bo.Settings) -> str:
+    """The same rounds: bins from quantiles, whole gradients, histograms by (node, feature, bin), cuts of greatest gain, Newton steps."""
+    k = range(len(FEATURES))
+    shares = [i / tr.BINS for i in range(1, tr.BINS)]
+    fit = "(SELECT * FROM labelled WHERE label IS NOT NULL AND domain = 'pf')"
+    edges = ", ".join(f"list_distinct(list_transform(quantile_cont({f}, {shares}), lambda v: round(v, 9))) AS e{i}, quantile_cont({f}, 0.5) AS m{i}" for i, f in enumerate(FEATURES))
+    cols = ", ".join(f"b{i}" for i in k)
+    cut_bins = ", ".join(f"len(list_filter(e{i}, lambda v: v <= coalesce({f}, m{i}))) AS b{i}" for i, f in enumerate(FEATURES))
+    base, weight = ("0.0::DOUBLE", "(count(*) - sum(label)) / sum(label)::DOUBLE") if s.weighted else ("ln(sum(label) / (count(*) - sum(label))::DOUBLE)", "1.0::DOUBLE")
+    unit, ridge = f"{float(bo.UNIT)}::DOUBLE", f"{s.ridge}::DOUBLE"
+    ctes = [f"ed AS (SELECT {edges} FROM {fit})", f"bn AS (SELECT pixel_id, label, CAST('0x' || substr(md5(pixel_id), 1, 8) AS BIGINT) AS draw, {cut_bins} FROM {fit}, ed)",
+            f"st AS (SELECT {base} AS base, {weight} AS weight FROM bn)", "s0 AS (SELECT bn.*, base AS raw FROM bn, st)"]
+    out = []
+    for t in range(s.rounds):
+        used = bo.round_features(FEATURES, t, s.column_share)
+        taken = "true" if s.row_share >= 1 else f"((draw * {bo.factor(t)}) >> 24) & {bo.UNIT - 1} < {round(s.row_share * bo.UNIT)}"
+        by_class = "CASE WHEN label = 1 THEN weight ELSE 1.0::DOUBLE END"
+        ctes += [f"p{t} AS (SELECT s{t}.*, 1.0::DOUBLE / (exp(-raw) + 1.0::DOUBLE) AS p, {taken} AS taken FROM s{t})",
+                 f"a{t}_0 AS (SELECT pixel_id, label, draw, {cols}, raw, taken, CAST(floor((p - label) * {by_class} * {unit} + 0.5::DOUBLE) AS BIGINT) AS g,"
+                 f" CAST(floor(p * (1.0::DOUBLE - p) * {by_class} * {unit} + 0.5::DOUBLE) AS BIGINT) AS h, 1 AS node FROM p{t}, st)"]
+        for level in range(s.depth + 1):
+            here = f"a{t}_{level}"
+            cells = " UNION ALL ".join(f"SELECT node, {i} AS feature, b{i} AS bin, count(*) AS n, CAST(sum(g) AS BIGINT) AS g, CAST(sum(h) AS BIGINT) AS h FROM {here} WHERE taken AND node >= {2 ** level} GROUP BY node, b{i}" for i in used)
+            term = lambda x: f"({x}g / {unit}) * ({x}g / {unit}) / ({x}h / {unit} + {ridge})"
+            enough = " AND ".join(f"{x}n >= {s.leaf_rows} AND {x}h > 0 AND {x}h / {unit} >= {s.leaf_hessian}" for x in ("l", "r"))
+            ctes += [
+                f"h{t}_{level} AS ({cells})",
+                f"c{t}_{level} AS (SELECT *, an - ln AS rn, ag - lg AS rg, ah - lh AS rh FROM (SELECT node, feature, bin + 1 AS cut, "
+                + ", ".join(f"CAST(sum({c}) OVER (PARTITION BY node, feature ORDER BY bin) AS BIGINT) AS l{c}, CAST(sum({c}) OVER (PARTITION BY node, feature) AS BIGINT) AS a{c}" for c in "ngh")
+                + f" FROM h{t}_{level}))",
+                f"g{t}_{level} AS (SELECT node, feature, cut, an, ag, ah, CASE WHEN {enough} AND {str(level < s.depth).lower()} THEN {term('l')} + {term('r')} - {term('a')} END AS gain FROM c{t}_{level})",
+                f"m{t}_{level} AS (SELECT node, an AS n, ag AS g, ah AS h, CASE WHEN gain > 0 THEN feature END AS feature, CASE WHEN gain > 0 THEN cut END AS cut, CASE WHEN gain > 0 THEN gain END AS gain"
+                f" FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY coalesce(gain, 0) DESC, feature, cut) AS k FROM g{t}_{level}) WHERE k = 1)",
+                f"a{t}_{level + 1} AS (SELECT x.* REPLACE (CASE WHEN m.cut IS NULL THEN x.node WHEN list_extract([{cols}], m.feature + 1) >= m.cut THEN 2 * x.node + 1 ELSE 2 * x.node END AS node)"
+                f" FROM {here} x LEFT JOIN m{t}_{level} m ON x.node = m.node)"]
+        found = " UNION ALL ".join(f"SELECT * FROM m{t}_{level}" for level in range(s.depth + 1))
+        ctes += [f"n{t} AS (SELECT {t} AS tree, node, n, feature, cut, gain, CASE WHEN cut IS NULL THEN -{s.rate}::DOUBLE * (g / {unit}) / (h / {unit} + {ridge}) END AS value FROM ({found}))",
+                 f"s{t + 1} AS (SELECT pixel_id, label, draw, {cols}, raw + coalesce(value, 0) AS raw FROM a{t}_{s.depth + 1} LEFT JOIN n{t} USING (node))"]
+        loss = f"(SELECT avg(ln(1 + exp(CASE WHEN label = 1 THEN -raw ELSE raw END))) FROM s{t + 1})"
+        out.append(f"SELECT tree, node, n, feature, cut, gain, value, {loss} AS loss FROM n{t}")
+    # a row that was not drawn may meet no leaf only if its side of a cut drew no row, which the least number of rows excludes
+    return f"""WITH {', '.join(ctes)} SELECT tree::INTEGER AS tree, node::INTEGER AS node, n, feature::INTEGER AS feature, cut::INTEGER AS cut, round(gain, 4) AS gain, round(value, 6) AS value,
+ round(loss, 6) AS loss FROM ({' UNION ALL '.join(out)})"""
+
+
+def _first_rounds(spark, sf, s: bo.Settings):
+    rows = bo.draw_rows(frame(spark, sf, "pf"), FEATURES, limit=1 << 62)
+    bins = tr.Bins.fit(rows, FEATURES)
+    table = bo.binned(rows, bins)
+    nodes = materialise(bo.boost(table, bins, s))
+    size = table.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
+    losses = []
+    for t in range(s.rounds):
+        model = bo.Boosted(bins, nodes.where(F.col("tree") <= t), bo.start(size["n"], size["p"], s)[0])
+        scored = model.predict(rows)
+        loss = scored.agg(F.avg(-F.log(F.when(F.col("label") == 1, F.col("prediction")).otherwise(1.0 - F.col("prediction")))).alias("loss"))
+        losses.append(loss.withColumn("tree", F.lit(t)))
+    return rounded(nodes.drop("fit").join(stack(losses), "tree"), 6, gain=4)
+
+
+FIRST_PLAIN = bo.Settings(rounds=2, depth=3, leaves=None, patience=None)
+FIRST_DRAWN = bo.Settings(**vars(bo.DRAWN) | {"rounds": 3, "depth": 2})
+
+
+@query("m04_first_plain_rounds", boost_sql(FIRST_PLAIN))
+def m04_first_plain(spark, sf):
+    """Counts, cuts, gains, leaf values and the loss after each of the first rounds, by aggregation over all rows."""
+    return _first_rounds(spark, sf, FIRST_PLAIN)
+
+
+@query("m04_first_drawn_rounds", boost_sql(FIRST_DRAWN))
+def m04_first_drawn(spark, sf):
+    """The same with drawn rows and features, weighted classes and a ridge."""
+    return _first_rounds(spark, sf, FIRST_DRAWN)
+
+
 @query("m04_boosted_trees")
 def m04(spark, sf):
-    return _one_model(spark, sf, "boosted", trees=5, depth=3)
+    return _per_domain(spark, sf, ["boosted", "sampled"])
 
 
 @query("m05_balanced_logistic")
@@ -162,10 +285,14 @@ def m05(spark, sf):
     return _one_model(spark, sf, "linear")
 
 
+SUITE = ["bagged", "extra", "boosted", "sampled"]
+
+
 @query("m06_stacking")
 def m06(spark, sf):
+    """The stack of four kinds of trees at full size, five grouped folds, all over one table of bins."""
     split = held_out(spark, sf)
-    model = mo.fit_stack(split.where("split = 'train'"), FEATURES, ["forest", "linear"], folds=2, **SMALL)
+    model = mo.fit_stack(split.where("split = 'train'"), FEATURES, SUITE)
     return metric_rows(ev.binary_metrics(model.predict(split.where("split = 'test'")), score="prediction"))
 
 
@@ -173,7 +300,6 @@ def m06(spark, sf):
 def m07(spark, sf):
     from tailfield.operators.fits import fit_quality
     from tailfield.operators.stats import top_categories
-    from tailfield.sources.tables import stack
     df = basin_pixels(spark, sf).where("domain = 'pf'").withColumn("basin", F.coalesce("Main-Basin", F.lit("missing")))
     groups = ["all"] + [r["basin"] for r in top_categories(df, "basin", 5).collect()]
     parts = []
@@ -188,8 +314,12 @@ def m07(spark, sf):
 
 @query("m08_domain_suite")
 def m08(spark, sf):
-    out = mo.fit_domain(frame(spark, sf), "d_u", "pf", FEATURES, ["linear", "forest"], **SMALL)
-    return metric_rows(out["metrics"].withColumn("best", F.lit(out["best"])).withColumn("n_features", F.lit(len(out["features"]))))
+    """Four kinds of trees at full size for each domain, the best refitted."""
+    parts = []
+    for domain in ("pf", "npf"):
+        out = mo.fit_domain(frame(spark, sf), "d_u", domain, FEATURES, SUITE)
+        parts.append(out["metrics"].withColumns({"domain": F.lit(domain), "best": F.lit(out["best"]), "n_features": F.lit(len(out["features"]))}))
+    return metric_rows(stack(parts))
 
 
 @query("m09_wall_to_wall_scores")
