@@ -447,7 +447,7 @@ def m18(spark, sf):
 def m19(spark, sf):
     split = held_out(spark, sf)
     variants = {"all": FEATURES, "without_soil": [f for f in FEATURES if f not in ("soc", "vwc35")]}
-    return metric_rows(mo.ablation(split, variants, lambda rows, feats: mo.fit_model(rows, feats, "linear")))
+    return metric_rows(mo.ablation(split, variants, lambda rows, feats: mo.fit_model(rows, feats, "extra")))
 
 
 @query("m20_buffer_sweep")
