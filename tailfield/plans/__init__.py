@@ -4,7 +4,7 @@ import importlib
 
 MODULES = (
     "source_queries", "label_queries", "grid_queries", "spatial_queries", "stat_queries", "profile_queries",
-    "sampling_queries", "model_queries", "window_queries", "jobs",
+    "sampling_queries", "model_queries", "effect_queries", "window_queries", "jobs",
 )
 
 
