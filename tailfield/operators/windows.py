@@ -281,3 +281,21 @@ def window_with_both(lakes: DataFrame, slumps: DataFrame, bounds: tuple[float, f
     return best.where("ix IS NOT NULL").select(
         (x0 - xpad).alias("xmin"), (x0 + width + xpad).alias("xmax"), (y0 - ypad).alias("ymin"), (y0 + height + ypad).alias("ymax"),
         "lakes", "slumps", "score")
+
+
+def crop_after_search(focus: DataFrame, points: DataFrame, extent: tuple[float, float, float, float], nudge: float, lift: float = 0.0) -> DataFrame:
+    """The found window moved a share ``nudge`` of the way to the centre of the points' bounds, ``lift`` of its height up, and kept within the extent.
+
+    ``focus`` has one row, as ``search_focus`` gives it, and no point beyond the extent counts; without any point
+    the window stays where it is, within the extent.
+    """
+    xmin, xmax, ymin, ymax = extent
+    inside = points.where(F.col("x").between(xmin, xmax) & F.col("y").between(ymin, ymax)).agg(
+        ((F.min("x") + F.max("x")) * 0.5).alias("_cx"), ((F.min("y") + F.max("y")) * 0.5).alias("_cy"))
+    rows = focus.withColumn("_cx", inside.select("_cx").scalar()).withColumn("_cy", inside.select("_cy").scalar())
+    dx = F.coalesce((F.col("_cx") - (F.col("xmin") + F.col("xmax")) * 0.5) * nudge, F.lit(0.0))
+    dy = F.coalesce((F.col("_cy") - (F.col("ymin") + F.col("ymax")) * 0.5) * nudge + (F.col("ymax") - F.col("ymin")) * lift, F.lit(0.0))
+    width, height = F.least(F.col("xmax") - F.col("xmin"), F.lit(xmax - xmin)), F.least(F.col("ymax") - F.col("ymin"), F.lit(ymax - ymin))
+    x = F.least(F.greatest(F.col("xmin") + dx, F.lit(float(xmin))), F.lit(float(xmax)) - width)
+    y = F.least(F.greatest(F.col("ymin") + dy, F.lit(float(ymin))), F.lit(float(ymax)) - height)
+    return rows.select(x.alias("xmin"), (x + width).alias("xmax"), y.alias("ymin"), (y + height).alias("ymax"), "score")

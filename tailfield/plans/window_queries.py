@@ -170,3 +170,47 @@ def z06(spark, sf):
     b = sq.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     out = wi.window_with_both(sq.where("kind = 'lake'"), sq.where("kind = 'slump'"), tuple(b), width=9000.0, height=12000.0, step=2000.0)
     return rounded(out)
+
+
+# Share of the way to the points' centre, share of the height upwards, and bonus of a crossing line, per kind.
+CROPS = {"lake": (0.10, 0.0, 6.0), "slump": (0.25, 0.18, 0.0)}
+SHARE = 0.28
+
+
+def _crop_sql(kind: str) -> str:
+    nudge, lift, bonus = CROPS[kind]
+    slab = "least(({a}lo - {p}1) / nullif({p}2 - {p}1, 0), ({a}hi - {p}1) / nullif({p}2 - {p}1, 0))"
+    t0 = "greatest(0, " + ", ".join(f"coalesce({slab.format(a=a, p=p)}, 0)" for a, p in (("bx", "x"), ("by", "y"))) + ")"
+    t1 = "least(1, " + ", ".join(f"coalesce({slab.format(a=a, p=p).replace('least(', 'greatest(')}, 1)" for a, p in (("bx", "x"), ("by", "y"))) + ")"
+    axis = lambda z, i, w: (f"SELECT {i}, least({z}max, {z}min + {i} * s{z} + {w}) - {w} AS b{z}lo, least({z}max, {z}min + {i} * s{z} + {w}) AS b{z}hi "
+                            f"FROM (SELECT *, unnest(range(0, CAST(greatest(0, ceil((greatest({z}min, {z}max - {w}) + s{z} * 0.5::DOUBLE - {z}min) / s{z})) AS BIGINT))) AS {i} FROM ex)")
+    return f"""WITH b0 AS (SELECT min(cx) AS xmin, max(cx) AS xmax, min(cy) AS ymin, max(cy) AS ymax FROM squares), b1 AS (SELECT *, (xmax - xmin) * {SHARE}::DOUBLE AS w, (ymax - ymin) * {SHARE}::DOUBLE AS h FROM b0),
+ ex AS (SELECT *, greatest(1500, 0.18::DOUBLE * w) AS sx, greatest(1500, 0.18::DOUBLE * h) AS sy FROM b1), pt AS (SELECT cx, cy FROM squares WHERE kind = '{kind}'),
+ ax AS ({axis('x', 'ix', 'w')}), ay AS ({axis('y', 'iy', 'h')}), bx AS (SELECT * FROM ax, ay),
+ ct AS (SELECT ix, iy, count(cx) AS n FROM bx LEFT JOIN pt ON cx BETWEEN bxlo AND bxhi AND cy BETWEEN bylo AND byhi GROUP BY ALL),
+ ht AS (SELECT DISTINCT ix, iy FROM bx, line_edges WHERE greatest(x1, x2) >= bxlo AND least(x1, x2) <= bxhi AND greatest(y1, y2) >= bylo AND least(y1, y2) <= byhi AND {t0} <= {t1}),
+ be AS (SELECT bx.*, n + CASE WHEN ht.ix IS NULL THEN 0 ELSE {bonus} END::DOUBLE AS score FROM bx JOIN ct USING (ix, iy) LEFT JOIN ht USING (ix, iy) ORDER BY score DESC, ix, iy LIMIT 1),
+ ce AS (SELECT (min(cx) + max(cx)) / 2 AS px, (min(cy) + max(cy)) / 2 AS py FROM pt),
+ mo AS (SELECT score, w, h, greatest(bxlo + {nudge}::DOUBLE * (px - (bxlo + bxhi) / 2), xmin) AS x0, greatest(bylo + {nudge}::DOUBLE * (py - (bylo + byhi) / 2) + {lift}::DOUBLE * h, ymin) AS y0, xmax, ymax FROM be, ce, ex),
+ cl AS (SELECT score, w, h, least(x0, xmax - w) AS x0, least(y0, ymax - h) AS y0 FROM mo)
+ SELECT '{kind}' AS kind, round(x0, 4) AS xmin, round(x0 + w, 4) AS xmax, round(y0, 4) AS ymin, round(y0 + h, 4) AS ymax, score FROM cl"""
+
+
+def _cropped(spark, sf, kind):
+    """Search over the extent of all squares, then the crop."""
+    nudge, lift, bonus = CROPS[kind]
+    sq = squares(spark, sf).select("kind", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    extent = tuple(float(v) for v in sq.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first())
+    points = sq.where(F.col("kind") == kind)
+    focus = wi.search_focus(points, edges_of(line_vertices(spark, sf)), extent, SHARE, bonus)
+    return rounded(wi.crop_after_search(focus, points, extent, nudge, lift).select(F.lit(kind).alias("kind"), "*"), 4)
+
+
+@query("z05_lake_crop", _crop_sql("lake"))
+def z05_lake(spark, sf):
+    return _cropped(spark, sf, "lake")
+
+
+@query("z05_slump_crop", _crop_sql("slump"))
+def z05_slump(spark, sf):
+    return _cropped(spark, sf, "slump")
