@@ -10,6 +10,10 @@ neighbour, however far it is, and each step is an equi-join.
 Query points are reduced to distinct positions first, so that a position shared by
 many rows is solved once; references at one position are reduced to the k of them
 that can appear in any answer.
+
+``k_nearest_rows`` pairs a table with itself. Its rows move once, to blocks of tiles with
+a margin, where Arrow batches are searched; only positions whose surroundings hold fewer
+than k rows, and blocks with very many rows, take the general way.
 """
 
 from __future__ import annotations
@@ -18,12 +22,20 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tailfield.session import materialise
 
 STEP = 2
+BLOCK = 32  # tiles along a side of a block
+AROUND = 2  # tiles on each side of a tile that must hold k rows
+BLOCK_ROWS = 100_000  # with its margin; denser blocks take the general way
+PAIRS = 1 << 21  # distances held at once
 
 
 def candidate_tiles(queries: DataFrame, refs: DataFrame, dims: int, levels: int, size: float, k: int = 1,
@@ -143,3 +155,102 @@ def nearest(
     order = Window.partitionBy(*key).orderBy("d2", tie)
     return matched.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         *key, *payload, "d2", "rank")
+
+
+def block_neighbours(x: np.ndarray, y: np.ndarray, wanted: np.ndarray, k: int, tile: float, reach: float):
+    """The k nearest of the points for each of the ``wanted`` ones, nearer first, then by place: yields (wanted, found, squared distance).
+
+    Each of them has k points within ``reach``. Three by three tiles are searched at once, with a margin of two tiles first.
+    """
+    if not len(wanted):
+        return
+    square = np.floor(np.stack([x[wanted], y[wanted]]) / (3 * tile))
+    order = np.lexsort(square)
+    wanted, square = wanted[order], square[:, order]
+    starts = np.flatnonzero(np.append(True, (square[:, 1:] != square[:, :-1]).any(axis=0)))
+    for a, b in zip(starts, np.append(starts[1:], len(wanted)), strict=True):
+        left = wanted[a:b]
+        for margin in (min(2 * tile, reach), reach):
+            low_x, high_x, low_y, high_y = x[left].min() - margin, x[left].max() + margin, y[left].min() - margin, y[left].max() + margin
+            near = np.flatnonzero((x >= low_x) & (x <= high_x) & (y >= low_y) & (y <= high_y))
+            if len(near) < k:
+                continue
+            later = []
+            step = max(1, PAIRS // len(near))
+            for c in range(0, len(left), step):
+                some = left[c:c + step]
+                dx, dy = x[some, None] - x[near], y[some, None] - y[near]
+                d2 = dx * dx + dy * dy
+                first = np.argsort(d2, axis=1, kind="stable")[:, :k]
+                d2 = np.take_along_axis(d2, first, 1)
+                done = (d2[:, -1] < margin * margin) | (margin == reach)
+                later.append(some[~done])
+                yield some[done], near[first[done]], d2[done]
+            left = np.concatenate(later)
+            if not len(left):
+                break
+
+
+def k_nearest_rows(rows: DataFrame, *, key: list[str], x: str, y: str, tie: str, k: int, tile: float, payload: list[str]) -> DataFrame:
+    """The k nearest rows of every distinct position of ``rows``: ``key`` (the position), ``payload``, ``d2`` and ``rank``.
+
+    ``x`` and ``y`` are the coordinates, ``tie`` a column of text that orders equal distances.
+    """
+    reach = (AROUND + 1) * tile * math.sqrt(2.0) * (1 + 1e-9)
+
+    def block(c: Column) -> Column:
+        return F.floor(c / F.lit(BLOCK * tile))
+
+    def blocks(low: Column, high: Column) -> Column:
+        return F.sequence(block(low), block(high))
+
+    leaves = materialise(rows.groupBy(F.floor(F.col(x) / tile).alias("_tx"), F.floor(F.col(y) / tile).alias("_ty")).agg(F.count("*").alias("_n")))
+    around = leaves.withColumn("_n", F.least("_n", F.lit(k)))
+    for t, other in (("_tx", "_ty"), ("_ty", "_tx")):
+        spread = F.explode(F.sequence(F.col(t) - AROUND, F.col(t) + AROUND)).alias(t)
+        around = around.select(spread, other, "_n").groupBy("_tx", "_ty").agg(F.sum("_n").alias("_n"))
+    sparse = leaves.select("_tx", "_ty").join(around.where(F.col("_n") < k), ["_tx", "_ty"]).select("_tx", "_ty")
+    margin = math.ceil(reach / tile)
+    in_blocks = [F.explode(F.sequence(F.floor((F.col(t) - margin) / BLOCK), F.floor((F.col(t) + margin) / BLOCK))) for t in ("_tx", "_ty")]
+    dense = leaves.withColumn("_bx", in_blocks[0]).withColumn("_by", in_blocks[1]).groupBy("_bx", "_by").agg(F.sum("_n").alias("_n")).where(
+        F.col("_n") > BLOCK_ROWS).select("_bx", "_by")
+    crowded = leaves.select("_tx", "_ty", F.floor(F.col("_tx") / BLOCK).alias("_bx"), F.floor(F.col("_ty") / BLOCK).alias("_by")).join(
+        dense, ["_bx", "_by"]).select("_tx", "_ty")
+    hard = materialise(sparse.unionByName(crowded).distinct())
+    some_hard, some_dense = not hard.isEmpty(), not dense.isEmpty()
+
+    placed = rows.select(x, y, tie, *[c for c in payload if c not in (x, y, tie)])
+    lone = placed.withColumn("_tx", F.floor(F.col(x) / tile)).withColumn("_ty", F.floor(F.col(y) / tile))
+    easy = lone.join(hard.withColumn("_h", F.lit(True)), ["_tx", "_ty"], "left") if some_hard else lone.withColumn("_h", F.lit(None).cast("boolean"))
+    held = easy.drop("_tx", "_ty").withColumn("_bx", F.explode(blocks(F.col(x) - reach, F.col(x) + reach))).withColumn(
+        "_by", F.explode(blocks(F.col(y) - reach, F.col(y) + reach)))
+    if some_dense:
+        held = held.join(dense, ["_bx", "_by"], "left_anti")
+    at = Window.partitionBy("_bx", "_by", x, y).orderBy(tie)
+    # one exchange: the window and the groups keep the partitions of the blocks
+    held = held.repartition("_bx", "_by").withColumn("_o", F.row_number().over(at)).where(F.col("_o") <= k).withColumn(
+        "_ask", (F.col("_o") == 1) & F.col("_h").isNull() & (block(F.col(x)) == F.col("_bx")) & (block(F.col(y)) == F.col("_by"))).drop("_o", "_h")
+    given = {f.name: f for f in rows.schema.fields}
+    schema = StructType([StructField(key[0], DoubleType()), StructField(key[1], DoubleType()), *[given[c] for c in payload],
+                         StructField("d2", DoubleType()), StructField("rank", IntegerType())])
+
+    def search(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group[tie]))
+        px, py = group[x].to_numpy(), group[y].to_numpy()
+        asked, found, d2 = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for a, b, c in block_neighbours(px, py, np.flatnonzero(group["_ask"].to_numpy(zero_copy_only=False)), k, tile, reach):
+            asked.append(a), found.append(b.ravel()), d2.append(c.ravel())
+        asked, found = np.concatenate(asked), np.concatenate(found)
+        who = np.repeat(asked, k)
+        taken = group.select(payload).take(pa.array(found))
+        return pa.table([pa.array(px[who]), pa.array(py[who]), *taken.columns, pa.array(np.concatenate(d2)),
+                         pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(asked)))], names=schema.names)
+
+    out = held.groupBy("_bx", "_by").applyInArrow(search, schema)
+    if not some_hard:
+        return out
+    asked = lone.join(hard, ["_tx", "_ty"]).select(F.col(x).alias(key[0]), F.col(y).alias(key[1]))
+    dx, dy = F.col(key[0]) - F.col(x), F.col(key[1]) - F.col(y)
+    rest = nearest(asked, placed, key=key, query_coords=[F.col(c) for c in key], ref_coords=[F.col(x), F.col(y)], payload=list(dict.fromkeys([x, y, tie, *payload])),
+                   distance2=dx * dx + dy * dy, tile=tile, k=k, tie=tie, rank_tie=[x, y])
+    return out.unionByName(rest.select(*schema.names))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tailfield.constants import EARTH_RADIUS_KM
 from tailfield.functions.geo import haversine_km, segment_projection, unit_sphere_km
-from tailfield.operators.nearest import nearest
+from tailfield.operators.nearest import k_nearest_rows, nearest
 from tailfield.session import materialise
 
 
@@ -224,14 +224,12 @@ def best_cover(windows: DataFrame, tiles: DataFrame, *, key: str, cell: float) -
 
 
 def k_neighbours(points: DataFrame, *, k: int = 21, x="easting", y="northing", id_col="pixel_id", values: list[str] = (),
-                 tile: float = 408.0) -> DataFrame:
+                 tile: float = 408.0, identifiers: bool = True) -> DataFrame:
     """The k nearest rows of every distinct position (itself included), ties by identifier."""
     refs = points.select(F.col(x).alias("_rx"), F.col(y).alias("_ry"), F.col(id_col).alias("_rid"), *values).dropna(
         subset=["_rx", "_ry"])
-    dx, dy = F.col(x) - F.col("_rx"), F.col(y) - F.col("_ry")
-    d2 = dx * dx + dy * dy
-    return nearest(points, refs, key=[x, y], query_coords=[F.col(x), F.col(y)], ref_coords=[F.col("_rx"), F.col("_ry")],
-                   payload=["_rx", "_ry", "_rid", *values], distance2=d2, tile=tile, k=k, tie="_rid", rank_tie=["_rx", "_ry"])
+    payload = ["_rx", "_ry", *(["_rid"] if identifiers else []), *values]
+    return k_nearest_rows(refs, key=[x, y], x="_rx", y="_ry", tie="_rid", k=k, tile=tile, payload=payload)
 
 
 def local_contrast(points: DataFrame, variables: list[str], *, k: int = 21, x="easting", y="northing", id_col="pixel_id",
@@ -241,7 +239,7 @@ def local_contrast(points: DataFrame, variables: list[str], *, k: int = 21, x="e
     The neighbours of a position are summed once; each row then shifts the sums by its
     own value. Needs five valid neighbours and a well-conditioned plane for the gradient.
     """
-    nb = k_neighbours(points, k=k, x=x, y=y, id_col=id_col, values=variables, tile=tile)
+    nb = k_neighbours(points, k=k, x=x, y=y, id_col=id_col, values=variables, tile=tile, identifiers=False)
     dx, dy = F.col("_rx") - F.col(x), F.col("_ry") - F.col(y)
     sums = []
     for v in variables:
