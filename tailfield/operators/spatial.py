@@ -10,6 +10,8 @@ from tailfield.functions.geo import haversine_km, segment_projection, unit_spher
 from tailfield.operators.nearest import k_nearest_rows, nearest
 from tailfield.session import materialise
 
+WINDOWS_A_TASK = 5_000  # in best_cover
+
 
 def nearest_point(points: DataFrame, refs: DataFrame, *, x="easting", y="northing", rx="x", ry="y",
                   tile: float = 2048.0, out: str = "boundary_km") -> DataFrame:
@@ -199,7 +201,8 @@ def count_in_boxes(points: DataFrame, boxes: DataFrame, aggregates: list[Column]
 def best_cover(windows: DataFrame, tiles: DataFrame, *, key: str, cell: float) -> DataFrame:
     """Per window the covering box with the largest overlap share, then holding the centre, then smaller.
 
-    Both sides carry xmin..ymax; windows and boxes meet on shared grid cells of size ``cell``.
+    Both sides carry xmin..ymax; windows and boxes meet on shared grid cells of size ``cell``. A pair counts in the cell
+    that holds the lower left corner of its overlap, so pairs are neither held nor moved to find those met twice.
     """
     def spread(df: DataFrame) -> DataFrame:
         return df.withColumn("_tx", F.explode(F.sequence(F.floor(F.col("xmin") / cell), F.floor(F.col("xmax") / cell)))).withColumn(
@@ -207,8 +210,11 @@ def best_cover(windows: DataFrame, tiles: DataFrame, *, key: str, cell: float) -
 
     t = tiles.select("tile", *[F.col(c).alias(f"t_{c}") for c in ("xmin", "ymin", "xmax", "ymax")],
                      "xmin", "ymin", "xmax", "ymax")
-    met = spread(windows).select(key, "xmin", "ymin", "xmax", "ymax", "_tx", "_ty").join(
-        spread(t).drop("xmin", "ymin", "xmax", "ymax"), ["_tx", "_ty"]).drop("_tx", "_ty").distinct()
+    # adaptive execution would size the tasks by the rows before they are paired
+    tasks = max(2 * windows.sparkSession.sparkContext.defaultParallelism, -(-windows.count() // WINDOWS_A_TASK))
+    met = spread(windows).select(key, "xmin", "ymin", "xmax", "ymax", "_tx", "_ty").repartition(tasks, "_tx", "_ty").join(
+        spread(t).drop("xmin", "ymin", "xmax", "ymax").repartition(tasks, "_tx", "_ty"), ["_tx", "_ty"]).where(
+        (F.floor(F.greatest("xmin", "t_xmin") / cell) == F.col("_tx")) & (F.floor(F.greatest("ymin", "t_ymin") / cell) == F.col("_ty")))
     w = F.least("xmax", "t_xmax") - F.greatest("xmin", "t_xmin")
     h = F.least("ymax", "t_ymax") - F.greatest("ymin", "t_ymin")
     area = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
@@ -216,9 +222,9 @@ def best_cover(windows: DataFrame, tiles: DataFrame, *, key: str, cell: float) -
     centre = cx.between(F.col("t_xmin"), F.col("t_xmax")) & cy.between(F.col("t_ymin"), F.col("t_ymax"))
     tile_area = (F.col("t_xmax") - F.col("t_xmin")) * (F.col("t_ymax") - F.col("t_ymin"))
     scored = met.where((w > 0) & (h > 0) & (area > 0)).withColumn("cover", w * h / area)
-    best = scored.groupBy(key).agg(
-        F.max_by("tile", F.struct("cover", centre.cast("int").alias("c"), (-tile_area).alias("a"), F.col("tile"))).alias("tile"),
-        F.max("cover").alias("cover"))
+    # the order of the fields is that of the choice; the best of a cell is found where its pairs are made
+    choice = F.max(F.struct("cover", centre.cast("int").alias("c"), (-tile_area).alias("a"), F.col("tile"))).alias("_b")
+    best = scored.groupBy("_tx", "_ty", key).agg(choice).groupBy(key).agg(F.max("_b").alias("_b")).select(key, "_b.tile", "_b.cover")
     return windows.join(best, key, "left").withColumn("tile", F.coalesce("tile", F.lit(""))).withColumn(
         "cover", F.coalesce("cover", F.lit(0.0)))
 

@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from tailfield.operators import effects as ef
+from tailfield.operators import grid as gr
 from tailfield.operators import nearest as ne
 from tailfield.operators import spatial as sp
 
@@ -38,3 +40,23 @@ def test_pairs_of_neighbours_are_not_moved(spark):
     text = plan(sp.k_neighbours(spots(spark, grid), k=5, tile=20.0))
     after = text[:text.index("FlatMapGroupsInArrow")]
     assert "Exchange" not in after and "Window" not in after
+
+
+def test_a_pair_of_boxes_is_not_moved(spark):
+    """The best box of a window is chosen where pairs are made: no pair is held to find those met twice."""
+    lo, size = RNG.uniform(-500, 500, (2, 60)), RNG.uniform(5, 400, (2, 60))
+    boxes = [(f"t{i:02d}", *map(float, (*lo[:, i], *(lo + size)[:, i]))) for i in range(60)]
+    names = "xmin double, ymin double, xmax double, ymax double"
+    best = sp.best_cover(spark.createDataFrame(boxes[:30], f"w string, {names}"), spark.createDataFrame(boxes, f"tile string, {names}"), key="w", cell=150.0)
+    moved = [line for line in plan(best).splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("xmin" in line for line in moved)
+    for r in best.collect():
+        x0, y0, x1, y1 = boxes[int(r["w"][1:])][1:]
+
+        def rank(box):
+            w, h = min(x1, box[3]) - max(x0, box[1]), min(y1, box[4]) - max(y0, box[2])
+            centre = box[1] <= (x0 + x1) / 2 <= box[3] and box[2] <= (y0 + y1) / 2 <= box[4]
+            return (w > 0 and h > 0) * w * h / ((x1 - x0) * (y1 - y0)), centre, -(box[3] - box[1]) * (box[4] - box[2]), box[0]
+
+        want = max(boxes, key=rank)
+        assert (r["tile"], r["cover"]) == (want[0], pytest.approx(rank(want)[0]))
