@@ -60,3 +60,17 @@ def test_a_pair_of_boxes_is_not_moved(spark):
 
         want = max(boxes, key=rank)
         assert (r["tile"], r["cover"]) == (want[0], pytest.approx(rank(want)[0]))
+
+
+def test_rows_of_effect_curves_are_not_dealt_by_group(spark):
+    """Groups are few, so rows dealt by group and feature would meet in one task."""
+    rows = [(f"g{i % 2}", float(v), float(w)) for i, (v, w) in enumerate(RNG.normal(size=(200, 2)))]
+    seen = []
+
+    def predict(df):
+        seen.append(plan(df))
+        return df.withColumn("prediction", df["a"] + df["b"])
+
+    curves = ef.effect_curves(spark.createDataFrame(rows, "g string, a double, b double"), ["g"], ["a", "b"], predict, 4)
+    assert curves.count() == 16
+    assert len(seen) == 2 and not any("SortMergeJoin" in text or "Exchange hashpartitioning" in text for text in seen)
