@@ -74,3 +74,25 @@ def test_rows_of_effect_curves_are_not_dealt_by_group(spark):
     curves = ef.effect_curves(spark.createDataFrame(rows, "g string, a double, b double"), ["g"], ["a", "b"], predict, 4)
     assert curves.count() == 16
     assert len(seen) == 2 and not any("SortMergeJoin" in text or "Exchange hashpartitioning" in text for text in seen)
+
+
+@pytest.mark.parametrize("edge", ["nearest", "zero"])
+def test_window_sums_move_cells_not_copies(spark, edge):
+    """Blocks and their margins against a padded array, with windows that reach over several edges."""
+    nrows, ncols = 300, 21
+    cells = {(int(r), int(c)): float(v) for r, c, v in zip(RNG.integers(0, nrows, 40), RNG.integers(0, ncols, 40), RNG.normal(size=40), strict=True)}
+    rw, cw = [0.1, 0.2, 0.4, 0.2, 0.1], [1.0, 2.0, 3.0, 2.0, 1.0, 1.0, 1.0]
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "row long, col long, v double")
+    out = gr.separable_sum(df, ["v"], nrows, ncols, rw, cw, edge)
+    assert plan(out).count("Exchange") == 1
+    table, mask = np.zeros((nrows, ncols)), np.zeros((nrows, ncols))
+    for k, v in cells.items():
+        table[k], mask[k] = v, 1
+    padded = np.pad(table, ((2, 2), (3, 3)), mode="edge" if edge == "nearest" else "constant")
+    near = np.pad(mask, ((2, 2), (3, 3)))
+    views = [np.lib.stride_tricks.sliding_window_view(a, (5, 7)) for a in (padded, near)]
+    want, reached = np.einsum("ijkl,k,l->ij", views[0], rw, cw), views[1].any(axis=(2, 3))
+    got = {(r["row"], r["col"]): r["v"] for r in out.collect()}
+    assert set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(reached)), strict=True))
+    for k, v in got.items():
+        assert v == pytest.approx(want[k], abs=1e-12)
