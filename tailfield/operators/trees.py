@@ -18,11 +18,13 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tailfield.operators.ordering import running_totals
 from tailfield.operators.sampling import smallest_keys
 from tailfield.session import scratch_dir
 
@@ -40,6 +42,34 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sorted_quantiles(df: DataFrame, features: list[str], shares: list[float]) -> dict[str, list[float] | None]:
+    """What ``F.percentile`` gives, for any number of rows: distinct values are counted and ordered by range, and only those at the wanted ranks come back."""
+    values = df.select(*[F.col(f).cast("double").alias(f) for f in features]).unpivot([], features, "feature", "value").where(F.col("value").isNotNull())
+    counts = values.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    totals = running_totals(counts, ["value"], {"end": "n"}, ["feature"])
+    sizes = {r["feature"]: r["n"] for r in totals.groupBy("feature").agg(F.max("end").alias("n")).collect()}
+    places = {f: np.array(shares) * (n - 1) for f, n in sizes.items()}
+    ranks = {f: np.unique(np.concatenate([np.floor(p), np.ceil(p)])).astype(np.int64) for f, p in places.items()}
+
+    @F.arrow_udf("boolean")
+    def wanted(feature: pa.Array, end: pa.Array, n: pa.Array) -> pa.Array:
+        name, last = np.asarray(feature.to_pylist(), object), end.to_numpy(zero_copy_only=False)
+        first, out = last - n.to_numpy(zero_copy_only=False), np.zeros(len(last), bool)
+        for f, r in ranks.items():
+            mine = name == f
+            out[mine] = np.searchsorted(r, first[mine]) < np.searchsorted(r, last[mine])
+        return pa.array(out)
+
+    held = totals.where(wanted("feature", "end", "n")).select("feature", "value", "end").toArrow().sort_by([("feature", "ascending"), ("end", "ascending")]) if sizes else None
+    out: dict[str, list[float] | None] = dict.fromkeys(features)
+    for f, at in places.items():
+        mine = held.filter(pc.equal(held["feature"], f))
+        value, end, low, high = mine["value"].to_numpy(), mine["end"].to_numpy(), np.floor(at), np.ceil(at)
+        below, above = (value[np.searchsorted(end, r, side="right")] for r in (low, high))
+        out[f] = np.where(below == above, below, (high - at) * below + (at - low) * above).tolist()
+    return out
+
+
 class Bins:
     """Cuts and medians of each feature; ``apply`` adds the columns ``b0``, ``b1``, … with the bin of each feature."""
 
@@ -48,9 +78,15 @@ class Bins:
 
     @classmethod
     def fit(cls, df: DataFrame, features: list[str], bins: int = BINS) -> Bins:
-        """Distinct rounded quantiles and medians of the rows of a fit, which are bounded; features without a value are left out."""
-        shares = F.array(*[F.lit(x) for x in (0.5, *(i / bins for i in range(1, bins)))])
-        found = df.agg(*[F.percentile(F.col(f).cast("double"), shares).alias(f) for f in features]).first()
+        """Distinct rounded quantiles and medians of the rows of a fit; features without a value are left out.
+
+        One task holds the distinct values of at most ``FIT_ROWS`` rows; more are ordered by range.
+        """
+        shares = [0.5, *(i / bins for i in range(1, bins))]
+        if df.count() > FIT_ROWS:
+            found = sorted_quantiles(df, features, shares)
+        else:
+            found = df.agg(*[F.percentile(F.col(f).cast("double"), F.array(*[F.lit(x) for x in shares])).alias(f) for f in features]).first()
         kept = [f for f in features if found[f] is not None]
         if not kept:
             raise ValueError(f"no values in {', '.join(features)}")
@@ -153,7 +189,8 @@ def grow(rows: DataFrame, bins: Bins, weights: tuple[float, float], trees: int =
     state = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.lit(1).cast("long"))
     state, done = _stored(state), []
     for level in range(min(depth, DEEPEST) + 1):
-        nodes = with_cuts(node_ranges(state, bins), bins)
+        # stored: their size is known, so rows are not dealt by the few nodes of the first levels
+        nodes = _stored(with_cuts(node_ranges(state, bins), bins))
         mixed = (F.col("n") >= 2 * leaf_rows) & (F.col("positives") > 0) & (F.col("positives") < F.col("n"))
         opening = F.lit(level < min(depth, DEEPEST)) & mixed & F.coalesce(*[F.col(f"t_{c}") for c in bins.columns]).isNotNull()
         done.append(_stored(best_cuts(nodes, side_sums(state, nodes.where(opening), bins), bins, weights, tried, leaf_rows)))

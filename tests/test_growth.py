@@ -7,6 +7,7 @@ from tailfield.operators import effects as ef
 from tailfield.operators import grid as gr
 from tailfield.operators import nearest as ne
 from tailfield.operators import spatial as sp
+from tailfield.operators import trees as tr
 
 RNG = np.random.default_rng(11)
 
@@ -96,3 +97,15 @@ def test_window_sums_move_cells_not_copies(spark, edge):
     assert set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(reached)), strict=True))
     for k, v in got.items():
         assert v == pytest.approx(want[k], abs=1e-12)
+
+
+def test_bins_of_many_rows_need_no_single_task(spark, monkeypatch):
+    """The same edges and medians as from one task's list of values, without such a list."""
+    rows = [(float(v) if i % 7 else None, float(i % 5), float(w), None) for i, (v, w) in enumerate(RNG.normal(size=(900, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    want = tr.Bins.fit(df, ["a", "b", "c", "d"])
+    monkeypatch.setattr(tr, "FIT_ROWS", 100)
+    monkeypatch.setattr(tr.F, "percentile", None)
+    got = tr.Bins.fit(df, ["a", "b", "c", "d"])
+    assert got.features == want.features == ["a", "b", "c"]
+    assert got.edges == want.edges and got.medians == want.medians
