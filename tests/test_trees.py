@@ -78,3 +78,37 @@ def test_edges(spark, table):
     with pytest.raises(ValueError, match="no values"):
         tr.Bins.fit(table.withColumn("a", F.lit(None).cast("double")), ["a"])
     assert tr.Bins.fit(table.withColumn("a", F.lit(None).cast("double")), ["a", "b"]).features == ["b"]
+
+
+@pytest.mark.parametrize(("features", "last"), [(3, 200), (11, 200), (5, 900)])
+def test_packed_walk_equals_plain_steps(spark, features, last):
+    """Bins of all rows in one word, in several, and of more than 8 bits."""
+    rng = np.random.default_rng(features + last)
+    depth, trees = 7, 4
+    inner = 2 ** depth - 1
+    feature = np.tile(np.append(rng.integers(0, features, inner), np.full(inner + 1, -1)), trees).astype(np.int16)
+    cut = np.where(feature < 0, 0, rng.integers(1, last + 1, len(feature))).astype(np.int16)
+    size = 2 * inner + 1
+    place = np.arange(len(feature))
+    left = np.where(feature < 0, 0, place // size * size + 2 * (place % size) + 1).astype(np.int32)
+    value, roots = rng.random(len(feature)), (np.arange(trees) * size).astype(np.int32)
+    bins = rng.integers(0, last + 1, (500, features)).astype(np.int16)
+    want = {}
+    for i, row in enumerate(bins):
+        total = 0.0
+        for at in roots:
+            while feature[at] >= 0:
+                at = left[at] + (row[feature[at]] >= cut[at])
+            total += value[at]
+        want[i] = float(total)
+    shared = spark.sparkContext.broadcast(tr.walkable(feature, cut, left, value, roots))
+    columns = [f"c{i}" for i in range(features)]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(bins.tolist())], "id int, " + ", ".join(f"{c} short" for c in columns))
+    assert {r["id"]: r["s"] for r in df.select("id", tr.leaf_sum(shared, columns).alias("s")).collect()} == want
+
+
+def test_metrics_score_each_row_once(table):
+    """A filter on the score is not answered by scoring the rows a second time."""
+    model = tr.ExtraTrees.fit(table, FEATURES, trees=3, depth=3)
+    scored = model.predict(table).where("label IS NOT NULL AND prediction IS NOT NULL").groupBy("prediction").count()
+    assert str(scored._jdf.queryExecution().optimizedPlan()).count("walk(") == 1
