@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailfield.operators.ordering import global_row_number
+from tailfield.session import materialise
 
 HEX = 4
 BUCKETS = 16**HEX
@@ -148,21 +149,53 @@ def three_way_split(df: DataFrame, *, calibration: float = 0.2, test: float = 0.
 def group_folds(df: DataFrame, folds: int, block: str = "block_id", out: str = "fold") -> DataFrame:
     """Fold per block: blocks by falling size, each to the lightest fold so far.
 
-    Runs over the table of blocks, whose number is bounded by the area, not by the rows.
+    Blocks of one size fill the folds level by level: with ``load = q * size + r`` a fold takes one block at each level from
+    its ``q`` on, and within a level folds follow by ``r``, then by number. So only the different sizes, with the loads before
+    each, are gone through one after the other, and a block's fold follows from its place among those of its size.
     """
-    sizes = df.where(F.col(block).isNotNull()).groupBy(block).agg(F.count("*").alias("_n"))
-    listed = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("s"), F.col(block).alias("b")))).alias("items"))
-    k = F.greatest(F.lit(2), F.least(F.lit(folds), F.size("items")))
-    start = F.struct(F.transform(F.sequence(F.lit(1), k), lambda _: F.lit(0).cast("long")).alias("loads"),
-                     F.array().cast("array<int>").alias("picks"))
+    sizes = materialise(df.where(F.col(block).isNotNull()).groupBy(block).agg(F.count("*").alias("_n")))
+    runs = sizes.groupBy("_n").agg(F.count("*").alias("_c"))
+    listed = runs.agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("s"), F.col("_c").alias("c")))).alias("items"), F.sum("_c").alias("_blocks"))
+    k = F.greatest(F.lit(2), F.least(F.lit(folds), F.coalesce("_blocks", F.lit(0)))).cast("int")
+    numbers = F.sequence(F.lit(0), k - 1)
+    no_load = F.transform(numbers, lambda _: F.lit(0).cast("long"))
+    start = F.struct(no_load.alias("loads"), F.array().cast("array<array<bigint>>").alias("before"))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast("long"), lambda x, y: x + y)
+
+    def filled(loads: Column, size: Column, place: Column) -> Column:
+        """For the block at ``place`` (from 0) of a run: its level ``v`` and the number ``t`` of blocks on lower levels."""
+        q = F.transform(loads, lambda v: F.floor(v / size).cast("long"))
+        # the levels at which another fold joins, with the blocks below each; the last one not beyond the place decides
+        joins = F.transform(q, lambda v: F.struct(total(F.transform(q, lambda o: F.greatest(v - o, F.lit(0)))).alias("t"), v.alias("v"), total(
+            F.transform(q, lambda o: (o <= v).cast("long"))).alias("w")))
+        last = F.array_max(F.filter(joins, lambda j: j["t"] <= place))
+        more = F.floor((place - last["t"]) / last["w"]).cast("long")
+        return F.struct((last["v"] + more).alias("v"), (last["t"] + more * last["w"]).alias("t"))
+
+    def on_level(loads: Column, size: Column, level: Column) -> Column:
+        """The folds that take a block at the level, in their order."""
+        ranked = F.zip_with(loads, numbers, lambda v, i: F.struct((v % size).alias("r"), i.alias("i"), F.floor(v / size).cast("long").alias("q")))
+        return F.transform(F.array_sort(F.filter(ranked, lambda x: x["q"] <= level)), lambda x: x["i"])
 
     def step(state: Column, item: Column) -> Column:
-        loads = state["loads"]
-        target = F.array_position(loads, F.array_min(loads)).cast("int")
-        new = F.transform(loads, lambda v, i: F.when(i == target - 1, v - item["s"]).otherwise(v))
-        return F.struct(new.alias("loads"), F.concat(state["picks"], F.array(target - 1)).alias("picks"))
-
-    picked = listed.select("items", F.aggregate("items", start, step).alias("st"))
-    pairs = picked.select(F.explode(F.arrays_zip("items", F.col("st.picks").alias("picks"))).alias("z"))
-    table = pairs.select(F.col("z.items.b").alias(block), F.col("z.picks").alias(out))
-    return df.join(table, block)
+        """The loads after a run: each fold has its blocks on the levels below the next one's, and on that level those before it."""
+        loads, size = state["loads"], -item["s"]
+        at = filled(loads, size, item["c"])
+        first = F.slice(on_level(loads, size, at["v"]), F.lit(1), (item["c"] - at["t"]).cast("int"))
+        new = F.zip_with(loads, numbers, lambda v, i: v + size * (F.greatest(at["v"] - F.floor(v / size).cast("long"), F.lit(0)) + F.array_contains(first, i).cast("long")))
+        return F.struct(new.alias("loads"), F.concat(state["before"], F.array(loads)).alias("before"))
+
+    # one row a size
+    gone = listed.select("items", k.alias("_k"), F.aggregate("items", start, step).alias("st"))
+    table = materialise(gone.select("_k", F.explode(F.arrays_zip("items", F.col("st.before").alias("before"))).alias("z")).select(
+        (-F.col("z.items.s")).alias("_n"), F.col("z.before").alias("_loads")))
+    ranked = global_row_number(sizes, [F.desc("_n"), block], "_rn")
+    firsts = ranked.groupBy("_n").agg(F.min("_rn").alias("_first"))
+    placed = ranked.join(F.broadcast(table.join(firsts, "_n")), "_n").withColumn("_place", F.col("_rn") - F.col("_first"))
+    k = F.size("_loads")
+    numbers = F.sequence(F.lit(0), k - 1)
+    at = placed.withColumn("_at", filled(F.col("_loads"), F.col("_n"), F.col("_place")))
+    found = at.select(block, F.get(on_level(F.col("_loads"), F.col("_n"), F.col("_at.v")), (F.col("_place") - F.col("_at.t")).cast("int")).alias(out))
+    return df.join(found, block)
