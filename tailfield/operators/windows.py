@@ -14,6 +14,7 @@ from tailfield.operators.ordering import exact_quantiles
 from tailfield.operators.relational import candidate_filter
 from tailfield.session import materialise, small_table
 
+COPIES_A_TASK = 1_000_000  # of cells, in box_statistics
 
 def hotspot() -> Column:
     """1 at or beyond the permafrost thresholds of either target."""
@@ -119,22 +120,27 @@ def windows_per_kind(df: DataFrame, kinds: list[str], *, window_km: float = 24.0
 def box_statistics(cells: DataFrame, radius: int, score: str, hot: str) -> DataFrame:
     """For every occupied (row, col) cell the counts and scores of the cells within ``radius`` rows and columns.
 
-    Rows are summed per cell first. One pass sends a cell to the 2r+1 columns around it; the
-    other slides along each column, tile by tile. The copies grow with the radius, not its square.
+    Rows are summed per cell first. Cells move once, to square blocks with a margin of the radius; there one pass sends a
+    cell to the 2r+1 columns around it and the other slides along each column. The copies grow with the radius, not its
+    square, and stay in their task; tasks follow the number of cells.
     """
     own = cells.groupBy("row", "col").agg(
         F.count("*").alias("n"), F.sum(hot).alias("h"), F.sum(score).alias("s"), F.count(score).alias("sn"), F.max(score).alias("m"))
-    reach = F.explode(F.sequence(F.col("col") - radius, F.col("col") + radius)).alias("col")
-    wide = own.select("row", reach, "n", "h", "s", "sn", "m").groupBy("row", "col").agg(
-        *[F.sum(c).alias(c) for c in ("n", "h", "s", "sn")], F.max("m").alias("m"))
-    # Tiles of rows with a halo on either side, so that no window sees more of a column than a tile and its halo.
-    tile = F.floor(F.col("row") / (4 * radius + 4))
-    edges = [F.floor((F.col("row") + k) / (4 * radius + 4)) for k in (-radius, 0, radius)]
-    tiled = wide.withColumn("_own", tile).withColumn("_tile", F.explode(F.array_distinct(F.array(*edges))))
-    w = Window.partitionBy("col", "_tile").orderBy("row").rangeBetween(-radius, radius)
-    slid = tiled.select("_own", "_tile", "row", "col", F.sum("n").over(w).alias("n_points"), F.sum("h").over(w).alias("n_hotspots"),
-                       (F.sum("s").over(w) / F.sum("sn").over(w)).alias("mean_score"), F.max("m").over(w).alias("max_score")).where("_own = _tile").drop("_own", "_tile")
-    return slid.join(own.select("row", "col"), ["row", "col"], "left_semi")
+    side = 4 * radius + 4
+
+    def blocks(c: str) -> Column:
+        return F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + k) / side) for k in (-radius, 0, radius)])))
+
+    # adaptive execution would size the tasks by the cells before they are copied
+    tasks = max(2 * cells.sparkSession.sparkContext.defaultParallelism, -(-own.count() * (2 * radius + 1) // COPIES_A_TASK))
+    held = own.withColumn("_tr", blocks("row")).withColumn("_tc", blocks("col")).repartition(tasks, "_tr", "_tc")
+    reach = F.explode(F.sequence(F.col("col") - radius, F.col("col") + radius)).alias("_c")
+    wide = held.select("*", reach).where(F.floor(F.col("_c") / side) == F.col("_tc")).groupBy("_tr", "_tc", "row", "_c").agg(
+        *[F.sum(c).alias(c) for c in ("n", "h", "s", "sn")], F.max("m").alias("m"), F.max(F.col("_c") == F.col("col")).alias("_here"))
+    w = Window.partitionBy("_tr", "_tc", "_c").orderBy("row").rangeBetween(-radius, radius)
+    slid = wide.select("_tr", "_here", "row", F.col("_c").alias("col"), F.sum("n").over(w).alias("n_points"), F.sum("h").over(w).alias("n_hotspots"),
+                       (F.sum("s").over(w) / F.sum("sn").over(w)).alias("mean_score"), F.max("m").over(w).alias("max_score"))
+    return slid.where(F.col("_here") & (F.floor(F.col("row") / side) == F.col("_tr"))).drop("_tr", "_here")
 
 
 class TooFewWindows(RuntimeError):
