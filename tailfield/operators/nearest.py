@@ -27,14 +27,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from tailfield.session import materialise
 
 STEP = 2
-BLOCK = 32  # tiles along a side of a block
+BLOCK = 64  # tiles along a side of a block
 AROUND = 2  # tiles on each side of a tile that must hold k rows
 BLOCK_ROWS = 100_000  # with its margin; denser blocks take the general way
+ROWS_A_TASK = 200_000  # in k_nearest_rows, before margins
 PAIRS = 1 << 21  # distances held at once
 
 
@@ -168,11 +169,14 @@ def block_neighbours(x: np.ndarray, y: np.ndarray, wanted: np.ndarray, k: int, t
     order = np.lexsort(square)
     wanted, square = wanted[order], square[:, order]
     starts = np.flatnonzero(np.append(True, (square[:, 1:] != square[:, :-1]).any(axis=0)))
+    by_y = np.argsort(y)
+    sorted_y = y[by_y]
     for a, b in zip(starts, np.append(starts[1:], len(wanted)), strict=True):
         left = wanted[a:b]
         for margin in (min(2 * tile, reach), reach):
             low_x, high_x, low_y, high_y = x[left].min() - margin, x[left].max() + margin, y[left].min() - margin, y[left].max() + margin
-            near = np.flatnonzero((x >= low_x) & (x <= high_x) & (y >= low_y) & (y <= high_y))
+            near = by_y[np.searchsorted(sorted_y, low_y):np.searchsorted(sorted_y, high_y, "right")]
+            near = np.sort(near[(x[near] >= low_x) & (x[near] <= high_x)])
             if len(near) < k:
                 continue
             later = []
@@ -191,10 +195,12 @@ def block_neighbours(x: np.ndarray, y: np.ndarray, wanted: np.ndarray, k: int, t
                 break
 
 
-def k_nearest_rows(rows: DataFrame, *, key: list[str], x: str, y: str, tie: str, k: int, tile: float, payload: list[str]) -> DataFrame:
+def k_nearest_rows(rows: DataFrame, *, key: list[str], x: str, y: str, tie: str, k: int, tile: float, payload: list[str],
+                   lists: bool = False) -> DataFrame:
     """The k nearest rows of every distinct position of ``rows``: ``key`` (the position), ``payload``, ``d2`` and ``rank``.
 
-    ``x`` and ``y`` are the coordinates, ``tie`` a column of text that orders equal distances.
+    ``x`` and ``y`` are the coordinates, ``tie`` a column of text that orders equal distances. With ``lists`` there is one row
+    per position, with the list ``near`` of (``payload``, ``d2``) by rank, so that nothing has to be grouped again.
     """
     reach = (AROUND + 1) * tile * math.sqrt(2.0) * (1 + 1e-9)
 
@@ -218,6 +224,9 @@ def k_nearest_rows(rows: DataFrame, *, key: list[str], x: str, y: str, tie: str,
         dense, ["_bx", "_by"]).select("_tx", "_ty")
     hard = materialise(sparse.unionByName(crowded).distinct())
     some_hard, some_dense = not hard.isEmpty(), not dense.isEmpty()
+    total = leaves.agg(F.sum("_n")).first()[0] or 0
+    # adaptive execution would size the tasks by the rows before they are searched
+    tasks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-total // ROWS_A_TASK))
 
     placed = rows.select(x, y, tie, *[c for c in payload if c not in (x, y, tie)])
     lone = placed.withColumn("_tx", F.floor(F.col(x) / tile)).withColumn("_ty", F.floor(F.col(y) / tile))
@@ -228,11 +237,12 @@ def k_nearest_rows(rows: DataFrame, *, key: list[str], x: str, y: str, tie: str,
         held = held.join(dense, ["_bx", "_by"], "left_anti")
     at = Window.partitionBy("_bx", "_by", x, y).orderBy(tie)
     # one exchange: the window and the groups keep the partitions of the blocks
-    held = held.repartition("_bx", "_by").withColumn("_o", F.row_number().over(at)).where(F.col("_o") <= k).withColumn(
+    held = held.repartition(tasks, "_bx", "_by").withColumn("_o", F.row_number().over(at)).where(F.col("_o") <= k).withColumn(
         "_ask", (F.col("_o") == 1) & F.col("_h").isNull() & (block(F.col(x)) == F.col("_bx")) & (block(F.col(y)) == F.col("_by"))).drop("_o", "_h")
     given = {f.name: f for f in rows.schema.fields}
-    schema = StructType([StructField(key[0], DoubleType()), StructField(key[1], DoubleType()), *[given[c] for c in payload],
-                         StructField("d2", DoubleType()), StructField("rank", IntegerType())])
+    place = [StructField(key[0], DoubleType()), StructField(key[1], DoubleType())]
+    found_of = [*[given[c] for c in payload], StructField("d2", DoubleType())]
+    schema = StructType([*place, StructField("near", ArrayType(StructType([StructField(f.name, f.dataType) for f in found_of])))] if lists else [*place, *found_of, StructField("rank", IntegerType())])
 
     def search(group: pa.Table) -> pa.Table:
         group = group.take(pc.sort_indices(group[tie]))
@@ -241,8 +251,12 @@ def k_nearest_rows(rows: DataFrame, *, key: list[str], x: str, y: str, tie: str,
         for a, b, c in block_neighbours(px, py, np.flatnonzero(group["_ask"].to_numpy(zero_copy_only=False)), k, tile, reach):
             asked.append(a), found.append(b.ravel()), d2.append(c.ravel())
         asked, found = np.concatenate(asked), np.concatenate(found)
-        who = np.repeat(asked, k)
         taken = group.select(payload).take(pa.array(found))
+        if lists:
+            near = pa.StructArray.from_arrays([*[c.combine_chunks() for c in taken.columns], pa.array(np.concatenate(d2))], names=[*payload, "d2"])
+            ends = pa.array(np.arange(len(asked) + 1, dtype=np.int32) * np.int32(k))
+            return pa.table([pa.array(px[asked]), pa.array(py[asked]), pa.ListArray.from_arrays(ends, near)], names=schema.names)
+        who = np.repeat(asked, k)
         return pa.table([pa.array(px[who]), pa.array(py[who]), *taken.columns, pa.array(np.concatenate(d2)),
                          pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(asked)))], names=schema.names)
 
@@ -253,4 +267,7 @@ def k_nearest_rows(rows: DataFrame, *, key: list[str], x: str, y: str, tie: str,
     dx, dy = F.col(key[0]) - F.col(x), F.col(key[1]) - F.col(y)
     rest = nearest(asked, placed, key=key, query_coords=[F.col(c) for c in key], ref_coords=[F.col(x), F.col(y)], payload=list(dict.fromkeys([x, y, tie, *payload])),
                    distance2=dx * dx + dy * dy, tile=tile, k=k, tie=tie, rank_tie=[x, y])
+    if lists:
+        rest = rest.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", F.struct(*payload, "d2").alias("f")))).alias("near")).select(
+            *key, F.transform("near", lambda n: n["f"]).alias("near"))
     return out.unionByName(rest.select(*schema.names))

@@ -230,12 +230,12 @@ def best_cover(windows: DataFrame, tiles: DataFrame, *, key: str, cell: float) -
 
 
 def k_neighbours(points: DataFrame, *, k: int = 21, x="easting", y="northing", id_col="pixel_id", values: list[str] = (),
-                 tile: float = 408.0, identifiers: bool = True) -> DataFrame:
-    """The k nearest rows of every distinct position (itself included), ties by identifier."""
+                 tile: float = 408.0, identifiers: bool = True, lists: bool = False) -> DataFrame:
+    """The k nearest rows of every distinct position (itself included), ties by identifier; with ``lists`` one row per position."""
     refs = points.select(F.col(x).alias("_rx"), F.col(y).alias("_ry"), F.col(id_col).alias("_rid"), *values).dropna(
         subset=["_rx", "_ry"])
     payload = ["_rx", "_ry", *(["_rid"] if identifiers else []), *values]
-    return k_nearest_rows(refs, key=[x, y], x="_rx", y="_ry", tie="_rid", k=k, tile=tile, payload=payload)
+    return k_nearest_rows(refs, key=[x, y], x="_rx", y="_ry", tie="_rid", k=k, tile=tile, payload=payload, lists=lists)
 
 
 def local_contrast(points: DataFrame, variables: list[str], *, k: int = 21, x="easting", y="northing", id_col="pixel_id",

@@ -173,9 +173,9 @@ def j10(spark, sf):
 @query("j11_k_nearest", f"""WITH {KNN_SQL} SELECT (-14007 + col) * 136.0::DOUBLE AS easting, (30570 - "row") * 136.0::DOUBLE AS northing, count(*) AS n, round(max(sqrt(dx * dx + dy * dy)), 4) AS reach_m,
  min(nid) AS first_id FROM nb GROUP BY "row", col""")
 def j11(spark, sf):
-    nb = sp.k_neighbours(pixels(spark, sf).select("pixel_id", "easting", "northing"), k=21)
-    return rounded(nb.groupBy("easting", "northing").agg(
-        F.count("*").alias("n"), F.max(F.sqrt("d2")).alias("reach_m"), F.min("_rid").alias("first_id")), 4)
+    nb = sp.k_neighbours(pixels(spark, sf).select("pixel_id", "easting", "northing"), k=21, lists=True)
+    return rounded(nb.select("easting", "northing", F.size("near").cast("long").alias("n"), F.sqrt(F.array_max("near.d2")).alias("reach_m"),
+                             F.array_min("near._rid").alias("first_id")), 4)
 
 
 @query("j12_point_in_polygon", """SELECT feature_id, count(*) AS n FROM pixels JOIN squares ON easting > cx - half AND easting < cx + half

@@ -43,6 +43,21 @@ def test_pairs_of_neighbours_are_not_moved(spark):
     assert "Exchange" not in after and "Window" not in after
 
 
+@pytest.mark.parametrize("block_rows", [ne.BLOCK_ROWS, 150])
+def test_lists_of_neighbours_are_not_grouped_again(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(ne, "BLOCK_ROWS", block_rows)
+    df = spots(spark, np.concatenate([RNG.integers(0, 60, (400, 2)) * 10.0, RNG.uniform(5000, 9000, (15, 2))]))
+    lists = sp.k_neighbours(df, k=5, tile=50.0, lists=True)
+    got = {(r["easting"], r["northing"]): [tuple(n) for n in r["near"]] for r in lists.collect()}
+    rows = sp.k_neighbours(df, k=5, tile=50.0).orderBy("rank").collect()
+    want = {}
+    for r in rows:
+        want.setdefault((r["easting"], r["northing"]), []).append((r["_rx"], r["_ry"], r["_rid"], r["d2"]))
+    assert got == want
+    dense = sp.k_neighbours(spots(spark, np.stack(np.meshgrid(np.arange(8.0), np.arange(8.0)), -1).reshape(-1, 2)), k=5, tile=4.0, lists=True)
+    assert plan(dense).count("Exchange") == 1 or block_rows == 150
+
+
 def test_a_pair_of_boxes_is_not_moved(spark):
     """The best box of a window is chosen where pairs are made: no pair is held to find those met twice."""
     lo, size = RNG.uniform(-500, 500, (2, 60)), RNG.uniform(5, 400, (2, 60))
