@@ -11,6 +11,8 @@ Query points are reduced to distinct positions first, so that a position shared
 many rows is solved once; references at one position are reduced to the k of them
 that can appear in any answer.
 
+``edge_distances`` is the kernel of distances to edges in blocks (``spatial.feature_distances``).
+
 ``k_nearest_rows`` pairs a table with itself. Its rows move once, to blocks of tiles with
 a margin, where Arrow batches are searched; only positions whose surroundings hold fewer
 than k rows, and blocks with very many rows, take the general way.
@@ -37,6 +39,7 @@ AROUND = 2  # tiles on each side of a tile that must hold k rows
 BLOCK_ROWS = 100_000  # with its margin; denser blocks take the general way
 ROWS_A_TASK = 200_000  # in k_nearest_rows, before margins
 PAIRS = 1 << 21  # distances held at once
+EDGE_PAIRS = 1 << 17  # the same, to edges
 
 
 def candidate_tiles(queries: DataFrame, refs: DataFrame, dims: int, levels: int, size: float, k: int = 1,
@@ -271,3 +274,56 @@ def k_nearest_rows(rows: DataFrame, *, key: list[str], x: str, y: str, tie: str,
         rest = rest.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", F.struct(*payload, "d2").alias("f")))).alias("near")).select(
             *key, F.transform("near", lambda n: n["f"]).alias("near"))
     return out.unionByName(rest.select(*schema.names))
+
+
+def edge_distances(px: np.ndarray, py: np.ndarray, e: dict[str, np.ndarray], tile: float, reach: float) -> np.ndarray:
+    """Distance of each position to the nearest of the pieces ``e``, 0 inside a polygon; NaN where none has its middle within ``reach``.
+
+    ``e`` has the ends ``x1`` to ``y2``, the middles ``mx`` and ``my`` in order of ``my``, the feature's number ``f`` and, for
+    edges that count for the inside of a polygon no larger than ``tile``, ``c``. Three by three tiles are searched at once,
+    with a margin of one and a half tiles first.
+    """
+    out = np.full(len(px), np.nan)
+    if not len(px) or not len(e["mx"]):
+        return out
+    square = np.floor(np.stack([px, py]) / (3 * tile))
+    order = np.lexsort(square)
+    square = square[:, order]
+    starts = np.flatnonzero(np.append(True, (square[:, 1:] != square[:, :-1]).any(axis=0)))
+    for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
+        left = order[a:b]
+        for margin in (min(1.5 * tile, reach), reach):
+            low_x, high_x, low_y, high_y = px[left].min() - margin, px[left].max() + margin, py[left].min() - margin, py[left].max() + margin
+            near = np.arange(np.searchsorted(e["my"], low_y), np.searchsorted(e["my"], high_y, "right"))
+            near = near[(e["mx"][near] >= low_x) & (e["mx"][near] <= high_x)]
+            if not len(near):
+                continue
+            near = near[np.argsort(e["f"][near], kind="stable")]
+            x1, y1, x2, y2, f, counts = (e[c][near] for c in ("x1", "y1", "x2", "y2", "f", "c"))
+            dx, dy = x2 - x1, y2 - y1
+            length2 = dx * dx + dy * dy
+            features = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+            # a polygon of which the margin holds a part only has no position in its box
+            box = [g.reduceat(g(u, v), features) for u, v in ((x1, x2), (y1, y2)) for g in (np.minimum, np.maximum)]
+            step = max(1, EDGE_PAIRS // len(near))
+            later = []
+            for at in range(0, len(left), step):
+                some = left[at:at + step]
+                x, y = px[some, None], py[some, None]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    raw = np.where(length2 > 0, ((x - x1) * dx + (y - y1) * dy) / length2, 0.0)
+                    crossing = counts & ((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) / dy * dx)
+                t = np.minimum(np.maximum(raw, 0.0), 1.0)
+                ex, ey = x - (x1 + t * dx), y - (y1 + t * dy)
+                d = np.sqrt((ex * ex + ey * ey).min(axis=1))
+                odd = np.add.reduceat(crossing, features, axis=1, dtype=np.int64) % 2 == 1
+                odd &= (x >= box[0]) & (x <= box[1]) & (y >= box[2]) & (y <= box[3])
+                d[odd.any(axis=1)] = 0.0
+                # a piece farther than the margin by its middle is farther than this by its nearest point
+                done = (d <= margin - tile / 2) | (margin == reach)
+                out[some[done]] = d[done]
+                later.append(some[~done])
+            left = np.concatenate(later)
+            if not len(left):
+                break
+    return out

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from tailfield.constants import EARTH_RADIUS_KM
 from tailfield.functions.geo import haversine_km, segment_projection, unit_sphere_km
-from tailfield.operators.nearest import k_nearest_rows, nearest
+from tailfield.operators.nearest import AROUND, edge_distances, k_nearest_rows, nearest
 from tailfield.session import materialise
 
 WINDOWS_A_TASK = 5_000  # in best_cover
+EDGE_BLOCK = 16  # tiles along a side of a block of feature_distances
+BLOCK_PIECES = 500_000  # with those in reach; denser blocks take the general way
+POINTS_A_TASK = 250_000
+FEW = 1 << 18  # positions that are broadcast
 
 
 def nearest_point(points: DataFrame, refs: DataFrame, *, x="easting", y="northing", rx="x", ry="y",
@@ -41,7 +53,7 @@ def edge_length() -> Column:
 
 
 def split_edges(edges: DataFrame, length: float) -> DataFrame:
-    """Edges cut into pieces of at most ``length``, each with its midpoint (mx, my); the edge itself is kept."""
+    """Edges cut into pieces of at most ``length``, each with its midpoint (mx, my) and number ``_i``; the edge itself is kept."""
     size = edge_length()
     n = F.greatest(F.ceil(size / length), F.lit(1))
     at = (F.col("_i") + 0.5) / F.col("_n")
@@ -50,14 +62,14 @@ def split_edges(edges: DataFrame, length: float) -> DataFrame:
         .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
         .withColumn("mx", F.col("x1") + at * (F.col("x2") - F.col("x1")))
         .withColumn("my", F.col("y1") + at * (F.col("y2") - F.col("y1")))
-        .drop("_n", "_i")
+        .drop("_n")
     )
 
 
 def nearest_edge(points: DataFrame, edges: DataFrame, *, x="easting", y="northing", tile: float = 2048.0,
                  extra: list[str] = (), tie: str = "seq", only_distance: bool = False) -> DataFrame:
     """Closest edge of every distinct position: ``x``, ``y``, ``d2``, edge ends and ``extra`` columns."""
-    pieces = split_edges(edges, tile)
+    pieces = split_edges(edges, tile).drop("_i")
     d2, _ = segment_projection(x, y, "x1", "y1", "x2", "y2")
     payload = list(dict.fromkeys(["x1", "y1", "x2", "y2", tie, *extra]))
     return nearest(points, pieces, key=[x, y], query_coords=[F.col(x), F.col(y)], ref_coords=[F.col("mx"), F.col("my")],
@@ -94,25 +106,160 @@ def containing_features(points: DataFrame, edges: DataFrame, *, x="easting", y="
 
 def position_distances(positions: DataFrame, edges: DataFrame, out: str, *, x="easting", y="northing", tile: float = 4096.0,
                        polygons: bool = True) -> DataFrame:
-    found = nearest_edge(positions, edges, x=x, y=y, tile=tile, only_distance=True).select(x, y, F.sqrt("d2").alias(out))
+    found = nearest_edge(positions, edges, x=x, y=y, tile=tile, tie="x1", only_distance=True).select(x, y, F.sqrt("d2").alias(out))
     if not polygons:
         return found
     inside = containing_features(positions, edges, x=x, y=y, tile=tile).select(x, y).distinct().withColumn("_in", F.lit(True))
     return found.join(inside, [x, y], "left").withColumn(out, F.when(F.col("_in"), 0.0).otherwise(F.col(out))).drop("_in")
 
 
+@dataclass(frozen=True)
+class Features:
+    """Edges whose distance becomes the column ``out`` (m); polygons have the distance 0 inside."""
+
+    out: str
+    edges: DataFrame
+    tile: float = 4096.0
+    polygons: bool = True
+
+    @property
+    def reach(self) -> float:
+        """A middle of a piece within AROUND tiles of a position's tile keeps the middle of the nearest piece within this."""
+        return ((AROUND + 1) * self.tile * math.sqrt(2.0) + self.tile / 2) * (1 + 1e-9)
+
+
+def feature_distances(points: DataFrame, sets: list[Features], *, x="easting", y="northing") -> DataFrame:
+    """``points`` with the distance in m to each set of features; NULL for an empty set or without coordinates.
+
+    Points move once, to blocks, and pieces of edges to all blocks within their reach. A block's pieces come first and its points
+    pass by in Arrow batches, so points are never held. What a block cannot tell goes the general way (``position_distances``):
+    positions with no piece in the tiles around, those in blocks with very many pieces, and the inside of large polygons.
+    """
+    side = EDGE_BLOCK * max(s.tile for s in sets)
+    kinds = StructType([StructField("s", IntegerType()), *[StructField(c, DoubleType()) for c in ("x1", "y1", "x2", "y2", "mx", "my")],
+                        StructField("f", StringType()), StructField("c", BooleanType())])
+
+    def block(c: Column) -> Column:
+        return F.floor(c / F.lit(side))
+
+    def tiles(df: DataFrame, cx: str, cy: str, tile: float) -> DataFrame:
+        placed = df.select(F.floor(F.col(cx) / tile).alias("_tx"), F.floor(F.col(cy) / tile).alias("_ty"))
+        return placed.groupBy("_tx", "_ty").agg(F.count("*").alias("_n"))
+
+    whole = points.select(x, y).dropna()
+    asked_by = {t: materialise(tiles(whole, x, y, t)) for t in dict.fromkeys(s.tile for s in sets)}
+    pieces, rest, insides = None, {}, {}
+    for i, s in enumerate(sets):
+        edges = s.edges.dropna(subset=["x1", "y1", "x2", "y2"])
+        feature, counts = F.lit(None).cast("string"), F.lit(False)
+        if s.polygons:
+            size = F.greatest(F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2")), F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2")))
+            large = materialise(edges.groupBy("feature_id").agg(size.alias("_size")).where(F.col("_size") > s.tile).select("feature_id"))
+            feature, counts = F.col("feature_id").cast("string"), F.lit(True)
+            if not large.isEmpty():
+                wide = edges.join(large, "feature_id", "left_semi")
+                insides[s.out] = containing_features(whole, wide, x=x, y=y, tile=s.tile).select(x, y).distinct().withColumn(f"_in{i}", F.lit(True))
+                edges = edges.join(large.withColumn("_wide", F.lit(True)), "feature_id", "left")
+                counts = F.col("_wide").isNull()
+        cut = split_edges(edges.withColumn("_f", feature).withColumn("_c", counts), s.tile)
+        first = F.col("_c") & (F.col("_i") == 0)
+
+        held, asked = tiles(cut, "mx", "my", s.tile), asked_by[s.tile].drop("_n")
+        near = held.select(F.explode(F.sequence(F.col("_tx") - AROUND, F.col("_tx") + AROUND)).alias("_tx"), "_ty").distinct()
+        near = near.select("_tx", F.explode(F.sequence(F.col("_ty") - AROUND, F.col("_ty") + AROUND)).alias("_ty")).distinct()
+        hard = asked.join(near, ["_tx", "_ty"], "left_anti")
+        spread = [F.explode(F.sequence(block(F.col(c) - s.reach), block(F.col(c) + s.reach))).alias(b) for c, b in (("mx", "_bx"), ("my", "_by"))]
+        moved = cut.select("*", spread[0]).select("*", spread[1])
+        dense = materialise(moved.groupBy("_bx", "_by").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK_PIECES).select("_bx", "_by"))
+        if not dense.isEmpty():
+            moved = moved.join(dense, ["_bx", "_by"], "left_anti")
+            # a tile may lie across blocks
+            spans = [F.explode(F.sequence(block(F.col(t) * F.lit(s.tile)), block((F.col(t) + 1) * F.lit(s.tile)))).alias(b) for t, b in (("_tx", "_bx"), ("_ty", "_by"))]
+            across = asked.select("*", spans[0]).select("*", spans[1])
+            hard = hard.unionByName(across.join(dense, ["_bx", "_by"], "left_semi").select("_tx", "_ty")).distinct()
+        hard = materialise(hard)
+        if not hard.isEmpty():
+            some = whole.withColumn("_tx", F.floor(F.col(x) / s.tile)).withColumn("_ty", F.floor(F.col(y) / s.tile)).join(hard, ["_tx", "_ty"], "left_semi")
+            some = materialise(some.select(x, y).distinct())
+            rest[s.out] = position_distances(some, edges, f"_d{i}", x=x, y=y, tile=s.tile, polygons=s.polygons)
+            if some.count() <= FEW:
+                rest[s.out] = F.broadcast(rest[s.out])
+        piece = F.struct(F.lit(i).alias("s"), "x1", "y1", "x2", "y2", "mx", "my", F.col("_f").alias("f"), first.alias("c")).cast(kinds)
+        moved = moved.select("_bx", "_by", piece.alias("_e"), F.lit(None).cast(points.schema).alias("_p"))
+        pieces = moved if pieces is None else pieces.unionByName(moved)
+
+    # points without coordinates are dealt by their content
+    lost = F.pmod(F.xxhash64(*points.columns), F.lit(64))
+    placed = points.select(F.coalesce(block(F.col(x)), lost).alias("_bx"), F.coalesce(block(F.col(y)), lost).alias("_by"),
+                           F.lit(None).cast(kinds).alias("_e"), F.struct(*points.columns).cast(points.schema).alias("_p"))
+    total = asked_by[sets[0].tile].agg(F.sum("_n")).first()[0] or 0
+    tasks = max(2 * points.sparkSession.sparkContext.defaultParallelism, -(-total // POINTS_A_TASK))
+    met = pieces.unionByName(placed).repartition(tasks, "_bx", "_by").sortWithinPartitions("_bx", "_by", F.col("_p").isNotNull())
+    names, outs = points.columns, [s.out for s in sets]
+    schema = StructType([*[StructField(f.name, f.dataType) for f in points.schema], *[StructField(o, DoubleType()) for o in outs]])
+    searched = [(s.tile, s.reach) for s in sets]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, edges = None, [], []
+        for batch in batches:
+            bx, by = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_bx", "_by"))
+            is_point = batch.column("_p").is_valid().to_numpy(zero_copy_only=False)
+            new = (bx[1:] != bx[:-1]) | (by[1:] != by[:-1]) | (is_point[1:] != is_point[:-1])
+            starts = np.append(0, np.flatnonzero(new) + 1)
+            for a, b in zip(starts, np.append(starts[1:], len(bx)), strict=True):
+                if (bx[a], by[a]) != at:
+                    at, parts, edges = (bx[a], by[a]), [], []
+                if not is_point[a]:
+                    parts.append(pa.RecordBatch.from_struct_array(batch.column("_e").slice(a, b - a)))
+                    continue
+                if not edges:
+                    edges = pieces_by_set(parts, len(searched))
+                    parts = []
+                rows = pa.RecordBatch.from_struct_array(batch.column("_p").slice(a, b - a))
+                xy = np.stack([rows.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (x, y)], axis=1)
+                spots, which = np.unique(xy, axis=0, return_inverse=True)
+                known = np.isfinite(spots).all(axis=1)
+                found = []
+                for e, (tile, reach) in zip(edges, searched, strict=True):
+                    d = np.full(len(spots), np.nan)
+                    d[known] = edge_distances(spots[known, 0], spots[known, 1], e, tile, reach)
+                    found.append(pa.array(d[which.ravel()], from_pandas=True))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *found], names=schema.names)
+
+    out = met.mapInArrow(search, schema)
+    for i, s in enumerate(sets):
+        if s.out in insides:
+            out = out.join(insides[s.out], [x, y], "left").withColumn(s.out, F.when(F.col(f"_in{i}"), 0.0).otherwise(F.col(s.out)))
+        if s.out in rest:
+            out = out.join(rest[s.out], [x, y], "left").withColumn(s.out, F.coalesce(f"_d{i}", s.out))
+    return out.select(*names, *outs)
+
+
+def pieces_by_set(parts: list[pa.RecordBatch], n: int) -> list[dict[str, np.ndarray]]:
+    """The pieces of a block in the form of ``edge_distances``, one for each set."""
+    if not parts:
+        return [{"mx": np.empty(0)}] * n
+    whole = pa.Table.from_batches(parts).combine_chunks()
+    codes = pc.dictionary_encode(pc.fill_null(whole["f"], "")).combine_chunks()
+    cols = {c: whole[c].to_numpy() for c in ("s", "x1", "y1", "x2", "y2", "mx", "my", "c")} | {"f": codes.indices.to_numpy(zero_copy_only=False)}
+    out = []
+    for i in range(n):
+        own = np.flatnonzero(cols["s"] == i)
+        own = own[np.argsort(cols["my"][own], kind="stable")]
+        out.append({c: v[own] for c, v in cols.items() if c != "s"})
+    return out
+
+
 def distance_to_features(points: DataFrame, edges: DataFrame, *, x="easting", y="northing", out: str = "distance_m", **kw) -> DataFrame:
     """Distance in m to the nearest line or polygon, 0 inside polygons; NULL for an empty set."""
-    positions = materialise(points.select(x, y).dropna().distinct())
-    return points.join(position_distances(positions, edges, out, x=x, y=y, **kw), [x, y], "left")
+    return feature_distances(points, [Features(out, edges, **kw)], x=x, y=y)
 
 
-def attach_feature_distances(points: DataFrame, lakes: DataFrame, slumps: DataFrame, *, x="easting", y="northing", **kw) -> DataFrame:
-    """Lake and slump distance and the smaller of the two, in m and km; positions are solved once for both."""
-    positions = materialise(points.select(x, y).dropna().distinct())
-    both = position_distances(positions, lakes, "tl_distance_m", x=x, y=y, **kw).join(
-        position_distances(positions, slumps, "rts_distance_m", x=x, y=y, **kw), [x, y], "full")
-    out = points.join(both, [x, y], "left").withColumn("tlrts_distance_m", F.least("tl_distance_m", "rts_distance_m"))
+def attach_feature_distances(points: DataFrame, lakes: DataFrame, slumps: DataFrame, *, x="easting", y="northing",
+                             others: list[Features] = (), **kw) -> DataFrame:
+    """Lake and slump distance and the smaller of the two, in m and km, and the distances to ``others``; points move once for all."""
+    out = feature_distances(points, [Features("tl_distance_m", lakes, **kw), Features("rts_distance_m", slumps, **kw), *others], x=x, y=y)
+    out = out.withColumn("tlrts_distance_m", F.least("tl_distance_m", "rts_distance_m"))
     return out.withColumns({f"{n}_distance_km": F.col(f"{n}_distance_m") / 1000.0 for n in ("tl", "rts", "tlrts")})
 
 

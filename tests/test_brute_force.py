@@ -57,6 +57,32 @@ def test_nearest_edge_is_exact_for_long_edges(spark):
     assert near.count() == len({tuple(p) for p, w in zip(q, want.min(1), strict=True) if w <= 900.0})
 
 
+@pytest.mark.parametrize("block_pieces", [sp.BLOCK_PIECES, 40])
+def test_distances_to_sets_of_features_move_points_once(spark, monkeypatch, block_pieces):
+    """Small and large polygons, a set of points, an empty set, far positions, rows without coordinates and blocks of many pieces."""
+    monkeypatch.setattr(sp, "BLOCK_PIECES", block_pieces)
+    q = np.vstack([clustered(300, 20), RNG.uniform(-5000, 5000, (300, 2))])
+    low = RNG.uniform(-4500, 4500, (60, 2))
+    high = low + np.where(np.arange(60)[:, None] < 3, 2500.0, RNG.uniform(20, 250, (60, 2)))
+    rings = [(x0, y0, x1, y0, x1, y1, x0, y1) for (x0, y0), (x1, y1) in zip(low.tolist(), high.tolist(), strict=True)]
+    rows = [(f, *r[2 * i:2 * i + 2], *(r + r)[2 * i + 2:2 * i + 4]) for f, r in enumerate(rings) for i in range(4)]
+    names = "feature_id int, x1 double, y1 double, x2 double, y2 double"
+    squares, spots = spark.createDataFrame(rows, names), RNG.uniform(-5000, 5000, (40, 2))
+    dots = spark.createDataFrame([(0, *p, *p) for p in spots.tolist()], names)
+    lost = spark.createDataFrame([("lost0", None, 3.0), ("lost1", None, None)], "pixel_id string, easting double, northing double")
+    out = sp.feature_distances(points(spark, q).unionByName(lost), [
+        sp.Features("box", squares, 300.0), sp.Features("dot", dots, 700.0, polygons=False), sp.Features("none", squares.limit(0), 300.0)])
+    got = out.orderBy("pixel_id").toPandas()
+    assert list(got["pixel_id"][-2:]) == ["lost0", "lost1"] and got[["box", "dot"]][-2:].isna().all(axis=None) and got["none"].isna().all()
+    gap = np.maximum(np.maximum(low[None] - q[:, None], q[:, None] - high[None]), 0)
+    np.testing.assert_allclose(got["box"][:-2], np.sqrt((gap ** 2).sum(-1)).min(1), rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(got["dot"][:-2], np.sqrt(((q[:, None] - spots[None]) ** 2).sum(-1)).min(1), rtol=1e-9)
+    near = spark.createDataFrame([(f"p{i}", float(i % 20), float(i // 20)) for i in range(400)], "pixel_id string, easting double, northing double")
+    one = sp.distance_to_features(near, spark.createDataFrame([(0, 1.0, 1.0, 9.0, 9.0)], names), tile=30.0, polygons=False)
+    text = one._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "Join" not in text
+
+
 @pytest.mark.parametrize("hot", [0, 120])
 def test_k_nearest_is_exact(spark, hot):
     xy = clustered(300, hot)
