@@ -78,7 +78,8 @@ _LAKE_SQL = """pt AS (SELECT DISTINCT easting AS px, northing AS py FROM pixels)
  FROM pixels JOIN near ON easting = px AND northing = py WHERE kind = 'lake'""")
 def j04(spark, sf):
     lakes = polygon_edges(spark, sf).where("kind = 'lake'")
-    return rounded(sp.distance_to_features(pixels(spark, sf), lakes, tile=1088.0).select("pixel_id", "distance_m"), 4)
+    pts = pixels(spark, sf).select("pixel_id", "easting", "northing")
+    return rounded(sp.distance_to_features(pts, lakes, tile=1088.0).select("pixel_id", "distance_m"), 4)
 
 
 @query("j05_lake_and_slump", f"""WITH {_LAKE_SQL}, w AS (SELECT px, py, min(sqrt(d2)) FILTER (kind = 'lake') AS tl,
