@@ -327,11 +327,11 @@ def m09(spark, sf):
     from tailfield.operators.grid import with_cell
     df = frame(spark, sf)
     models = {d: mo.fit_model(df.where(F.col("domain") == d), FEATURES, "linear") for d in ("pf", "npf")}
-    own = mo.score_cells(with_cell(df), models, "own", ["row", "col"])
-    both = mo.score_cells(with_cell(df), models, "all", ["row", "col"])
-    a = own.groupBy("row", "col").agg(F.count("*").alias("n"), F.avg("prob").alias("prob"))
-    b = both.groupBy("row", "col").agg(F.avg("prob_pf").alias("prob_pf"), F.avg("prob_npf").alias("prob_npf"))
-    return metric_rows(a.join(b, ["row", "col"]))
+    # a row's own score is one of the two it gets anyway
+    scored = mo.score_cells(with_cell(df), models, "all", ["row", "col", "domain"])
+    own = F.coalesce(*[F.when(F.col("domain") == d, F.col(f"prob_{d}")) for d in models])
+    return metric_rows(scored.groupBy("row", "col").agg(
+        F.count("*").alias("n"), F.avg(own).alias("prob"), F.avg("prob_pf").alias("prob_pf"), F.avg("prob_npf").alias("prob_npf")))
 
 
 def metrics_sql(source: str, keys: list[str]) -> str:

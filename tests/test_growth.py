@@ -124,3 +124,21 @@ def test_bins_of_many_rows_need_no_single_task(spark, monkeypatch):
     got = tr.Bins.fit(df, ["a", "b", "c", "d"])
     assert got.features == want.features == ["a", "b", "c"]
     assert got.edges == want.edges and got.medians == want.medians
+
+
+def test_wall_to_wall_scores_read_and_move_rows_once(spark):
+    from tailfield.operators import models as mo
+    from tailfield.operators.grid import with_cell
+    from tailfield.plans import model_queries as mq
+
+    sf = "/root/testdata/sf0.001"
+    out = mq.m09(spark, sf)
+    assert plan(out).count("Exchange") == 1 and plan(out).count("Scan parquet") == 1
+    df = mq.frame(spark, sf)
+    models = {d: mo.fit_model(df.where(df["domain"] == d), mq.FEATURES, "linear") for d in ("pf", "npf")}
+    own = mo.score_cells(with_cell(df), models, "own", ["row", "col"]).groupBy("row", "col").agg({"prob": "avg", "*": "count"})
+    want = {(r["row"], r["col"]): (r["count(1)"], r["avg(prob)"]) for r in own.collect()}
+    got = {(r["row"], r["col"]): (r["n"], r["prob"]) for r in out.collect()}
+    assert set(got) == set(want)
+    for k, (n, prob) in want.items():
+        assert got[k] == (n, pytest.approx(prob, abs=1e-4))
