@@ -91,7 +91,7 @@ def seen_by(monkeypatch, names):
 FITS = [(tr, "fit_rows"), (bo, "draw_rows"), (ba, "draw_rows"), (mo, "draw_rows")]
 
 
-@pytest.mark.parametrize("name", ["e4_calibration_study", "m03_bagged_trees", "m03_extra_trees", "m04_boosted_trees", "m06_stacking", "m08_domain_suite", "m12_fitted_importance", "m14_fitted_zone_effects", "m18_threshold_sweep"])
+@pytest.mark.parametrize("name", ["e4_calibration_study", "m03_bagged_trees", "m03_extra_trees", "m04_boosted_trees", "m06_stacking", "m08_domain_suite", "m12_fitted_importance", "m14_fitted_zone_effects", "m18_threshold_sweep", "m20_buffer_sweep"])
 def test_fits_of_queries_take_all_rows(spark, monkeypatch, name):
     """sf0.1 has more rows than the 90,000 that fits once drew."""
     seen_by(monkeypatch, FITS)
