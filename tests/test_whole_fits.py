@@ -91,7 +91,9 @@ def seen_by(monkeypatch, names):
 FITS = [(tr, "fit_rows"), (bo, "draw_rows"), (ba, "draw_rows"), (mo, "draw_rows")]
 
 
-@pytest.mark.parametrize("name", ["e4_calibration_study", "m03_bagged_trees", "m03_extra_trees", "m04_boosted_trees", "m06_stacking", "m08_domain_suite", "m12_fitted_importance", "m14_fitted_zone_effects", "m18_threshold_sweep", "m20_buffer_sweep"])
+@pytest.mark.parametrize("name", [
+    "e4_calibration_study", "m03_bagged_trees", "m03_extra_trees", "m04_boosted_trees", "m06_stacking",
+    "m08_domain_suite", "m12_fitted_importance", "m14_fitted_zone_effects", "m18_threshold_sweep", "m20_buffer_sweep"])
 def test_fits_of_queries_take_all_rows(spark, monkeypatch, name):
     """sf0.1 has more rows than the 90,000 that fits once drew."""
     seen_by(monkeypatch, FITS)
@@ -99,3 +101,16 @@ def test_fits_of_queries_take_all_rows(spark, monkeypatch, name):
         entry_point.queries()[name](spark, "/root/testdata/sf0.1")
     given, taken = found.value.args
     assert given == taken and given > 90_000
+
+
+def test_susceptibility_study_takes_all_rows_below_zero(spark, monkeypatch):
+    from tailfield.plans.inputs import pixels
+
+    def fit_domain(df, target, domain, *args, **kw):
+        raise Seen(domain, df.where(F.col("domain") == domain).count())
+
+    monkeypatch.setattr(mo, "fit_domain", fit_domain)
+    with pytest.raises(Seen) as found:
+        entry_point.queries()["e1_susceptibility_study"](spark, "/root/testdata/sf0.1")
+    domain, taken = found.value.args
+    assert taken == pixels(spark, "/root/testdata/sf0.1").where(f"domain = '{domain}' AND d_u < 0").count() and taken > 90_000
