@@ -72,6 +72,47 @@ def test_scores_in_passes_equal_scores_at_once(table, monkeypatch, kind):
     assert rows_of(again.predict(table)) == want
 
 
+def test_quantiles_of_held_and_of_spread_values_are_equal(table, monkeypatch):
+    df = table.withColumn("none", F.lit(None).cast("double"))
+    shares = [i / 255 for i in range(256)]
+    monkeypatch.setattr(tr.F, "percentile", None)
+    assert tr.held_quantiles(df, [*FEATURES, "none"], shares) == tr.sorted_quantiles(df, [*FEATURES, "none"], shares)
+
+
+def test_digests_side_by_side_equal_single_ones():
+    rng = np.random.default_rng(1)
+    node = np.concatenate([2 ** np.arange(61), rng.integers(1, 1 << 61, 9000), 10 ** np.arange(1, 19), 10 ** np.arange(1, 19) - 1]).astype(np.int64)
+    feature = rng.integers(0, 3, len(node))
+    one_by_one = [tr._numbers(317, node[a:a + 100], feature[a:a + 100], FEATURES, "cut") for a in range(0, len(node), 100)]
+    assert (tr._numbers(317, node, feature, FEATURES, "cut") == np.concatenate(one_by_one)).all()
+
+
+def test_zones_are_scored_one_model_after_the_other(spark):
+    """A dict of functions gives the curves of ``predict_by`` and holds no two models at a time; fits and scores use several tasks."""
+    from tailfield.operators import effects as ef
+    from tailfield.session import spread
+
+    rng = np.random.default_rng(2)
+    rows = [(f"p{i}", f"g{i % 3}", float(v), float(w)) for i, (v, w) in enumerate(rng.normal(size=(300, 2)))]
+    df = spread(spark.createDataFrame(rows, "pixel_id string, g string, a double, b double").coalesce(1))
+    assert df.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    order = []
+
+    class Scores:
+        def __init__(self, factor):
+            self.factor = factor
+
+        def predict(self, rows):
+            order.append(self.factor)
+            return rows.withColumn("prediction", F.col("a") * self.factor + F.col("b"))
+
+    models = {f"g{i}": Scores(i + 1.0) for i in range(3)}
+    want = rows_of(ef.effect_curves(df, ["g"], ["a", "b"], ef.predict_by(models, "g"), 4))
+    order.clear()
+    assert rows_of(ef.effect_curves(df, ["g"], ["a", "b"], {g: lambda m=m: m.predict for g, m in models.items()}, 4)) == want
+    assert order == [1.0, 1.0, 2.0, 2.0, 3.0, 3.0]
+
+
 class Seen(Exception):
     pass
 
